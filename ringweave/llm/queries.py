@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .idfiles import op10_id_files
+from .packing import op3_pack_sequences
+from .simhash import op8_simhash_components
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op3_pack_sequences, op7_token_counts, op8_simhash_components, op10_id_files)}
 SQL: dict[str, str] = {}
