@@ -63,14 +63,14 @@ class _Counter:
         return self.inner[piece]
 
     def count(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        split, known = self.enc.pieces(texts)
+        split, numbers = self.enc.pieces(texts)
         out = []
-        for text, pieces in zip(texts, split):
+        for text, pieces, at in zip(texts, split, numbers):
             starts, ends = _spans(text)
-            out.append((starts, ends, *self.of(text, pieces, known, starts, ends)))
+            out.append((starts, ends, *self.of(text, pieces, at, starts, ends)))
         return out
 
-    def of(self, text, pieces, known, starts, ends, base=0):
+    def of(self, text, pieces, numbers, starts, ends, base=0):
         tokens, crossing = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         if pieces is None:
             at = np.array(self.enc.whole(text).offsets, dtype=np.int64).reshape(-1, 2) + base
@@ -82,7 +82,7 @@ class _Counter:
             return tokens, crossing
         to = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) + base
         a = np.concatenate([[base], to[:-1]])
-        n = np.fromiter([len(known[p]) for p in pieces], np.int64, len(pieces)) // self.enc.dtype.itemsize
+        n = self.enc.n_ids.data[numbers]
         # a piece that lies in one section gives it all its tokens; only the others are looked into
         first = np.searchsorted(starts, a, side="right") - 1
         last = np.searchsorted(starts, to - 1, side="right") - 1
@@ -100,8 +100,8 @@ class _Counter:
         starts, ends = _spans(text)
         tokens, crossing, base = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), 0
         for run in cut(text) if self.enc.by_piece else [text]:
-            (pieces,), known = self.enc.pieces([run])
-            t, c = self.of(run, pieces, known, starts, ends, base)
+            (pieces,), (numbers,) = self.enc.pieces([run])
+            t, c = self.of(run, pieces, numbers, starts, ends, base)
             tokens, crossing, base = tokens + t, crossing + c, base + len(run)
         return starts, ends, tokens, crossing
 

@@ -17,10 +17,36 @@ _SPLIT = re.compile(
 )
 _OTHER = re.compile(rf"[^\x00-\x7f{_LATIN}]")
 _CUT = re.compile(r"\S (?=\S)")
-#: Pieces remembered for each worker; the memory starts anew when it is full.
-PIECES = 400_000
-#: Longer pieces are encoded each time, so that memory stays bounded in bytes too.
-PIECE_CHARS = 64
+#: Pieces remembered for each worker, and their characters; the memory starts anew beyond either.
+PIECES, PIECE_CHARS = 1_000_000, 16_000_000
+
+
+class _Numbers(dict):
+    """A number for each piece; pieces not seen before get the next ones, and are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
+class _Rows:
+    """Arrays end to end, as one array that grows."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.empty(1 << 16, dtype=dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            own = np.empty(max(2 * len(self.data), self.n + len(more)), dtype=self.data.dtype)
+            own[: self.n] = self.data[: self.n]
+            self.data = own
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
 
 
 def default_path() -> str:
@@ -58,35 +84,36 @@ class TextEncoder:
         )
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        self.long: list[str] = []
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The library's ids of distinct pieces."""
-        got = self.tok.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, dtype=self.dtype).tobytes()
-        at = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(pieces) + 1)) * self.dtype.itemsize
-        at = at.tolist()
-        return {p: ids[at[i] : at[i + 1]] for i, p in enumerate(pieces)}
-
-    def pieces(self, texts: list[str]) -> tuple[list[list[str] | None], dict[str, bytes]]:
-        """The pieces of each text (None: goes through the library whole), and the ids of each piece."""
-        for p in self.long:
-            self.known.pop(p, None)
-        self.long = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.chars = _Numbers(), 0
+        self.flat, self.first, self.n_ids = _Rows(self.dtype), _Rows(np.int64), _Rows(np.int64)
+
+    def pieces(self, texts: list[str]) -> tuple[list[list[str] | None], list[np.ndarray]]:
+        """The pieces of each text (None: goes through the library whole) and their numbers."""
+        if len(self.numbers) > PIECES or self.chars > PIECE_CHARS:
+            self._forget()
         split = [_SPLIT.findall(t) if self.by_piece and not _OTHER.search(t) else None for t in texts]
-        seen = set()
-        for p in split:
-            if p:
-                seen.update(p)
-        new = [p for p in seen if p not in self.known]
-        if new and len(self.known) + len(new) > PIECES:
-            self.known = {}
-            new = list(seen)
-        if new:
-            self.known.update(self._learn(new))
-            self.long = [p for p in new if len(p) > PIECE_CHARS]
-        return split, self.known
+        number = self.numbers.__getitem__
+        at = [np.fromiter(map(number, p), np.int64, len(p)) if p else np.zeros(0, np.int64) for p in split]
+        if new := self.numbers.new:
+            got = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
+            to = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(new) + 1))
+            self.first.add(to[:-1] + self.flat.n)
+            self.n_ids.add(np.diff(to))
+            self.flat.add(np.array(got.ids, dtype=self.dtype))
+            self.chars += sum(map(len, new))
+            self.numbers.new = []
+        return split, at
+
+    def ids_of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of pieces, end to end."""
+        n = self.n_ids.data[at]
+        to = np.cumsum(n)
+        if not len(to):
+            return np.zeros(0, self.dtype)
+        return self.flat.data[np.arange(to[-1]) + np.repeat(self.first.data[at] - to + n, n)]
 
     def whole(self, text: str):
         return self.tok.encode(text, add_special_tokens=False)
@@ -108,15 +135,17 @@ class TextEncoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split, known = self.pieces(texts)
-        return [
-            np.array(self.whole(t).ids, dtype=self.dtype).tobytes() if p is None else b"".join([known[x] for x in p])
-            for t, p in zip(texts, split)
-        ]
-
-    def starts(self, text: str) -> np.ndarray:
-        """First character of each token of a text, in order."""
-        return np.array([a for a, _ in self.whole(text).offsets], dtype=np.int64)
+        split, at = self.pieces(texts)
+        every = np.concatenate(at) if at else np.zeros(0, np.int64)
+        ids = self.ids_of(every).tobytes()
+        n = np.cumsum(self.n_ids.data[every]) * self.dtype.itemsize
+        upto = np.cumsum([len(x) for x in at])
+        out, before = [], 0
+        for t, p, k in zip(texts, split, upto.tolist()):
+            to = int(n[k - 1]) if k else 0
+            out.append(np.array(self.whole(t).ids, dtype=self.dtype).tobytes() if p is None else ids[before:to])
+            before = to
+        return out
 
 
 def cut(text: str, chars: int = 1_000_000):
