@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat_format
+from .decontaminate import OP1_SQL, op1_decontaminate
 from .idfiles import op10_id_files
 from .packing import op3_pack_sequences
 from .quality_rules import OP4_SQL, op4_quality_rules
@@ -9,5 +11,22 @@ from .sharding import OP5_SQL, op5_histogram_shards
 from .simhash import op8_simhash_components
 from .token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_pack_sequences, op4_quality_rules, op5_histogram_shards, op7_token_counts, op8_simhash_components, op10_id_files)}
-SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op5_histogram_shards": OP5_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_chat_format,
+        op3_pack_sequences,
+        op4_quality_rules,
+        op5_histogram_shards,
+        op7_token_counts,
+        op8_simhash_components,
+        op10_id_files,
+    )
+}
+SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+    "op2_chat_format": OP2_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op5_histogram_shards": OP5_SQL,
+}
