@@ -5,7 +5,9 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_chat_format
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .idfiles import op10_id_files
+from .langid import op9_language
 from .packing import op3_pack_sequences
+from .quality_model import op6_quality_scores
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .sharding import OP5_SQL, op5_histogram_shards
 from .simhash import op8_simhash_components
@@ -19,8 +21,10 @@ QUERIES = {
         op3_pack_sequences,
         op4_quality_rules,
         op5_histogram_shards,
+        op6_quality_scores,
         op7_token_counts,
         op8_simhash_components,
+        op9_language,
         op10_id_files,
     )
 }
