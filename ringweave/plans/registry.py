@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import graph_queries, set_queries, table_queries, text_queries
+
+_PARTS = (table_queries, graph_queries, set_queries, text_queries)
+QUERIES: dict = {k: v for m in _PARTS for k, v in m.Q.items()}
+SQL: dict[str, str] = {k: v for m in _PARTS for k, v in m.SQL.items()}
