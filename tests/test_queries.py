@@ -1,7 +1,7 @@
 """Every query of the engine's own operators against its SQL."""
 
 import pytest
-from conftest import oracle, same
+from sqlcheck import oracle, same
 
 from ringweave.plans import registry
 
