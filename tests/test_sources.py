@@ -65,7 +65,7 @@ def test_junit_and_trial(spark):
 
 
 def test_other_reports(spark):
-    assert value(spark, quality.coverage_percent(F.lit('<?xml version="1.0" ?><coverage line-rate="0.81255"/>'))) == 81.25
+    assert value(spark, quality.coverage_percent(F.lit('<?xml version="1.0" ?><coverage line-rate="0.81254"/>'))) == 81.25
     assert value(spark, quality.lint_issues(F.lit('[{"a": 1}, {}]'))) == 2 and value(spark, quality.lint_issues(F.lit("x\n\ny\n"))) == 2
     assert tuple(value(spark, quality.maintainability(F.lit('{"a": {"mi": 50.126}, "b": {"mi": 10}, "c": {}}')))) == (30.06, 10.0, 2)
     d = value(spark, quality.dead_code(F.lit("a.py:1: unused x (60% confidence)\nnoise\nb.py:22: y (75% confidence)\n")))
