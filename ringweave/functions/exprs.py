@@ -354,3 +354,42 @@ def safe_filename(text: Column | str) -> Column:
 def display_language(language: Column | str) -> Column:
     low = F.lower(F.trim(col(language)))
     return F.when(low == "python", "Python").when(low.isin("csharp", "c#"), "C#").otherwise(F.trim(col(language)))
+
+
+def fallback_label(mode_id: Column | str) -> Column:
+    """A readable name for a mode without a label."""
+    t = F.regexp_replace(F.regexp_replace(col(mode_id), "_noaux$", ""), "^explain_", "")
+    return F.when(col(mode_id) == "no_explain", "No explanation").otherwise(F.replace(t, F.lit("_"), F.lit(" ")))
+
+
+def display_configuration(mode_id: Column | str, label: Column | str, modes: list[str], baseline: str = "no_explain") -> Column:
+    """``baseline`` and ``selected`` where exactly one mode stands against the baseline, else the mode's label."""
+    if baseline in modes and len(set(modes)) == 2:
+        return F.when(col(mode_id) == baseline, "baseline").otherwise("selected")
+    return F.coalesce(col(label), fallback_label(mode_id))
+
+
+def fill_template(template: str, values: dict[str, Column]) -> Column:
+    """A text with ``{name}`` replaced by columns."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+def utc_text(ts: Column | str) -> Column:
+    """A time as ``2024-01-31T12:00:00Z``."""
+    return F.date_format(F.to_utc_timestamp(col(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def execution_id(ts: Column | str) -> Column:
+    """A name for an execution: its time and a random part."""
+    return F.concat(F.date_format(col(ts), "yyyyMMdd'T'HHmmss"), F.lit("-"), F.left(F.uuid(), F.lit(8)))
+
+
+def log_positive(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows that log axes can show: all the columns there and above zero."""
+    out = df.dropna(subset=list(columns))
+    for c in columns:
+        out = out.where(F.col(c) > 0)
+    return out

@@ -68,7 +68,6 @@ def scc_summary(cycles: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     extra = inside.select(*key, "src", "dst").join(ring, [*key, "src", "dst"], "left_anti")
     extra = extra.withColumns({"p": F.row_number().over(w.orderBy("src", "dst")), "m": F.count("*").over(w) - k}).where(F.col("p") <= k)
     arrow = F.concat(F.lit("- "), F.col("src"), F.lit(" -> "), F.col("dst"))
-    flat = own.select(F.concat_ws("\0", *key).alias("graph_id"), *key[1:], "src", "dst")
     deg = G.degrees(own.select(F.struct(*key).alias("graph_id"), "src", "dst")).select("graph_id.graph_id", "graph_id.cycle_id", "node", "indeg", "outdeg", "total")
     hub = deg.withColumn("p", F.row_number().over(w.orderBy(F.desc("total"), "node"))).where(F.col("p") <= k)
     hub_line = F.format_string("- %s (in=%d, out=%d, total=%d)", "node", "indeg", "outdeg", "total")
@@ -83,7 +82,6 @@ def scc_summary(cycles: DataFrame, edges: DataFrame, k: int) -> DataFrame:
         _joined(counter_top(inn, key, "src", ["src", "dst"], k), key, ["place"], count_line("src"), "t_in"),
         _joined(round_robin(inn.select(*key, "src", "dst"), key, "src", ["src", "dst"], k), key, ["group_rank", "depth"], arrow, "t_ins", "omitted"),
     ]
-    del flat
     got = cycles.select(*key)
     for p in parts:
         got = got.join(p, key, "left")
@@ -160,6 +158,27 @@ def edge_prompt(df: DataFrame, system: Column, budget: str) -> DataFrame:
     return share.withColumn("prompt", text).drop("_b")
 
 
+def _blocks(df: DataFrame, keys: list[str], order: str, title: str, text: str, budget: str) -> DataFrame:
+    """Wrapped texts of each key, in order, that share a token budget: keys and ``blocks``."""
+    own = F.array_sort(F.collect_list(F.struct(order, F.col(title).alias("t"), F.coalesce(text, F.lit("")).alias("x"))))
+    got = df.groupBy(*keys).agg(own.alias("_a"), F.max(budget).alias("_b"))
+    wrap = lambda t: F.length(t) * 2 + len("--- BEGIN  ---\n") + len("\n--- END  ---\n")
+    need = F.transform("_a", lambda a: E.tokens_of_chars(F.length(a["x"])) + E.tokens_of_chars(wrap(a["t"])))
+    shared = token_budgets(got.withColumn("_n", need), "_n", "_b", "_s")
+    block = F.zip_with("_a", "_s", lambda a, n: E.format_block(a["t"], a["x"], E.chars_of_tokens(n)))
+    return shared.select(*keys, F.array_join(F.filter(block, lambda b: b != ""), "\n").alias("blocks"))
+
+
+def synthesizer_prompt(reports: DataFrame, keys: list[str], system: Column, extra: Column, budget: str) -> DataFrame:
+    """Prompts that put together the reports (ord, edge, report) on a cycle's edges, with further context."""
+    return _blocks(reports, keys, "ord", "edge", "report", budget).withColumn("prompt", F.concat_ws("\n\n", system, extra, F.col("blocks"))).drop("blocks")
+
+
+def project_prompt(readmes: DataFrame, keys: list[str], system: Column, budget: str) -> DataFrame:
+    """Prompts from a project's README files (place, path, text), nearest first."""
+    return _blocks(readmes, keys, "place", "path", "text", budget).withColumn("prompt", F.concat_ws("\n\n", system, F.col("blocks"))).drop("blocks")
+
+
 def minimal_prompt(nodes: Column | str, language: Column | str) -> Column:
     """The base refactoring prompt of a cycle, up to and with the anchor that explanations follow."""
     return F.concat_ws(

@@ -441,3 +441,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
     out = edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("targets"))
     inn = edges.groupBy("graph_id", F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("sources"))
     return out.join(inn, ["graph_id", "node"], "full")
+
+
+def classify(nodes: DataFrame, edges: DataFrame, members: DataFrame, cycles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph by the innermost thing they are in: selected (a cycle), scc or graph."""
+    in_cycle = cycles.select("graph_id", F.explode("nodes").alias("node")).distinct().withColumn("c", F.lit(True))
+    ring = cycles.select("graph_id", F.explode(E.cycle_edges("nodes")).alias("e")).select("graph_id", F.col("e.source").alias("src"), F.col("e.target").alias("dst")).distinct().withColumn("c", F.lit(True))
+    kind = F.when(F.col("c"), "selected").when(F.col("comp").isNotNull(), "scc").otherwise("graph").alias("kind")
+    n = nodes.join(members, ["graph_id", "node"], "left").join(in_cycle, ["graph_id", "node"], "left").select("graph_id", "node", E.short_label("node").alias("label"), kind)
+    e = edges.join(induced_edges(edges, members), ["graph_id", "src", "dst"], "left").join(ring, ["graph_id", "src", "dst"], "left").select("graph_id", "src", "dst", kind)
+    return n, e

@@ -86,14 +86,20 @@ def _nodes(k: int = 15) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Glmm:
-    """Binomial model with a normal random intercept for each group, by adaptive-free quadrature.
+    """Binomial model with a normal random intercept for each group, by Gauss-Hermite quadrature.
 
     Rows are (group, successes, trials, predictors); the likelihood of a group is integrated over 15 places of its
-    intercept, and maximised by Newton steps with numerical derivatives on (coefficients, log standard deviation).
+    intercept, and maximised by Newton steps with numerical derivatives on (coefficients, log standard deviations).
+    ``outer`` names a larger group that each group lies in, with a random intercept of its own.
     """
 
-    def __init__(self, group, won, trials, x):
+    def __init__(self, group, won, trials, x, outer=None):
         self.names, self.g = np.unique(np.asarray(group), return_inverse=True)
+        self.outer = None
+        if outer is not None:
+            of = np.unique(np.asarray(outer), return_inverse=True)[1]
+            self.outer = np.zeros(len(self.names), dtype=int)
+            self.outer[self.g] = of
         self.won, self.trials = np.asarray(won, float), np.asarray(trials, float)
         self.x = np.column_stack([np.ones(len(self.won)), np.asarray(x, float).reshape(len(self.won), -1)])
         lg = np.vectorize(math.lgamma)
@@ -101,6 +107,8 @@ class Glmm:
         self.at, self.weight = _nodes()
 
     def loglik(self, p: np.ndarray) -> float:
+        if self.outer is not None:
+            return self._nested(p)
         eta = (self.x @ p[:-1])[:, None] + math.exp(p[-1]) * self.at[None]
         ll = self.won[:, None] * eta - self.trials[:, None] * np.logaddexp(0, eta)
         per = np.zeros((len(self.names), len(self.at)))
@@ -108,6 +116,19 @@ class Glmm:
         top = per.max(axis=1)
         return float((top + np.log(np.exp(per - top[:, None]) @ self.weight)).sum()) + self.base
 
+    def _nested(self, p: np.ndarray) -> float:
+        eta = (self.x @ p[:-2])[:, None, None] + math.exp(p[-2]) * self.at[None, :, None] + math.exp(p[-1]) * self.at[None, None, :]
+        ll = self.won[:, None, None] * eta - self.trials[:, None, None] * np.logaddexp(0, eta)
+        k = len(self.at)
+        per = np.zeros((len(self.names), k, k))
+        np.add.at(per, self.g, ll)
+        top = per.max(axis=1, keepdims=True)
+        inner = top[:, 0] + np.log(np.einsum("gkr,k->gr", np.exp(per - top), self.weight))
+        whole = np.zeros((self.outer.max() + 1, k))
+        np.add.at(whole, self.outer, inner)
+        top = whole.max(axis=1)
+        return float((top + np.log(np.exp(whole - top[:, None]) @ self.weight)).sum()) + self.base
+
     def _slopes(self, p: np.ndarray, h: float = 1e-4):
         n, f0 = len(p), self.loglik(p)
         e = np.eye(n) * h
@@ -121,7 +142,7 @@ class Glmm:
         return f0, grad, hess
 
     def fit(self, steps: int = 100) -> Glmm:
-        p = np.zeros(self.x.shape[1] + 1)
+        p = np.zeros(self.x.shape[1] + 1 + (self.outer is not None))
         rate = (self.won.sum() + 0.5) / (self.trials.sum() + 1)
         p[0] = math.log(rate / (1 - rate))
         for _ in range(steps):
@@ -138,7 +159,9 @@ class Glmm:
         self.p, (self.ll, _, hess) = p, self._slopes(p)
         cov = np.linalg.pinv(-hess)
         self.se = np.sqrt(np.maximum(np.diag(cov), 0))
-        self.variance = math.exp(2 * p[-1])
+        k = self.x.shape[1]
+        self.variance = math.exp(2 * p[k])
+        self.outer_variance = math.exp(2 * p[k + 1]) if self.outer is not None else None
         return self
 
 
@@ -163,18 +186,19 @@ def configuration_model(facts: DataFrame, baseline: str, selected: str, label: s
     (a mode is missing, no success or no failure).
     """
     rows = tables.cycle_rates(facts.where(F.col("mode_id").isin(baseline, selected))).toPandas()
-    effect, var = f"{label}", "Cycle random-effect variance"
+    effect, var, repo = label, "Cycle random-effect variance", "Repository random-effect variance"
     columns = ["effect", "coefficient", "odds_ratio", "ci", "p"]
     if rows["mode_id"].nunique() < 2 or not 0 < rows["successes"].sum() < rows["trials"].sum():
-        return pd.DataFrame([[effect, None, None, None, None], [var, None, None, None, None]], columns=columns)
+        return pd.DataFrame([[x, None, None, None, None] for x in (effect, var, repo)], columns=columns)
     group = rows["repo"] + "\0" + rows["cycle_id"]
     x = (rows["mode_id"] == selected).astype(float).to_numpy()
     full = Glmm(group, rows["successes"], rows["trials"], x).fit()
     null = Glmm(group, rows["successes"], rows["trials"], np.zeros((len(rows), 0))).fit()
     ratio, lo, hi = odds_ratio(full.p[1], full.se[1])
-    return pd.DataFrame(
-        [[effect, round(full.p[1], 3), round(ratio, 3), f"{lo:.3f}--{hi:.3f}", format_p(lrt_p(full.ll, null.ll))], [var, round(full.variance, 3), None, None, None]], columns=columns
-    )
+    own = [effect, round(full.p[1], 3), round(ratio, 3), f"{lo:.3f}--{hi:.3f}", format_p(lrt_p(full.ll, null.ll))]
+    # robustness: the same model with a random intercept for each repository too
+    wide = round(Glmm(group, rows["successes"], rows["trials"], x, rows["repo"]).fit().outer_variance, 3) if rows["repo"].nunique() > 1 else None
+    return pd.DataFrame([own, [var, round(full.variance, 3), None, None, None], [repo, wide, None, None, None]], columns=columns)
 
 
 def single_factor_models(facts: DataFrame, selected: str, factors: dict[str, tuple[str, bool]]) -> pd.DataFrame:

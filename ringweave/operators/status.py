@@ -77,3 +77,14 @@ def run_phase(units: list, phase: str, run, status, stop_on_blocked: bool = True
         if stop_on_blocked and outcome == "blocked":
             break
     return rows
+
+
+def skipped_rows(units: DataFrame, branches: DataFrame, keys: list[str], phase: str) -> DataFrame:
+    """Status rows of units whose branch isn't there: the phase is skipped."""
+    gone = missing(units, branches, keys)
+    return gone.select(*keys, F.lit(phase).alias("phase"), F.lit("skipped").alias("outcome"), F.lit("missing_branch").alias("reason"))
+
+
+def deletable(branch: str, base: str, experiment: str) -> bool:
+    """Whether a refactoring branch may be deleted: it has the experiment's prefix and isn't the base."""
+    return branch != base and branch.startswith(f"atd-{experiment}-")

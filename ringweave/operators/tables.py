@@ -312,3 +312,22 @@ def external_top(edges: DataFrame, members: DataFrame, k: int = 20) -> DataFrame
     got = out.unionByName(inn).groupBy("cycle_id", "direction", "node").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("cycle_id", "direction").orderBy(F.desc("n"), "node"))
     return got.withColumn("place", place).where(F.col("place") <= k)
+
+
+def selected_mode(facts: DataFrame, baseline: str = "no_explain") -> str | None:
+    """The one mode that stands against the baseline; None where there is none or more than one."""
+    modes = [r["mode_id"] for r in facts.where("mode_id is not null").select("mode_id").distinct().limit(3).collect()]
+    others = [m for m in modes if m != baseline]
+    return others[0] if baseline in modes and len(others) == 1 else None
+
+
+def in_display_order(table: DataFrame, facts: DataFrame, *first: Column) -> DataFrame:
+    """A table's rows by the given columns and then by the modes' order in the plan."""
+    order = facts.groupBy("mode_id").agg(F.min("mode_order").alias("_o"))
+    return table.join(order, "mode_id", "left").orderBy(*first, "_o").drop("_o")
+
+
+def size_rank(label: Column | str) -> Column:
+    """Place of a size bin among the fixed ones."""
+    labels = F.array(*[F.lit(b[2]) for b in E.SIZE_BINS])
+    return F.array_position(labels, E.col(label))

@@ -144,3 +144,16 @@ def test_status_stream(spark, tmp_path):
     w = status_stream.outcome_counts(s, late="0 seconds").writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     w.awaitTermination(60)
     assert sum(r["n"] for r in spark.table("counts").collect()) == 4
+
+
+def test_command_line(spark, tmp_path):
+    from ringweave.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    edges = [{"source": a, "target": b} for a, b in (("a", "b"), ("b", "a"), ("b", "c"))]
+    (tmp_path / "in" / "g.json").write_text(json.dumps({"nodes": [], "edges": edges}))
+    main(["cycles", "--graphs", str(tmp_path / "in"), "--out", str(tmp_path / "out")])
+    doc = json.loads(spark.read.json(str(tmp_path / "out" / "cycle_catalog")).first()["doc"])
+    assert doc["sccs"][0]["cycles"][0]["id"] == "scc_0_cycle_0"
+    report = json.loads(spark.read.json(str(tmp_path / "out" / "scc_report")).first()["doc"])
+    assert report["global_metrics"]["scc_count"] == 1

@@ -174,3 +174,36 @@ def test_external_connections(spark):
     e = spark.createDataFrame([("g", "src/a.py", f"src/{p}") for p in ("k/1.py", "k/2.py", "m/3.py")], "graph_id string, src string, dst string")
     r = context.external_connections(c, e, 1, 1, 2).first()
     assert (r["total"], r["folders"], r["omitted_folders"], r["samples"], r["omitted"]) == (3, "src/k (2)", 1, ["src/k/1.py", "src/m/3.py"], 1)
+
+
+def test_glmm_with_two_intercepts():
+    rng = np.random.default_rng(2)
+    repo = np.repeat(np.arange(60), 10)
+    cycle = np.repeat(np.arange(300), 2)
+    x = np.tile([0.0, 1.0], 300)
+    eta = 0.6 * x + rng.normal(0, 0.9, 60)[repo] + rng.normal(0, 0.7, 300)[cycle]
+    won = rng.binomial(30, 1 / (1 + np.exp(-eta)))
+    m = stats.Glmm(cycle, won, np.full(600, 30), x, repo).fit()
+    assert m.p[1] == pytest.approx(0.6, abs=0.12)
+    assert math.sqrt(m.variance) == pytest.approx(0.7, abs=0.15) and math.sqrt(m.outer_variance) == pytest.approx(0.9, abs=0.25)
+
+
+def test_displays(spark):
+    r = one(spark, E.fallback_label(F.lit("explain_E1_S1_noaux")), E.display_configuration(F.lit("x"), F.lit("X"), ["x", "no_explain"]), E.display_configuration(F.lit("x"), F.lit("X"), ["x", "y", "no_explain"]),
+        E.fill_template("a {r} b {c}", {"r": F.lit("1"), "c": F.lit("2")}), E.utc_text(F.lit("2024-01-31 12:00:00").cast("timestamp")))
+    assert tuple(r) == ("E1 S1", "selected", "X", "a 1 b 2", "2024-01-31T12:00:00Z")
+    f = spark.createDataFrame([("no_explain", 0), ("x", 1)], "mode_id string, mode_order int")
+    assert T.selected_mode(f) == "x" and T.selected_mode(f.where("mode_order = 1")) is None
+    assert [r["mode_id"] for r in T.in_display_order(f.select("mode_id"), f).collect()] == ["no_explain", "x"]
+
+
+def test_prompts(spark):
+    rows = spark.createDataFrame([("c", 1, "b -> c", "second " * 50, 40), ("c", 0, "a -> b", "first", 40)], "cycle_id string, ord int, edge string, report string, budget int")
+    text = context.synthesizer_prompt(rows, ["cycle_id"], F.lit("system"), F.lit("extra"), "budget").first()["prompt"]
+    assert text.startswith("system\n\nextra\n\n--- BEGIN a -> b ---\nfirst\n") and "[Truncated]" in text
+    e = spark.createDataFrame([("a.py", "b.py", "x", "y", 100)], "src string, dst string, src_text string, dst_text string, budget int")
+    assert "Edge: a.py -> b.py" in context.edge_prompt(e, F.lit("s"), "budget").first()["prompt"]
+    assert one(spark, context.minimal_prompt(F.array(F.lit("a"), F.lit("b")), F.lit("python")))[0].endswith(E.EXPLANATION_ANCHOR)
+    assert context.require_variant(spark, "E1").first()["style"] == "advisory"
+    with pytest.raises(ValueError):
+        context.require_variant(spark, "E7")
