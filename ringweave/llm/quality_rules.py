@@ -37,6 +37,9 @@ BOILERPLATE = (
     "back to top",
     "lorem ipsum",
 )
+#: Held by each row and looked at by ``kept``: a filter on what isn't deterministic stays above the projection that
+#: makes it, where Spark would else judge each text twice, to filter it and to return it.
+_ROW = F.monotonically_increasing_id
 #: A line fails with more than a third of its words noisy, 15 in 100 separators, or 8 and more words of which a
 #: quarter or less differ.
 NOISY_SHARE, SEPARATOR_SHARE, REPEAT_WORDS, DISTINCT_SHARE = 33, 15, 8, 25
@@ -116,13 +119,14 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     ``docs`` stay apart in the struct ``doc``, so no name clashes.
     """
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    lines = base.select("doc", F.transform(F.split(F.coalesce("doc.text", F.lit("")), "\n"), lambda x: let(_words(x), lambda w: _line(x, w))).alias("lines"))
+    lines = base.select("doc", F.transform(F.split(F.coalesce("doc.text", F.lit("")), "\n"), lambda x: let(_words(x), lambda w: _line(x, w))).alias("lines"), _ROW().alias("row"))
     total = lambda of: F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + of(x))
     text = F.coalesce("doc.text", F.lit(""))
     worded = F.transform(F.filter("lines", lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
     counted = lines.select(
         "doc",
         "lines",
+        "row",
         total(lambda x: F.size(x["words"]).cast("long")).alias("n_words"),
         total(lambda x: x["chars"]).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -144,7 +148,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
         "lost_chars",
         gone.alias("failed_lines"),
         failed.alias("base_failed"),
-        (~failed & ~lost).alias("kept"),
+        (~failed & ~lost & (F.col("row") >= 0)).alias("kept"),
         F.when(F.col("doc.text").isNotNull(), F.array_join(stay, "\n")).alias("clean_text"),
     )
 
