@@ -18,7 +18,7 @@ _SPLIT = re.compile(
 _OTHER = re.compile(rf"[^\x00-\x7f{_LATIN}]")
 _CUT = re.compile(r"\S (?=\S)")
 #: Pieces remembered for each worker, and their characters; the memory starts anew beyond either.
-PIECES, PIECE_CHARS = 1_000_000, 16_000_000
+PIECES, PIECE_CHARS = 400_000, 8_000_000
 
 
 class _Numbers(dict):
