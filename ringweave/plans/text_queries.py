@@ -120,10 +120,10 @@ def usage_totals(spark, sf_dir):
     return runs.usage_totals(e, ["g"])
 
 
-@register(Q, SQL, "SELECT order_day, count(*)::BIGINT AS n FROM (SELECT o_orderdate::DATE AS order_day FROM orders WHERE date_diff('day', o_orderdate::DATE, DATE '1998-08-02') <= 365) GROUP BY ALL")
+@register(Q, SQL, "SELECT order_day::VARCHAR AS order_day, count(*)::BIGINT AS n FROM (SELECT o_orderdate::DATE AS order_day FROM orders WHERE date_diff('day', o_orderdate::DATE, DATE '1998-08-02') <= 365) GROUP BY ALL")
 def recent_enough(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("order_day"))
-    return o.where(F.datediff(F.lit("1998-08-02").cast("date"), "order_day") <= 365).groupBy("order_day").agg(F.count("*").alias("n"))
+    return o.where(F.datediff(F.lit("1998-08-02").cast("date"), "order_day") <= 365).groupBy(F.col("order_day").cast("string").alias("order_day")).agg(F.count("*").alias("n"))
 
 
 @register(Q, SQL)

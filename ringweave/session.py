@@ -47,8 +47,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch. Texts are long, and a worker holds a batch in several forms at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers can import it."""
+    """Send this package to the executors once per application, so that workers can import it.
+
+    Also holds Arrow batches to ``BATCH``, where the session has larger ones.
+    """
+    if int(spark.conf.get(BATCH[0]).rstrip("b")) > BATCH[1]:
+        spark.conf.set(*map(str, BATCH))
     app = "shipped:" + spark.sparkContext.applicationId
     if app in _OWN:
         return
