@@ -17,8 +17,8 @@ _SPLIT = re.compile(
 )
 _OTHER = re.compile(rf"[^\x00-\x7f{_LATIN}]")
 _CUT = re.compile(r"\S (?=\S)")
-#: Pieces remembered for each worker, and their characters; the memory starts anew beyond either.
-PIECES, PIECE_CHARS = 400_000, 8_000_000
+#: Pieces remembered for each worker, and their characters. Beyond either, those met again stay, up to half as many.
+PIECES, PIECE_CHARS = 700_000, 12_000_000
 
 
 class _Numbers(dict):
@@ -84,12 +84,29 @@ class TextEncoder:
         )
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self._forget()
+        self._clear()
 
-    def _forget(self) -> None:
-        self.numbers, self.chars = _Numbers(), 0
+    def _clear(self) -> None:
+        self.numbers, self.chars, self.met = _Numbers(), 0, _Rows(np.int64)
         self.flat, self.first, self.n_ids = _Rows(self.dtype), _Rows(np.int64), _Rows(np.int64)
 
+    def _forget(self) -> None:
+        """Forget pieces met once, and the rarest beyond half of what is remembered."""
+        met = self.met.data[: self.met.n]
+        stay = np.argsort(-met, kind="stable")[: PIECES // 2]
+        stay = np.sort(stay[met[stay] > 1])
+        names, ids, n = list(self.numbers), self.ids_of(stay), self.n_ids.data[stay]
+        chars = np.cumsum([len(names[i]) for i in stay.tolist()])
+        stay, n = stay[: (k := int(np.searchsorted(chars, PIECE_CHARS // 2)))], n[:k]
+        self._clear()
+        for i in stay.tolist():
+            self.numbers[names[i]] = len(self.numbers)
+        self.chars = int(chars[k - 1]) if k else 0
+        self.flat.add(ids[: int(n.sum())])
+        self.first.add(np.cumsum(n) - n)
+        self.n_ids.add(n)
+        self.met.add(np.ones(k, np.int64))
+
     def pieces(self, texts: list[str]) -> tuple[list[list[str] | None], list[np.ndarray]]:
         """The pieces of each text (None: goes through the library whole) and their numbers."""
         if len(self.numbers) > PIECES or self.chars > PIECE_CHARS:
@@ -103,8 +120,11 @@ class TextEncoder:
             self.first.add(to[:-1] + self.flat.n)
             self.n_ids.add(np.diff(to))
             self.flat.add(np.array(got.ids, dtype=self.dtype))
+            self.met.add(np.zeros(len(new), np.int64))
             self.chars += sum(map(len, new))
             self.numbers.new = []
+        if at:
+            self.met.data[: self.met.n] += np.bincount(np.concatenate(at), minlength=self.met.n)
         return split, at
 
     def ids_of(self, at: np.ndarray) -> np.ndarray:
