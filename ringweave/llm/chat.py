@@ -127,8 +127,6 @@ def format_events(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) ->
     ship_package(events.sparkSession)
 
     def run(batches):
-        held: dict[str, list] = {}
-
         def rows():
             for batch in batches:
                 conv, turn, op, role, text = (batch.column(k).to_pylist() for k in range(5))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: At most so many labels are learned, the most frequent ones.
+LABELS = 256
 
 
 def held_out(doc_id: Column) -> Column:
@@ -16,7 +18,7 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[str, str]], dict[str, int]]:
     """(text, label) of at most ``per_class`` documents of each label, and how many there are of each.
 
-    ``labels`` has doc_id and label (string). Only rows outside the held-out fold count; a doc_id with two
+    ``labels`` has doc_id and label (string). Only rows outside the held-out fold count, and the ``LABELS`` most frequent labels; a doc_id with two
     different labels has none. The sample follows a hash of the doc_id, so it is the same in each run; whole texts
     are taken, and of repeated doc_ids the least text.
     """
@@ -27,7 +29,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[l
         .where("label = other")
         .select("doc_id", "label")
     )
-    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    found = own.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS)
+    counts = {r["label"]: r["n"] for r in found.collect()}
     if not counts:
         return [], {}
     # a part of each label by hash, a little over what is wanted, cut to it on the driver
