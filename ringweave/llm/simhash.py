@@ -14,6 +14,7 @@ forest, not all pairs, so a large group of near copies gives no more links than
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stored
+from .decontaminate import _mix, _runs, plain, shingles, word_hashes
 
 #: Differing bits up to which fingerprints link; the grid is made for this number.
 MAX_BITS = 3
@@ -62,25 +64,28 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
 def embed(f: np.ndarray) -> np.ndarray:
-    """Bit counts of the 32 two-bit segments, each in the two bits of its segment."""
+    """Bit counts of the two-bit segments, each in the two bits of its segment."""
     return f - ((f >> np.uint64(1)) & _PAIRS)
 
 
-def cells(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, asks): each fingerprint's own cell for each half, and those one step up, which it asks."""
+def cells(f: np.ndarray, bits: int = 64, tag: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, asks): each fingerprint's own cell for each half, and those one step up, which it asks.
+
+    ``bits`` is a fingerprint's width, a multiple of 4; ``tag`` tells the cells of several fingerprints apart.
+    """
     e = embed(f)
     rows, own, asks = [], [], []
-    at = np.arange(len(f))
+    at, wide = np.arange(len(f)), bits // 2
     for half in (0, 1):
-        c = (e >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        tag = np.uint64(half << 32)
+        c = (e >> np.uint64(wide * half)) & np.uint64((1 << wide) - 1)
+        name = np.uint64((2 * tag + half) << 32)
         rows.append(at)
-        own.append(c | tag)
+        own.append(c | name)
         asks.append(np.zeros(len(f), dtype=bool))
-        for lane in range(16):
+        for lane in range(wide // 2):
             up = np.flatnonzero(((c >> np.uint64(2 * lane)) & np.uint64(3)) < 2)
             rows.append(up)
-            own.append((c[up] + np.uint64(1 << 2 * lane)) | tag)
+            own.append((c[up] + np.uint64(1 << 2 * lane)) | name)
             asks.append(np.ones(len(up), dtype=bool))
     return np.concatenate(rows), np.concatenate(own).astype(np.int64), np.concatenate(asks)
 
@@ -106,16 +111,25 @@ class _Sets:
         return True
 
 
-def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS, hubs: int = 0) -> list[tuple[int, int]]:
     """Links that span the near groups among those who meet in a cell: (place, place), a forest.
 
     Compared are residents with each other and with those who ask; two who only ask meet elsewhere if they
-    are near. Comparisons go block by block, so memory stays bounded.
+    are near. Comparisons go block by block, so memory stays bounded. With ``hubs`` all near links of so many
+    residents closest to the cell's majority fingerprint come too: copies of one text are nearest to that text.
     """
     home, out = np.flatnonzero(~asks), []
     if not len(home):
         return out
     sets = _Sets(len(f))
+    if hubs:
+        bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        centre = np.packbits((2 * bits.sum(axis=0, dtype=np.int64) > len(f)).astype(np.uint8), bitorder="little").view("<u8")[0]
+        for x in home[np.argsort(np.bitwise_count(f[home] ^ centre), kind="stable")[:hubs]].tolist():
+            for y in np.flatnonzero(np.bitwise_count(f ^ f[x]) <= max_bits).tolist():
+                if y != x:
+                    sets.join(x, y)
+                    out.append((x, y))
     for at in range(0, len(home), 256):
         mine = home[at : at + 256]
         for to in range(0, len(f), 1 << 14):
@@ -149,17 +163,23 @@ def fingerprint_documents(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, f long")
 
 
-def near_links(reps: DataFrame) -> DataFrame:
-    """Links (a, b) between the ``rep`` of distinct fingerprints ``f`` that span the near groups."""
+def near_links(reps: DataFrame, bits: int = 64, hubs: int = 0) -> DataFrame:
+    """Links (a, b) between the ``rep`` of distinct fingerprints ``f`` that span the near groups.
+
+    With a column ``tag`` the fingerprints of each tag are linked among themselves.
+    """
 
     def to_cells(batches):
         for batch in batches:
-            f, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for at in range(0, len(f), 4096):
-                own = f[at : at + 4096]
-                row, cell, asks = cells(own.view(np.uint64))
+            f, rep, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            order = np.argsort(tags, kind="stable")
+            f, rep, tags = f[order], rep[order], tags[order]
+            ends = [0, *(np.flatnonzero(tags[1:] != tags[:-1]) + 1).tolist(), len(tags)]
+            for at in (i for a, b in zip(ends, ends[1:]) for i in [(k, min(k + 4096, b)) for k in range(a, b, 4096)]):
+                own = f[slice(*at)]
+                row, cell, asks = cells(own.view(np.uint64), bits, int(tags[at[0]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(own[row]), pa.array(rep[at : at + 4096][row]), pa.array(asks)], schema=_CELLS
+                    [pa.array(cell), pa.array(own[row]), pa.array(rep[slice(*at)][row]), pa.array(asks)], schema=_CELLS
                 )
 
     def met(batches):
@@ -208,7 +228,7 @@ def near_links(reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], schema=_LINKS)
 
     met_rows = (
-        reps.select("f", "rep")
+        reps.select("f", "rep", *(["tag"] if "tag" in reps.columns else [F.lit(0).cast("long").alias("tag")]))
         .mapInArrow(to_cells, "cell long, f long, rep long, asks boolean")
         .repartition("cell")
         .sortWithinPartitions("cell")
@@ -239,7 +259,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _mark(links: DataFrame) -> tuple:
-    r = links.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
+    r = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s")).first()
     return r["n"], r["s"]
 
 
@@ -272,6 +292,104 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return both.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Signatures of a text's distinct words: how many, and how wide each is.
+SIGNATURES, SIGNATURE_BITS, HUBS = 4, 40, 3
+
+
+def signatures(texts: list[str | None]) -> np.ndarray:
+    """``SIGNATURES`` SimHashes, ``SIGNATURE_BITS`` wide, of the distinct words of each whole text (words as in
+    ``decontaminate.plain``). No words: zeros."""
+    runs = [(i, r) for i, t in enumerate(texts) for r in _runs(plain(t))]
+    which, hashes = [], []
+    for i, run in runs:
+        h = word_hashes(run)[1]
+        which.append(np.full(len(h), i))
+        hashes.append(h)
+    n = len(texts)
+    if not hashes:
+        return np.zeros((n, SIGNATURES), np.uint64)
+    which, h = np.concatenate(which), np.concatenate(hashes)
+    order = np.lexsort((h, which))
+    which, h = which[order], h[order]
+    if len(h):
+        fresh = np.concatenate([[True], (which[1:] != which[:-1]) | (h[1:] != h[:-1])])
+        which, h = which[fresh], h[fresh]
+    count = np.bincount(which, minlength=n)
+    wide = SIGNATURE_BITS // 8
+    seeds = np.arange(1, -(-SIGNATURES * wide // 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    each = _mix(h[:, None] + seeds[None]).view(np.uint8).reshape(len(h), -1) if len(h) else np.zeros((0, 8 * len(seeds)), np.uint8)
+    out = np.zeros((n, SIGNATURES), np.uint64)
+    for k in range(SIGNATURES * wide):
+        held = np.bincount(which * 256 + each[:, k], minlength=n * 256).reshape(n, 256) @ _BITS
+        byte = np.packbits((2 * held > count[:, None]).astype(np.uint8), axis=1, bitorder="little")[:, 0]
+        out[:, k // wide] |= byte.astype(np.uint64) << np.uint64(8 * (k % wide))
+    return out
+
+
+def similarity(a: str | None, b: str | None, words: int = 5) -> float:
+    """Jaccard similarity of two texts' shingles; texts without words are alike."""
+    x, y = set(shingles(plain(a), words)), set(shingles(plain(b), words))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("m", pa.string()), ("s", pa.list_(pa.int64()))])
+
+
+def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """doc_id and component_id for each row: texts link at a Jaccard similarity of ``threshold`` of their shingles.
+
+    Candidates are texts of which one of several short SimHashes of the distinct words differ in ``MAX_BITS`` bits or
+    less, found in the same grid; each is verified on the shingles of both whole texts. Equal texts collapse first.
+    In a crowded cell the links of its most central texts and a spanning forest are candidates, not all pairs.
+
+    component_id is the smallest doc_id reachable. Null doc_ids, empty texts, repeated rows, empty tables and other
+    columns are as in ``near_duplicates``; rows with a null doc_id alone in a component have a null component_id.
+    """
+    ship_package(docs.sparkSession)
+
+    def sign(batches):
+        for batch in batches:
+            keys = batch.column(0)
+            for at in range(0, batch.num_rows, 256):
+                texts = batch.column(1).slice(at, 256).to_pylist()
+                m = [hashlib.md5((t or "").encode("utf-8", "replace")).hexdigest() for t in texts]
+                s = signatures(texts).view(np.int64).tolist()
+                yield pa.RecordBatch.from_arrays([keys.slice(at, 256), pa.array(m), pa.array(s, pa.list_(pa.int64()))], schema=_SIGNED)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = stored(rows.mapInArrow(sign, "doc_id long, m string, s array<long>"), "signatures")
+    count = keyed.groupBy("m").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s"), F.count("*").alias("n"))
+    reps = stored(count.withColumn("node", F.monotonically_increasing_id()), "signature-reps")
+    total = reps.agg(F.sum("n").alias("n")).first()["n"] or 0
+    signed = reps.select(F.posexplode("s").alias("tag", "f"), F.col("node").alias("rep")).select("f", "rep", F.col("tag").cast("long").alias("tag"))
+    pairs = stored(near_links(signed, SIGNATURE_BITS, HUBS), "similar-pairs")
+    # one text of each candidate; texts are as many as the candidates, so no side is broadcast whatever its size
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(reps.join(ends, "node").select("node", "m", F.col("rep").alias("doc_id")), "similar-wanted")
+    own = rows.select(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("m"), "text")
+    found = own.join(wanted.hint("merge"), (own["m"] == wanted["m"]) & own["doc_id"].eqNullSafe(wanted["doc_id"]))
+    texts = stored(found.select("node", "text").dropDuplicates(["node"]), "similar-texts")
+
+    def verify(batches):
+        for batch in batches:
+            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
+            good = [similarity(s, t, words) >= threshold for s, t in zip(x, y)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    parts = components(links)
+    named = reps.join(parts, "node", "left")
+    named = named.select("m", "n", "rep", F.coalesce("component", "node").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    labelled = stored(named.join(least, "c").select("m", "n", "component_id"), "similar-components")
+    hot = F.col("n") * HOT_SHARE > total
+    many = F.broadcast(labelled.where(hot).select("m", "component_id", F.lit(True).alias("hot")))
+    marked = keyed.select("doc_id", "m").join(many, "m", "left")
+    cold = marked.where("hot is null").select("m", "doc_id").join(labelled.where(~hot).select("m", "component_id"), "m")
+    return marked.where("hot").select("doc_id", "component_id").unionByName(cold.select("doc_id", "component_id"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")))

@@ -5,9 +5,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from ringweave.llm import decontaminate, simhash
+from ringweave.llm import decontaminate
 from ringweave.session import stored
-from test_text_operators import brute_classes
+from test_text_operators import brute_similar
 
 NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,7 +24,7 @@ def test_stages(spark, sf):
     labels = pd.read_parquet(f"{sf}/labels.parquet").set_index("doc_id").quality
     assert all(labels.get(i, 1) == 1 for i in ruled.doc_id) and (ruled.n_chars == ruled.text.str.len()).all()
     scored = scored.sort_values("doc_id")
-    classes = brute_classes(simhash.fingerprints(scored.text.tolist()))
+    classes = brute_similar(scored.text.tolist())
     assert set(single.doc_id) == set(scored.doc_id.iloc[sorted(set(classes))])
     items = [set(decontaminate.shingles(decontaminate.plain(t))) for t in pd.read_parquet(f"{sf}/benchmark.parquet").text]
     own = {i: set(decontaminate.shingles(decontaminate.plain(t))) for i, t in zip(single.doc_id, single.text)}

@@ -179,6 +179,57 @@ def brute_classes(f):
     return [root(i) for i in range(len(f))]
 
 
+def brute_similar(texts):
+    """The least place that each text reaches by links of 0.8 or more."""
+    up = list(range(len(texts)))
+    sets = [set(decontaminate.shingles(decontaminate.plain(t))) for t in texts]
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] or sets[j] else 1.0) >= 0.8:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_similar_documents(spark):
+    rng = random.Random(12)
+    rows, base = [], None
+    for i in range(160):  # texts, copies with a few words changed, and exact copies
+        if i % 8 == 0:
+            base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 150, 400]))]
+            w = base
+        else:
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, len(w) // 60 + 1])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_similar([t for _, t in rows])
+    missed = sum(got[i] != want[i] for i in range(len(rows)))
+    assert missed <= 2 and all(want[got[i]] == want[i] for i in range(len(rows)))  # no false link
+
+
+def test_crowded_cell_keeps_its_star():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**40, dtype=np.uint64)
+    f = np.array([base] + [base ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a, b in rng.integers(0, 40, (80, 2))], dtype=np.uint64)
+    links = set(simhash.cell_links(f[::-1].copy(), np.zeros(len(f), bool), 3, 3))
+    assert {(len(f) - 1, i) for i in range(len(f) - 1)} <= links
+
+
+def test_similar_odd_rows(odd, none):
+    got = simhash.similar_documents(odd).toPandas()
+    by = got.dropna(subset="doc_id").drop_duplicates("doc_id").set_index("doc_id").component_id
+    assert len(got) == odd.count() and by[4] == by[3] == 3 and by[1] == by[5] == 1 and by[2] == 2
+    assert simhash.similar_documents(none).count() == 0
+
+
 def test_grid_finds_all_links(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**64, 12, dtype=np.uint64)
