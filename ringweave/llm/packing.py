@@ -20,8 +20,8 @@ from .tokens import bounded, default_path, encoder
 
 #: A plan of more rows is joined by size instead of being broadcast (six longs a row).
 PLAN_ROWS = 300_000
-#: Pieces of one size are ranked in buckets of about so many.
-BUCKET_ROWS = 100_000
+#: Pieces of one size are ranked in buckets of about so many, so that a task holds some tens of MB of ids at most.
+BUCKET_ROWS = 4096
 
 
 @dataclass
@@ -213,11 +213,12 @@ def pack_documents(
     places = spark.createDataFrame(
         plan.rows, "length long, first long, n long, bin0 long, per_bin long, at long"
     )
-    buckets = max(16, -(-max(counts.values(), default=0) // BUCKET_ROWS))
+    sizes = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, _buckets long")
     carry = {"ids": F.col("ids")} if carry is None else carry
     own = pieces.select(
         "doc_id", "piece", "start", "length", *[c.alias(name) for name, c in carry.items()], F.crc32("ids").alias("_tie")
-    ).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "_tie"), F.lit(buckets)))
+    )
+    own = own.join(F.broadcast(sizes), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "_tie"), F.col("_buckets")))
     # a size that many pieces share is ranked in buckets: rank there, after those of the buckets before
     held = own.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
