@@ -46,6 +46,7 @@ def _upto(value: Column, *steps: tuple[float, str], above: str) -> Column:
     return out.otherwise(above)
 
 
+#: Bins of cycle sizes. Fixed values.
 SIZE_BINS = [(2, 3, "2--3"), (4, 6, "4--6"), (7, 8, "7--8")]
 
 
@@ -90,6 +91,7 @@ def scc_bin(n: Column | str) -> Column:
     return _upto(col(n), (10, "1--10"), (50, "11--50"), above=">50")
 
 
+#: Labels of the three bins of each of four factors. Fixed values.
 BIN_ORDER = ["<=1x average", "1--2x average", ">2x average", "<=50", "51--100", ">100", "<=100", "101--300", ">300", "1--10", "11--50", ">50"]
 
 
@@ -99,6 +101,7 @@ def bin_rank(label: Column | str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), col(label)), F.lit(999))
 
 
+#: Bins of pooled success. Fixed values.
 DIFFICULTY_BINS = ["0%", ">0--10%", ">10--25%", ">25--50%", ">50--75%", ">75--<100%", "100%"]
 
 
@@ -305,7 +308,8 @@ def clip_middle(text: Column | str, max_chars: int, mark: str = "\n... [snip for
     return F.when(F.length(t) <= max_chars, t).otherwise(F.concat(F.left(t, F.lit(half)), F.lit(mark), tail))
 
 
-EXPLANATION_ANCHOR = "all relevant references must be removed."
+#: The line of the base prompt that explanations follow. Fixed value.
+EXPLANATION_ANCHOR = "- It is not enough to remove some imports/references: for the chosen broken edge, all relevant references must be removed."
 
 
 def explanation_length(prompt: Column | str, anchor: str = EXPLANATION_ANCHOR) -> Column:

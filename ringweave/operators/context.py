@@ -186,7 +186,7 @@ def minimal_prompt(nodes: Column | str, language: Column | str) -> Column:
         F.concat(F.lit("Break this dependency cycle in the "), E.display_language(language), F.lit(" code:")),
         E.cycle_chain(nodes),
         F.lit("- Remove one dependency of the cycle and keep the behavior."),
-        F.lit("- For the chosen broken edge, " + E.EXPLANATION_ANCHOR),
+        F.lit(E.EXPLANATION_ANCHOR),
     )
 
 

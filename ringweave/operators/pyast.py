@@ -56,8 +56,6 @@ def runtime_imports(text: str, module: str, is_package: bool = False, compat: bo
             base = resolve(module, is_package, node.level or 0, node.module, compat)
             if base:
                 out.add(base)
-                if not compat:
-                    out.update(f"{base}.{a.name}" for a in node.names if a.name != "*")
         todo += ast.iter_child_nodes(node)
     return sorted(out)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 
+#: Fixed values.
 HEADERS = {
     "configuration": "Configuration",
     "runs": "Runs",

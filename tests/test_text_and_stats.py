@@ -95,7 +95,7 @@ def test_footprint_and_patches(spark):
 
 def test_python_facts():
     text = "from typing import TYPE_CHECKING\nimport os.path as p\nif TYPE_CHECKING:\n    import t\nelse:\n    import u\nfrom . import q\n"
-    assert pyast.runtime_imports(text, "pkg.m") == ["os.path", "pkg", "pkg.q", "typing", "typing.TYPE_CHECKING"]
+    assert pyast.runtime_imports(text, "pkg.m") == ["os.path", "pkg", "typing"]
     assert pyast.runtime_imports("def (", "m") == []
     assert pyast.top_level_symbols(["def f():", "    def g():", "class C:", "async def h():"]) == ["f", "C", "h"]
     assert pyast.import_names(["import a.b", "from x import (y,", "def f():"]) == []
