@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,12 +52,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
+def _bytes(text: str) -> int:
+    """A size as Spark writes it: 64m, 1g, 100b, 100."""
+    m = re.fullmatch(r"(\d+)([kmgt]?)b?", text.strip().lower())
+    return int(m[1]) << 10 * " kmgt".index(m[2] or " ") if m else 0
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers can import it.
 
     Also holds Arrow batches to ``BATCH``, where the session has larger ones.
     """
-    if int(spark.conf.get(BATCH[0]).rstrip("b")) > BATCH[1]:
+    if _bytes(spark.conf.get(BATCH[0])) > BATCH[1]:
         spark.conf.set(*map(str, BATCH))
     app = "shipped:" + spark.sparkContext.applicationId
     if app in _OWN:
