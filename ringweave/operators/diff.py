@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -17,14 +17,12 @@ from . import pyast
 META = ("@@", "index ", "new file mode ", "deleted file mode ", "similarity index ", "rename from ", "rename to ")
 
 
-def diff_lines(patches: DataFrame, key: str = "run_id", text: str = "patch") -> DataFrame:
-    """key, line_no, line, kind (git, path, meta, add, del, other) of each line."""
-    own = patches.where(F.col(text).isNotNull()).select(key, F.posexplode(E.lines_of(text)).alias("line_no", "line"))
-    line = F.col("line")
+def _kind(line: Column) -> Column:
+    """What a line of a diff is: git, path, meta, add, del, other."""
     meta = F.lit(False)
     for m in META:
         meta = meta | line.startswith(m)
-    kind = (
+    return (
         F.when(line.startswith("diff --git "), "git")
         .when(line.startswith("+++ ") | line.startswith("--- "), "path")
         .when(meta, "meta")
@@ -32,26 +30,35 @@ def diff_lines(patches: DataFrame, key: str = "run_id", text: str = "patch") ->
         .when(line.startswith("-") & ~line.startswith("---"), "del")
         .otherwise("other")
     )
-    return own.withColumn("kind", kind)
+
+
+def diff_lines(patches: DataFrame, key: str = "run_id", text: str = "patch") -> DataFrame:
+    """key, line_no, line, kind (git, path, meta, add, del, other) of each line."""
+    own = patches.where(F.col(text).isNotNull()).select(key, F.posexplode(E.lines_of(text)).alias("line_no", "line"))
+    return own.withColumn("kind", _kind(F.col("line")))
+
+
+def _paths(line: Column) -> Column:
+    """Paths of a ``diff --git`` or path line, with their prefixes."""
+    parts = F.split(F.trim(F.regexp_replace(line, "\\s+", " ")), " ")
+    none = F.array().cast("array<string>")
+    git = F.when(F.size(parts) >= 4, F.slice(parts, 3, 2)).otherwise(none)
+    return F.when(line.startswith("diff --git "), git).otherwise(F.array(F.regexp_replace(F.substr(line, F.lit(5)), "^\\s+|\\s+$", "")))
 
 
 def diff_footprint(patches: DataFrame, key: str = "run_id", text: str = "patch") -> DataFrame:
     """Distinct files and changed characters of each patch; nulls where there is none.
 
     A removed line that begins with ``-- `` looks like a path line and counts as one; a rename counts both paths.
+    Each patch is read within its row, so nothing is shuffled.
     """
-    lines = diff_lines(patches, key, text)
-    parts = F.split(F.trim(F.regexp_replace("line", "\\s+", " ")), " ")
-    tokens = F.when((F.col("kind") == "git") & (F.size(parts) >= 4), F.slice(parts, 3, 2)).when(
-        F.col("kind") == "path", F.array(F.trim(F.regexp_replace(F.substr("line", F.lit(5)), "^\\s+|\\s+$", "")))
-    )
-    files = lines.select(key, F.explode(tokens).alias("f")).where("f <> '/dev/null'").select(key, F.regexp_replace("f", "^[ab]/", "").alias("f")).where("f <> ''")
-    n = files.groupBy(key).agg(F.countDistinct("f").alias("files_modified"))
-    c = lines.where("kind in ('add', 'del')").groupBy(key).agg(F.sum(F.length("line") - 1).alias("chars_changed"))
-    have = F.col(text).isNotNull()
-    out = patches.join(n, key, "left").join(c, key, "left")
-    zero = lambda x: F.when(have, F.coalesce(x, F.lit(0))).cast("long").alias(x)
-    return out.select(key, zero("files_modified"), zero("chars_changed"))
+    lines = patches.select(key, F.transform(E.lines_of(text), lambda x: F.struct(x.alias("line"), _kind(x).alias("kind"))).alias("lines"))
+    heads = F.filter("lines", lambda x: x["kind"].isin("git", "path"))
+    files = F.filter(F.flatten(F.transform(heads, lambda x: _paths(x["line"]))), lambda f: f != "/dev/null")
+    files = F.array_distinct(F.filter(F.transform(files, lambda f: F.regexp_replace(f, "^[ab]/", "")), lambda f: f != ""))
+    changed = F.filter("lines", lambda x: x["kind"].isin("add", "del"))
+    chars = F.aggregate(changed, F.lit(0).cast("long"), lambda n, x: n + F.length(x["line"]) - 1)
+    return lines.select(key, F.when(F.col("lines").isNotNull(), F.size(files)).cast("long").alias("files_modified"), chars.alias("chars_changed"))
 
 
 def patch_lines(patches: DataFrame, key: str = "run_id", text: str = "patch") -> DataFrame:

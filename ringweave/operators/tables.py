@@ -74,10 +74,13 @@ def breakdown(facts: DataFrame, dims: list[str], fixed: dict[str, list[str]] | N
     """
     spark, fixed = facts.sparkSession, fixed or {}
     got = facts.groupBy("mode_id", *dims).agg(*_outcomes())
-    axes = [facts.select("mode_id").distinct()]
-    for d in dims:
-        axes.append(spark.createDataFrame([(v,) for v in fixed[d]], f"{d} string") if d in fixed else facts.where(F.col(d).isNotNull()).select(d).distinct())
-    cells = reduce(lambda a, b: a.crossJoin(b), axes)
+    # one more pass finds the values of all dimensions; their product is as large as the result
+    free = [d for d in ("mode_id", *dims) if d not in fixed]
+    cells = got.agg(*[F.collect_set(d).alias(d) for d in free])
+    for d in free:
+        cells = cells.withColumn(d, F.explode(d))
+    for d in fixed:
+        cells = cells.crossJoin(spark.createDataFrame([(v,) for v in fixed[d]], f"{d} string"))
     full = cells.join(got, ["mode_id", *dims], "left").withColumn("runs", F.coalesce("runs", F.lit(0)).cast("long"))
     return full.select("mode_id", *dims, "runs", *_shares())
 
@@ -99,7 +102,8 @@ def size_language_breakdown(facts: DataFrame) -> DataFrame:
 def repo_success(facts: DataFrame) -> DataFrame:
     """Runs and successes for each repository and mode, empty cells kept."""
     got = facts.groupBy("repo", "mode_id").agg(F.count("*").alias("runs"), E.count_if(flag("success")).alias("successes"))
-    cells = facts.select("repo").distinct().crossJoin(facts.select("mode_id").distinct())
+    cells = got.agg(F.collect_set("mode_id").alias("mode_id"), F.collect_set("repo").alias("repo"))
+    cells = cells.withColumn("repo", F.explode("repo")).withColumn("mode_id", F.explode("mode_id"))
     full = cells.join(got, ["repo", "mode_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return full.select("repo", "mode_id", zero("runs"), zero("successes")).withColumn("success_pct", E.pct("successes", "runs"))
@@ -235,15 +239,17 @@ FACTORS = {
 
 def structural_bins(facts: DataFrame, baseline: str, selected: str) -> DataFrame:
     """Cycles, runs and successes of two modes in each bin of four structural factors, in one pass."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), f(c).alias("bin")) for n, (c, f) in FACTORS.items()])).alias("p")
-    binned = facts.select("repo", "cycle_id", "mode_id", F.coalesce("success", F.lit(0)).alias("success"), pairs)
-    binned = binned.select("repo", "cycle_id", "mode_id", "success", "p.factor", "p.bin").where("bin is not null")
-    # first each cycle's sums, then the bins': no distinct count needs more than a row for each cycle
     of = lambda m: F.col("mode_id") == m
-    per = binned.groupBy("factor", "bin", "repo", "cycle_id").agg(
+    names = ("b_runs", "s_runs", "b_won", "s_won")
+    # first each cycle's sums, a row for each cycle as a rule, and only these rows are multiplied by the factors
+    bins = [f(c).alias(f"f{i}") for i, (c, f) in enumerate(FACTORS.values())]
+    cycles = facts.groupBy("repo", "cycle_id", *bins).agg(
         *[E.count_if(of(m)).alias(f"{n}_runs") for n, m in (("b", baseline), ("s", selected))],
         *[E.count_if(of(m) & flag("success")).alias(f"{n}_won") for n, m in (("b", baseline), ("s", selected))],
     )
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"f{i}").alias("bin")) for i, n in enumerate(FACTORS)])).alias("p")
+    binned = cycles.select("repo", "cycle_id", *names, pairs).select("repo", "cycle_id", *names, "p.factor", "p.bin").where("bin is not null")
+    per = binned.groupBy("factor", "bin", "repo", "cycle_id").agg(*[F.sum(c).alias(c) for c in names])
     got = per.groupBy("factor", "bin").agg(F.count("*").alias("cycles"), *[F.sum(c).alias(c) for c in ("b_runs", "s_runs", "b_won", "s_won")])
     runs = F.when(F.col("b_runs") == F.col("s_runs"), F.col("b_runs").cast("string")).otherwise(F.concat_ws("/", "b_runs", "s_runs"))
     return got.select(
