@@ -13,6 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system that Spark takes it for."""
+    if "://" in path:
+        return path
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/(?!/)", "file:///", full)
+
+
 def work_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -21,13 +30,13 @@ def work_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named.rstrip("/"))
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ringweave-")
         else:
-            _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_ringweave_work"
+            _OWN[app] = qualified(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_ringweave_work")
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
