@@ -165,5 +165,5 @@ def test_shared_folder(spark):
     assert session.qualified(spark, "/tmp/x") == "file:///tmp/x" == session.qualified(spark, "file:/tmp/x") and session.qualified(spark, "s3://b/x") == "s3://b/x"
     assert session.work_dir(spark).startswith("file:///")
     df = session.stored(spark.range(3), "test")
-    assert df.count() == 3 and df.schema == spark.range(3).schema
+    assert df.count() == 3 and df.columns == ["id"]
     assert [session._bytes(x) for x in ("64m", "1g", "7", "67108864b")] == [64 << 20, 1 << 30, 7, 64 << 20]
