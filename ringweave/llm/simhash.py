@@ -9,12 +9,16 @@ and is asked for in the cells one step up; pairs that are one step apart meet in
 near pair is missed. Whoever meets in a cell is compared exactly.
 
 Copies collapse into one fingerprint before the join, and a cell returns links that span its near groups, a
-forest, not all pairs, so a large group of near copies gives no more links than it has fingerprints.
+forest, not all pairs, so a large group of near copies gives no more links than it has fingerprints. Such a forest
+is as good as all pairs wherever a link in it is final (``near_duplicates``). Where links are candidates only
+(``similar_documents``) the forest says which texts may belong together, and all texts of such a candidate group
+are then held against each other exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, stored
-from .decontaminate import _mix, _runs, plain, shingles, word_hashes
+from .decontaminate import _mix, _runs, plain, shingle_hashes, word_hashes
 
 #: Differing bits up to which fingerprints link; the grid is made for this number.
 MAX_BITS = 3
@@ -111,32 +115,21 @@ class _Sets:
         return True
 
 
-def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS, hubs: int = 0) -> list[tuple[int, int]]:
+def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS, done: bool = False) -> list[tuple[int, int]]:
     """Links that span the near groups among those who meet in a cell: (place, place), a forest.
 
-    Compared are residents with each other and with those who ask; two who only ask meet elsewhere if they
-    are near. Comparisons go block by block, so memory stays bounded. With ``hubs`` all near links of so many
-    residents closest to the cell's majority fingerprint come too: copies of one text are nearest to that text.
+    Compared are residents with each other (unless that is ``done``) and with those who ask; two who only ask meet
+    elsewhere if they are near. Comparisons go block by block, so memory stays bounded.
     """
     home, out = np.flatnonzero(~asks), []
-    if not len(home):
-        return out
     sets = _Sets(len(f))
-    if hubs:
-        bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        centre = np.packbits((2 * bits.sum(axis=0, dtype=np.int64) > len(f)).astype(np.uint8), bitorder="little").view("<u8")[0]
-        for x in home[np.argsort(np.bitwise_count(f[home] ^ centre), kind="stable")[:hubs]].tolist():
-            for y in np.flatnonzero(np.bitwise_count(f ^ f[x]) <= max_bits).tolist():
-                if y != x:
-                    sets.join(x, y)
-                    out.append((x, y))
     for at in range(0, len(home), 256):
         mine = home[at : at + 256]
         for to in range(0, len(f), 1 << 14):
             far = np.bitwise_count(f[mine][:, None] ^ f[None, to : to + (1 << 14)])
             a, b = np.nonzero(far <= max_bits)
             a, b = mine[a], b + to
-            keep = (a != b) & (asks[b] | (a < b))
+            keep = (a != b) & (asks[b] | ((a < b) & (not done)))
             for x, y in zip(a[keep].tolist(), b[keep].tolist()):
                 if sets.join(x, y):
                     out.append((x, y))
@@ -144,7 +137,7 @@ def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS, hubs:
 
 
 _KEYED = pa.schema([("doc_id", pa.int64()), ("f", pa.int64())])
-_CELLS = pa.schema([("cell", pa.int64()), ("f", pa.int64()), ("rep", pa.int64()), ("asks", pa.bool_())])
+_CELLS = pa.schema([("cell", pa.int64()), ("v", pa.int64()), ("rep", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -163,63 +156,82 @@ def fingerprint_documents(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, f long")
 
 
-def near_links(reps: DataFrame, bits: int = 64, hubs: int = 0) -> DataFrame:
-    """Links (a, b) between the ``rep`` of distinct fingerprints ``f`` that span the near groups.
+#: Rows of a cell that a worker holds before those who only ask are compared and let go.
+HELD = 1 << 16
+
+
+def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links (a, b) between the ``rep`` of rows that meet in a cell of the grid, spanning the near groups there.
 
-    With a column ``tag`` the fingerprints of each tag are linked among themselves.
+    ``reps`` has f, a fingerprint, which gives the cells, and rep. Near are those whose values ``v`` differ in
+    ``max_bits`` bits or less; without that column ``f`` itself is compared. With a column ``tag`` the
+    fingerprints of each tag have a grid of their own.
     """
 
     def to_cells(batches):
         for batch in batches:
-            f, rep, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            f, v, rep, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             order = np.argsort(tags, kind="stable")
-            f, rep, tags = f[order], rep[order], tags[order]
+            f, v, rep, tags = f[order], v[order], rep[order], tags[order]
             ends = [0, *(np.flatnonzero(tags[1:] != tags[:-1]) + 1).tolist(), len(tags)]
-            for at in (i for a, b in zip(ends, ends[1:]) for i in [(k, min(k + 4096, b)) for k in range(a, b, 4096)]):
-                own = f[slice(*at)]
-                row, cell, asks = cells(own.view(np.uint64), bits, int(tags[at[0]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(own[row]), pa.array(rep[slice(*at)][row]), pa.array(asks)], schema=_CELLS
-                )
+            for a, b in ((k, min(k + 4096, to)) for at, to in zip(ends, ends[1:]) for k in range(at, to, 4096)):
+                row, cell, asks = cells(f[a:b].view(np.uint64), 64, int(tags[a]))
+                yield pa.RecordBatch.from_arrays([pa.array(2 * cell + asks), pa.array(v[a:b][row]), pa.array(rep[a:b][row])], schema=_CELLS)
 
     def met(batches):
-        held: list[tuple] = []  # the last cell's rows, which may go on in the next batch
+        # rows come by cell, its residents before those who ask
+        held: list[np.ndarray] = []  # the last cell's rows, which may go on in the next batch
+        done = False  # whether the residents among them are compared with each other
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            if held:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             if not len(cols[0]):
                 continue
-            last = np.searchsorted(cols[0], cols[0][-1])
+            if held:
+                if done and cols[0][0] >> 1 == held[0][0] >> 1:
+                    here = int(np.searchsorted(cols[0] >> 1, cols[0][0] >> 1, side="right"))
+                    yield from links([np.concatenate([h, c[:here]]) for h, c in zip(held, cols)], True)
+                    if here == len(cols[0]):
+                        continue
+                    cols = [c[here:] for c in cols]
+                elif not done:
+                    cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            last = int(np.searchsorted(cols[0] >> 1, cols[0][-1] >> 1))
             yield from links([c[:last] for c in cols])
-            held = [c[last:] for c in cols]
-        if held:
+            held, done = [c[last:] for c in cols], False
+            if len(held[0]) > HELD and held[0][-1] & 1:  # all residents are here: the others need not stay
+                yield from links(held)
+                home = (held[0] & 1) == 0
+                held, done = [c[home] for c in held], True
+                if not len(held[0]):
+                    held, done = [], False
+        if held and not done:
             yield from links(held)
 
-    def links(cols):
-        cell, f, rep, asks = cols
+    def links(cols, done=False):
+        cell, v, rep = cols
         if len(cell) < 2:
             return
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        ends = np.append(starts[1:], len(cell))
+        asks, u = (cell & 1).astype(bool), v.view(np.uint64)
+        own = cell >> 1
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        ends = np.append(starts[1:], len(own))
         residents = np.add.reduceat((~asks).astype(np.int64), starts)
         a, b = [], []
-        u = f.view(np.uint64)
-        # cells of a few are compared all at once, by shifts; larger ones one by one
+        # cells of a few are compared all at once, by shifts; larger ones one by one, to the same groups
         size = ends - starts
-        few = (size > 1) & (size <= 32) & (residents > 0)
-        end_of = np.repeat(ends, size)
-        in_few = np.repeat(few, size)
+        few = (size > 1) & (size <= 32) & (residents > 0) & (not done)
+        end_of, in_few = np.repeat(ends, size), np.repeat(few, size)
         for shift in range(1, 32):
-            i = np.flatnonzero(in_few & (np.arange(len(cell)) + shift < end_of))
+            i = np.flatnonzero(in_few & (np.arange(len(own)) + shift < end_of))
             if not len(i):
                 break
             j = i + shift
-            near = (np.bitwise_count(u[i] ^ u[j]) <= MAX_BITS) & ~(asks[i] & asks[j])
+            near = (np.bitwise_count(u[i] ^ u[j]) <= max_bits) & ~(asks[i] & asks[j])
             a.append(rep[i[near]])
             b.append(rep[j[near]])
-        for s, e in zip(starts[(size > 32) & (residents > 0)].tolist(), ends[(size > 32) & (residents > 0)].tolist()):
-            got = np.array(cell_links(u[s:e], asks[s:e]), dtype=np.int64).reshape(-1, 2)
+        more = (size > 1) & ~few & (residents > 0)
+        for s, e in zip(starts[more].tolist(), ends[more].tolist()):
+            got = np.array(cell_links(u[s:e], asks[s:e], max_bits, done), dtype=np.int64).reshape(-1, 2)
             a.append(rep[s:e][got[:, 0]])
             b.append(rep[s:e][got[:, 1]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -227,17 +239,19 @@ def near_links(reps: DataFrame, bits: int = 64, hubs: int = 0) -> DataFrame:
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], schema=_LINKS)
 
+    given = reps.select(
+        "f", F.col("v" if "v" in reps.columns else "f").alias("v"), "rep", F.col("tag") if "tag" in reps.columns else F.lit(0).cast("long").alias("tag")
+    )
     met_rows = (
-        reps.select("f", "rep", *(["tag"] if "tag" in reps.columns else [F.lit(0).cast("long").alias("tag")]))
-        .mapInArrow(to_cells, "cell long, f long, rep long, asks boolean")
-        .repartition("cell")
+        given.mapInArrow(to_cells, "cell long, v long, rep long")
+        .repartition(F.shiftright("cell", 1))
         .sortWithinPartitions("cell")
     )
     return met_rows.mapInArrow(met, "a long, b long").where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for each node of the links: the smallest node it reaches.
+    """(node, component) for each node of the links but the smallest of each component, which it names.
 
     Alternates large-star and small-star (Kiveris et al. 2014); each round is aggregations with partial sums
     and one join, written to the shared folder. It ends when a round changes no link.
@@ -292,55 +306,209 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return both.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Signatures of a text's distinct words: how many, and how wide each is.
-SIGNATURES, SIGNATURE_BITS, HUBS = 4, 40, 3
+#: SimHashes of a text's distinct words, 64 bits each.
+SIGNATURES = 4
+#: A large candidate group is looked into in chunks of about so many texts and shingles, and what a chunk leaves
+#: open goes against the whole group in blocks of so many shingles.
+CHUNK_TEXTS, CHUNK_SHINGLES, BLOCK_SHINGLES = 4096, 1 << 22, 1 << 21
 
 
 def signatures(texts: list[str | None]) -> np.ndarray:
-    """``SIGNATURES`` SimHashes, ``SIGNATURE_BITS`` wide, of the distinct words of each whole text (words as in
-    ``decontaminate.plain``). No words: zeros."""
+    """``SIGNATURES`` SimHashes of the distinct words of each whole text (words as in ``decontaminate.plain``). No
+    words: zeros."""
     runs = [(i, r) for i, t in enumerate(texts) for r in _runs(plain(t))]
     which, hashes = [], []
     for i, run in runs:
-        h = word_hashes(run)[1]
+        h = np.unique(word_hashes(run)[1])
         which.append(np.full(len(h), i))
         hashes.append(h)
     n = len(texts)
+    out = np.zeros((n, SIGNATURES), np.uint64)
     if not hashes:
-        return np.zeros((n, SIGNATURES), np.uint64)
-    which, h = np.concatenate(which), np.concatenate(hashes)
+        return out
+    which, h = _distinct(np.concatenate(which), np.concatenate(hashes))
+    count = np.bincount(which, minlength=n)
+    for k in range(SIGNATURES):
+        each = _mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8)
+        for j in range(8):
+            held = np.bincount(which * 256 + each[:, j], minlength=n * 256).reshape(n, 256) @ _BITS
+            byte = np.packbits((2 * held > count[:, None]).astype(np.uint8), axis=1, bitorder="little")[:, 0]
+            out[:, k] |= byte.astype(np.uint64) << np.uint64(8 * j)
+    return out
+
+
+def _distinct(which: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) in order, each once."""
     order = np.lexsort((h, which))
     which, h = which[order], h[order]
-    if len(h):
-        fresh = np.concatenate([[True], (which[1:] != which[:-1]) | (h[1:] != h[:-1])])
-        which, h = which[fresh], h[fresh]
-    count = np.bincount(which, minlength=n)
-    wide = SIGNATURE_BITS // 8
-    seeds = np.arange(1, -(-SIGNATURES * wide // 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    each = _mix(h[:, None] + seeds[None]).view(np.uint8).reshape(len(h), -1) if len(h) else np.zeros((0, 8 * len(seeds)), np.uint8)
-    out = np.zeros((n, SIGNATURES), np.uint64)
-    for k in range(SIGNATURES * wide):
-        held = np.bincount(which * 256 + each[:, k], minlength=n * 256).reshape(n, 256) @ _BITS
-        byte = np.packbits((2 * held > count[:, None]).astype(np.uint8), axis=1, bitorder="little")[:, 0]
-        out[:, k // wide] |= byte.astype(np.uint64) << np.uint64(8 * (k % wide))
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1])
+    return which[fresh], h[fresh]
+
+
+def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
+    """The distinct 64-bit shingle hashes of each whole text, ascending."""
+    which, h = _distinct(*shingle_hashes([plain(t) for t in texts], words))
+    at = np.searchsorted(which, np.arange(len(texts) + 1))
+    return [h[a:b] for a, b in zip(at, at[1:])]
+
+
+def sketch(own: np.ndarray) -> int:
+    """64 bits, one of the least hash in each 64th of the range (of the next such part that has any): two sketches
+    differ in about (1 - similarity) / 2 of them. No shingles: zero."""
+    if not len(own):
+        return 0
+    parts = (own >> np.uint64(58)).astype(np.int64)
+    first = np.searchsorted(parts, np.arange(64))
+    least = own[first % len(own)]
+    return int(np.packbits((_mix(least) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def sketch_bits(threshold: float) -> int:
+    """Bits in which the sketches of similar texts may differ: four standard deviations beyond those expected, which
+    one pair in 20 000 at the threshold exceeds. At 0.8 that is 16, and one pair of unlike texts in 25 000 has no more."""
+    p = (1 - threshold) / 2
+    return int(np.ceil(round(64 * p + 4 * (64 * p * (1 - p)) ** 0.5, 9)))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; texts without words are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+class Shingles:
+    """An index of shingle sets, which tells all that are similar to a given one."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: float):
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        self.threshold = threshold
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.hashes, self.texts = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+    def similar(self, own: np.ndarray) -> np.ndarray:
+        """Places of all sets whose similarity to ``own`` is the threshold or more."""
+        if not len(own):
+            return np.flatnonzero(self.size == 0)
+        a, b = np.searchsorted(self.hashes, own), np.searchsorted(self.hashes, own, side="right")
+        n = b - a
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        both = np.bincount(self.texts[at], minlength=len(self.size))
+        return np.flatnonzero((both >= self.threshold * (self.size + len(own) - both) - 1e-9) & (both > 0))
+
+
+def group_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that give the exact components of some texts at ``threshold``.
+
+    Who is similar to the first one is in one component with it, and links among those change nothing. Each of the
+    rest is held against all, so no link that matters is missing.
+    """
+    index, out = Shingles(sets, threshold), []
+    label = np.arange(len(sets))
+
+    def expand(i: int) -> None:
+        near = index.similar(sets[i])
+        others, first = np.unique(label[near], return_index=True)
+        for name, j in zip(others.tolist(), near[first].tolist()):
+            if name != label[i]:
+                out.append((i, j))
+        label[np.isin(label, others)] = label[i]
+
+    expand(0)
+    for i in np.flatnonzero(label != label[0]).tolist():
+        expand(i)
     return out
 
 
-def similarity(a: str | None, b: str | None, words: int = 5) -> float:
-    """Jaccard similarity of two texts' shingles; texts without words are alike."""
-    x, y = set(shingles(plain(a), words)), set(shingles(plain(b), words))
-    return len(x & y) / len(x | y) if x or y else 1.0
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("m", pa.string()), ("s", pa.list_(pa.int64())), ("v", pa.int64()), ("size", pa.int64())])
+
+
+def _within_groups(texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Verified links (a, b) inside the chunks of candidate groups; the first of a group is in each of its chunks."""
 
+    def run(batches):
+        held, key = [], None
+
+        def done():
+            sets = shingle_sets([t for _, t in held], words)
+            got = group_links(sets, threshold) if len(held) > 1 else []
+            if got:
+                a, b = np.array([n for n, _ in held], dtype=np.int64)[np.array(got).T]
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], schema=_LINKS)
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("m", pa.string()), ("s", pa.list_(pa.int64()))])
+        for batch in batches:
+            for group, chunk, node, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if key != (group, chunk):
+                    yield from done()
+                    held, key = [], (group, chunk)
+                held.append((node, text))
+        yield from done()
+
+    every = F.explode(F.when(F.col("leads"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("chunks")))))
+    dealt = texts.select("group", every.alias("chunk"), "node", "text", "leads")
+    ordered = dealt.repartition("group", "chunk").sortWithinPartitions("group", "chunk", F.desc("leads"), "node")
+    return ordered.select("group", "chunk", "node", "text").mapInArrow(run, "a long, b long")
+
+
+def _across_chunks(texts: DataFrame, links: DataFrame, threshold: float, words: int) -> DataFrame:
+    """``links``, and those between different chunks of large candidate groups.
+
+    Texts that are in one component with their group's first are settled. Each of the rest is held against all texts
+    of its group: blocks of them, bounded in shingles, are indexed and the groups' texts are scanned against each
+    block. A task returns one link at most for a text of the block and a component.
+    """
+    spark = texts.sparkSession
+    large = texts.where("chunks > 1")
+    if large.isEmpty():
+        return links
+    found = components(links)
+    named = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = named.where("leads").select("group", F.col("component").alias("settled"))
+    named = stored(named.join(first, "group").withColumn("open", F.col("component") != F.col("settled")), "similar-large")
+    total = named.where("open").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).first()
+    if not total["rows"]:
+        return links
+    blocks = max(1, -(-total["n"] // BLOCK_SHINGLES), -(-total["rows"] // (4 * CHUNK_TEXTS)))
+    for k in range(blocks):
+        rows = named.where(F.col("open") & (F.pmod(F.xxhash64("node"), F.lit(blocks)) == k)).select("group", "node", "text").collect()
+        if not rows:
+            continue
+        own: dict[int, list] = {}
+        for r, s in zip(rows, shingle_sets([r["text"] for r in rows], words)):
+            own.setdefault(r["group"], []).append((r["node"], s))
+        block = {g: (np.array([n for n, _ in x], dtype=np.int64), Shingles([s for _, s in x], threshold)) for g, x in own.items()}
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches, held=held):
+            told = set()
+            for batch in batches:
+                group, node, component, text = (batch.column(k).to_pylist() for k in range(4))
+                at = [i for i, g in enumerate(group) if g in held.value]
+                out = []
+                for i, s in zip(at, shingle_sets([text[i] for i in at], words)):
+                    nodes, index = held.value[group[i]]
+                    for x in nodes[index.similar(s)].tolist():
+                        if x != node[i] and (x, component[i]) not in told:
+                            told.add((x, component[i]))
+                            out.append((x, node[i]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=_LINKS)
+
+        more = named.select("group", "node", "component", "text").mapInArrow(run, "a long, b long")
+        links = links.unionByName(stored(more, "similar-across"))
+    return links
 
 
 def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id and component_id for each row: texts link at a Jaccard similarity of ``threshold`` of their shingles.
 
-    Candidates are texts of which one of several short SimHashes of the distinct words differ in ``MAX_BITS`` bits or
-    less, found in the same grid; each is verified on the shingles of both whole texts. Equal texts collapse first.
-    In a crowded cell the links of its most central texts and a spanning forest are candidates, not all pairs.
+    Candidates are texts of which a half of one of ``SIGNATURES`` SimHashes of the distinct words has bit counts at
+    a Manhattan distance of 1 or less, found in the same grid, and whose sketches of shingles are near. They give
+    candidate groups, in which components are then found exactly, on the shingles (64-bit hashes) of whole texts,
+    however large a group is. So what can be missed is a text that no candidate leads to; no link inside a
+    candidate group is. Equal texts collapse first.
 
     component_id is the smallest doc_id reachable. Null doc_ids, empty texts, repeated rows, empty tables and other
     columns are as in ``near_duplicates``; rows with a null doc_id alone in a component have a null component_id.
@@ -354,31 +522,36 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5) -
                 texts = batch.column(1).slice(at, 256).to_pylist()
                 m = [hashlib.md5((t or "").encode("utf-8", "replace")).hexdigest() for t in texts]
                 s = signatures(texts).view(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([keys.slice(at, 256), pa.array(m), pa.array(s, pa.list_(pa.int64()))], schema=_SIGNED)
+                sets = shingle_sets(texts, words)
+                v = np.array([sketch(x) for x in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(at, 256), pa.array(m), pa.array(s, pa.list_(pa.int64())), pa.array(v), pa.array([len(x) for x in sets], pa.int64())], schema=_SIGNED
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = stored(rows.mapInArrow(sign, "doc_id long, m string, s array<long>"), "signatures")
-    count = keyed.groupBy("m").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s"), F.count("*").alias("n"))
+    keyed = stored(rows.mapInArrow(sign, "doc_id long, m string, s array<long>, v long, size long"), "signatures")
+    count = keyed.groupBy("m").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s"), F.first("v").alias("v"), F.first("size").alias("size"), F.count("*").alias("n"))
     reps = stored(count.withColumn("node", F.monotonically_increasing_id()), "signature-reps")
     total = reps.agg(F.sum("n").alias("n")).first()["n"] or 0
-    signed = reps.select(F.posexplode("s").alias("tag", "f"), F.col("node").alias("rep")).select("f", "rep", F.col("tag").cast("long").alias("tag"))
-    pairs = stored(near_links(signed, SIGNATURE_BITS, HUBS), "similar-pairs")
-    # one text of each candidate; texts are as many as the candidates, so no side is broadcast whatever its size
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(reps.join(ends, "node").select("node", "m", F.col("rep").alias("doc_id")), "similar-wanted")
+    signed = reps.select(F.posexplode("s").alias("tag", "f"), "v", F.col("node").alias("rep")).withColumn("tag", F.col("tag").cast("long"))
+    maybe = stored(near_links(signed, sketch_bits(threshold)), "similar-candidates")
+    # candidate groups; the text with most candidates, as the original of many copies has, leads its group
+    groups = components(maybe)
+    ends = maybe.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    members = reps.select("node", "m", "size", F.col("rep").alias("doc_id")).join(ends, "node").join(groups, "node", "left")
+    members = stored(members.withColumn("component", F.coalesce("component", "node")), "similar-members")
+    whole = members.groupBy("component").agg(F.max(F.struct("links", "node")).alias("lead"), F.sum("size").alias("shingles"), F.count("*").alias("texts"))
+    chunks = F.greatest(F.ceil(F.col("shingles") / CHUNK_SHINGLES), F.ceil(F.col("texts") / CHUNK_TEXTS))
+    whole = whole.select("component", F.col("lead.node").alias("leader"), chunks.cast("long").alias("chunks"))
+    wanted = members.join(whole, "component").select(
+        F.col("component").alias("group"), "chunks", (F.col("node") == F.col("leader")).alias("leads"), "node", "size", "m", "doc_id"
+    )
+    # one text of each member; members are as many as the documents at worst, so no side is broadcast whatever its size
     own = rows.select(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("m"), "text")
     found = own.join(wanted.hint("merge"), (own["m"] == wanted["m"]) & own["doc_id"].eqNullSafe(wanted["doc_id"]))
-    texts = stored(found.select("node", "text").dropDuplicates(["node"]), "similar-texts")
-
-    def verify(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
-            good = [similarity(s, t, words) >= threshold for s, t in zip(x, y)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    parts = components(links)
+    texts = stored(found.select("group", "chunks", "leads", "node", "size", "text").dropDuplicates(["node"]), "similar-texts")
+    links = stored(_within_groups(texts, threshold, words), "similar-links")
+    parts = components(_across_chunks(texts, links, threshold, words))
     named = reps.join(parts, "node", "left")
     named = named.select("m", "n", "rep", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))

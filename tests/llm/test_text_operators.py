@@ -197,9 +197,15 @@ def brute_similar(texts):
     return [root(i) for i in range(len(texts))]
 
 
+def classes_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(rows).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
 def test_similar_documents(spark):
     rng = random.Random(12)
-    rows, base = [], None
+    texts, base = [], None
     for i in range(160):  # texts, copies with a few words changed, and exact copies
         if i % 8 == 0:
             base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 150, 400]))]
@@ -208,19 +214,85 @@ def test_similar_documents(spark):
             w = list(base)
             for _ in range(rng.choice([0, 1, 1, 2, len(w) // 60 + 1])):
                 w[rng.randrange(len(w))] = f"x{rng.randrange(5000)}"
-        rows.append((i, " ".join(w)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute_similar([t for _, t in rows])
-    missed = sum(got[i] != want[i] for i in range(len(rows)))
-    assert missed <= 2 and all(want[got[i]] == want[i] for i in range(len(rows)))  # no false link
-
-
-def test_crowded_cell_keeps_its_star():
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**40, dtype=np.uint64)
-    f = np.array([base] + [base ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a, b in rng.integers(0, 40, (80, 2))], dtype=np.uint64)
-    links = set(simhash.cell_links(f[::-1].copy(), np.zeros(len(f), bool), 3, 3))
-    assert {(len(f) - 1, i) for i in range(len(f) - 1)} <= links
+        texts.append(" ".join(w))
+    got, want = classes_of(spark, texts), brute_similar(texts)
+    assert sum(a != b for a, b in zip(got, want)) <= 2 and all(want[a] == b for a, b in zip(got, want))  # no false link
+
+
+def pairs_of_one_word_bag(n, words=400):
+    """n pairs at a similarity of 0.98, all with the same words, so all meet in one cell; the pairs are unlike."""
+    rng, out = random.Random(4), []
+    bag = [f"w{i}" for i in range(words)]
+    for _ in range(n):
+        w = rng.sample(bag, len(bag))
+        at = rng.randrange(len(w) - 1)
+        out += [" ".join(w), " ".join([*w[:at], w[at + 1], w[at], *w[at + 2 :]])]
+    return out
+
+
+@pytest.mark.parametrize("n", [8, 17, 40, 1000])
+def test_crowded_cell_loses_no_link(spark, n):
+    assert classes_of(spark, pairs_of_one_word_bag(n)) == [i - i % 2 for i in range(2 * n)]
+
+
+def test_large_groups_are_exact_across_chunks(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(120):  # copies of one text, some too far from it and near to others only
+        w = list(base)
+        for _ in range(k % 9):
+            w[rng.randrange(len(w))] = f"y{k % 4}"
+        texts.append(" ".join(w))
+    texts += pairs_of_one_word_bag(20, 200)
+    want = brute_similar(texts)
+    assert 2 < len(set(want)) < 120
+    for name, n in (("CHUNK_TEXTS", 7), ("BLOCK_SHINGLES", 3000), ("HELD", 20)):
+        monkeypatch.setattr(simhash, name, n)
+    assert classes_of(spark, texts) == want
+
+
+def test_group_links_are_exact():
+    rng = random.Random(3)
+    for _ in range(30):
+        base = [rng.randrange(2000) for _ in range(40)]
+        sets = [np.unique(np.array([*base[: rng.randrange(41)], *[rng.randrange(2000) for _ in range(rng.randrange(9))]], dtype=np.uint64)) for _ in range(30)]
+        up = simhash._Sets(30)
+        for i, j in simhash.group_links(sets, 0.6):
+            assert simhash.similarity(sets[i], sets[j]) >= 0.6
+            up.join(i, j)
+        full = simhash._Sets(30)
+        for i in range(30):
+            for j in range(i):
+                if simhash.similarity(sets[i], sets[j]) >= 0.6:
+                    full.join(i, j)
+        assert [up.root(i) for i in range(30)] == [full.root(i) for i in range(30)]
+
+
+def test_sketches_tell_similarity():
+    rng = np.random.default_rng(2)
+    off = {}
+    for same in (160, 250):  # of 250 shingles: similarity 0.47 and 1
+        got = []
+        for _ in range(200):
+            a = rng.integers(0, 2**64, 250, dtype=np.uint64)
+            b = np.concatenate([a[:same], rng.integers(0, 2**64, 250 - same, dtype=np.uint64)])
+            got.append((simhash.sketch(np.unique(a)) ^ simhash.sketch(np.unique(b))).bit_count())
+        off[same] = np.mean(got)
+    assert off[250] == 0 and 15 < off[160] < 19 and simhash.sketch_bits(0.8) == 16
+
+
+def test_grid_streams_those_who_ask(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    f = np.unique(np.concatenate([rng.integers(0, 2**64, 1, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) for _ in range(2)]))
+    reps = spark.createDataFrame([(int(x.view(np.int64)), i) for i, x in enumerate(f)], "f long, rep long")
+    want = brute_classes(f)
+    for held in (1 << 16, 5):
+        monkeypatch.setattr(simhash, "HELD", held)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50 if held == 5 else 10000)
+        found = {r["node"]: r["component"] for r in simhash.components(simhash.near_links(reps)).collect()}
+        assert [found.get(i, i) for i in range(len(f))] == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_similar_odd_rows(odd, none):
