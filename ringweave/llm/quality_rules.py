@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: What a sentence ends with, and what may follow that. A line without any such end fails.
-TERMINAL, CLOSING = (".", "!", "?", ":", ";", "…"), "\"'”’»)]"
+#: Latin, Greek and Cyrillic; then CJK, Arabic, Urdu, Devanagari, Ethiopic, Armenian, Burmese, Khmer.
+TERMINAL = (".", "!", "?", ":", ";", "…", "。", "．", "｡", "！", "？", "：", "；", "؟", "؛", "۔", "।", "॥", "።", "፧", "։", "။", "។")
+CLOSING = "\"'”’»)]›」』）】》〉"
 #: Ends of words in shouted or scrambled lines.
 NOISE = ("!!", "??", "##", "**", "$$", "%%", "&&", "||", "<<", ">>")
 #: Words that only part the entries of a menu.
@@ -36,6 +38,23 @@ BOILERPLATE = (
     "skip to content",
     "back to top",
     "lorem ipsum",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "allgemeine geschäftsbedingungen",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos y condiciones",
+    "все права защищены",
+    "политика конфиденциальности",
+    "版权所有",
+    "隐私政策",
+    "すべての権利を保有",
+    "プライバシーポリシー",
+    "جميع الحقوق محفوظة",
+    "सर्वाधिकार सुरक्षित",
 )
 #: Held by each row and looked at by ``kept``: a filter on what isn't deterministic stays above the projection that
 #: makes it, where Spark would else judge each text twice, to filter it and to return it.
@@ -45,6 +64,8 @@ _ROW = F.monotonically_increasing_id
 NOISY_SHARE, SEPARATOR_SHARE, REPEAT_WORDS, DISTINCT_SHARE = 33, 15, 8, 25
 #: A document that loses over so many in a hundred of its characters is rejected.
 MOST_LOST = 30
+#: A document with fewer words than that, or with over so many in a hundred of them in repeated windows, fails.
+MIN_WORDS, MOST_REPEATED = 50, 50
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -106,12 +127,12 @@ def _repeat_words(words: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(places(h))))
 
 
-def judge_documents(docs: DataFrame) -> DataFrame:
+def judge_documents(docs: DataFrame, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) in ``doc``, with counts, verdicts and the cleaned text.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars (long); failed_lines
-    (array<struct<line, rule>>); base_failed (fewer than 50 words, or over half of them in repeated windows);
-    kept (not base_failed, and at most ``MOST_LOST`` in a hundred of its characters in failing lines);
+    (array<struct<line, rule>>); base_failed (fewer than ``min_words`` words or none, or over ``most_repeated`` in a
+    hundred of them in repeated windows; 1 and 100 leave the verdict to the lines alone); kept (not base_failed, and at most ``MOST_LOST`` in a hundred of its characters in failing lines);
     clean_text (the text without the failing lines; null where the text is null).
 
     Lines without words neither pass nor fail and stay. A null or empty text has no words and is not kept.
@@ -134,7 +155,7 @@ def judge_documents(docs: DataFrame) -> DataFrame:
         let(F.flatten(F.transform("lines", lambda x: x["words"])), _repeat_words).alias("n_repeat_words"),
         total(lambda x: F.when(x["fails"].isNotNull(), x["chars"]).otherwise(F.lit(0).cast("long"))).alias("lost_chars"),
     )
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    failed = (F.col("n_words") < max(1, min_words)) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     lost = F.col("lost_chars") * 100 > F.col("word_chars") * MOST_LOST
     stay = F.transform(F.filter("lines", lambda x: x["fails"].isNull()), lambda x: x["line"])
     gone = F.transform(F.filter("lines", lambda x: x["fails"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["fails"].alias("rule")))
@@ -202,8 +223,8 @@ WITH docs AS (
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-  (n_words < 50 OR coalesce(n_repeat_words, 0) * 100 > n_words * 50) AS base_failed,
-  NOT (n_words < 50 OR coalesce(n_repeat_words, 0) * 100 > n_words * 50) AND NOT (lost_chars * 100 > word_chars * {MOST_LOST}) AS kept,
+  (n_words < {MIN_WORDS} OR coalesce(n_repeat_words, 0) * 100 > n_words * {MOST_REPEATED}) AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR coalesce(n_repeat_words, 0) * 100 > n_words * {MOST_REPEATED}) AND NOT (lost_chars * 100 > word_chars * {MOST_LOST}) AS kept,
   lost_chars::BIGINT AS lost_chars
 FROM docs JOIN per USING (rid) LEFT JOIN covered USING (rid)
 """

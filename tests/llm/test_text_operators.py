@@ -18,6 +18,22 @@ def test_rules_on_lines(spark):
     assert r["clean_text"] == good + "\n" and r["n_words"] == 60 + 7 + 4 + 4 + 5 + 9
 
 
+def test_rules_know_other_scripts(spark):
+    rows = []
+    for i, (word, end) in enumerate([("word", "."), ("शब्द", "।"), ("كلمة", "؟"), ("لفظ", "۔"), ("単語", "。"), ("詞", "！"), ("ቃል", "።"), ("слово", ".»"), ("語", "。」"), ("word", "")]):
+        rows.append((i, "\n".join(" ".join(f"{word}{i}x{j}" for j in range(12 * k, 12 * k + 12)) + end for k in range(10))))
+    rows.append((20, "सर्वाधिकार सुरक्षित।\nTous droits réservés.\n版权所有。\n" + rows[0][1]))
+    got = {r["doc_id"]: r for r in quality_rules.judge_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", "kept", "failed_lines").collect()}
+    assert [got[i]["kept"] for i in range(10)] == [True] * 9 + [False] and got[20]["kept"]
+    assert [x["rule"] for x in got[20]["failed_lines"]] == ["boilerplate"] * 3
+
+
+def test_rules_without_a_least_length(spark):
+    docs = spark.createDataFrame([(1, "Two words."), (2, ""), (3, None), (4, "no end | at | all | here"), (5, "ha he. " * 40)], "doc_id long, text string")
+    kept = lambda *a: {r["doc_id"] for r in quality_rules.judge_documents(docs, *a).where("kept").select("doc.doc_id").collect()}
+    assert kept() == set() and kept(1) == {1} and kept(1, 100) == {1}  # the last is one line of few different words
+
+
 def brute_repeats(words):
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
