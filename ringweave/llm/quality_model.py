@@ -41,8 +41,12 @@ def _powers(n: int):
     return np.cumprod(up), np.cumprod(down)
 
 
-def features(run: str) -> tuple[np.ndarray, np.ndarray]:
-    """(place, bucket) of each feature of a run of whole words: its words, word pairs, and the n-grams of `` word ``."""
+def features(run: str, before: np.uint64 | None = None, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.uint64 | None]:
+    """(place, bucket) of each feature of a run of whole words: its words, word pairs, and the n-grams of `` word ``.
+
+    The third value is the last word's hash; given as ``before`` to the next run of the same text, the pair across
+    the cut is there too. ``first`` has the places where texts begin, if the run holds several: no pair crosses them.
+    """
     c = np.frombuffer(f" {run} ".translate(_SPACES).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     space = c == 32
     turns = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -52,8 +56,15 @@ def features(run: str) -> tuple[np.ndarray, np.ndarray]:
     code ^= code >> np.uint64(29)
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * up[: len(c)])])
     words = (upto[ends] - upto[starts]) * down[starts] + (ends - starts).astype(np.uint64) if len(starts) else np.zeros(0, np.uint64)
-    same = (words[1:] == words[:-1]).astype(np.uint64)  # as written; a capital makes another word
-    places, hashes = [starts, starts[1:]], [words, (same + np.uint64(1)) * _PAIR]
+    second = starts[1:]
+    pairs = words[1:] == words[:-1]  # as written; a capital makes another word
+    if first is not None and len(second):
+        own = np.searchsorted(first, starts, side="right")
+        second, pairs = second[own[1:] == own[:-1]], pairs[own[1:] == own[:-1]]
+    if before is not None and len(starts):
+        second, pairs = np.concatenate([starts[:1], second]), np.concatenate([words[:1] == before, pairs])
+    places, hashes = [starts, second], [words, (pairs.astype(np.uint64) + np.uint64(1)) * _PAIR]
+    last = words[-1] if len(words) else before
     grown = code.copy()
     spaces = np.concatenate([[0], np.cumsum(space)])
     for n in range(2, max(GRAMS) + 1):
@@ -69,7 +80,15 @@ def features(run: str) -> tuple[np.ndarray, np.ndarray]:
     h = np.concatenate(hashes)
     h ^= h >> np.uint64(32)
     h *= _M1
-    return np.concatenate(places), (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate(places), (h >> np.uint64(64 - BITS)).astype(np.int64), last
+
+
+def _buckets(text: str):
+    """The buckets of a whole text's features, run by run."""
+    last = None
+    for run in _runs(text):
+        _, bucket, last = features(run, last)
+        yield bucket
 
 
 def _runs(text: str):
@@ -100,8 +119,7 @@ class Model:
             return cls(np.zeros(1 << BITS, np.float32), float(prior))
         bags = []
         for text, y in rows:
-            got = [features(r)[1] for r in _runs(text)]
-            b, count = np.unique(np.concatenate(got), return_counts=True)
+            b, count = np.unique(np.concatenate(list(_buckets(text))), return_counts=True)
             if len(b):
                 bags.append((b, (count / count.sum()).astype(np.float32), y))
         rng = np.random.default_rng(SEED)
@@ -128,31 +146,37 @@ class Model:
         return cls((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), odds)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Probability of class 1 of each whole text; a text without words has the bias alone."""
+        """Probability of class 1 of each whole text; a text without words has the bias alone.
+
+        A text's score is the same to the last bit whatever stands beside it: no feature crosses texts, and a text
+        of up to ``RUN`` code points is summed in one go, a longer one run by run.
+        """
         total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         held, names, size = [], [], 0
 
         def flush():
             nonlocal held, names, size
-            if not held:
-                return
-            first = np.cumsum([0, *[len(x) + 1 for x in held]])[:-1]
-            place, bucket = features(" ".join(held))
-            # the run has a space before it, so a text begins at first + 1; the space itself begins n-grams of its word
-            own = np.searchsorted(first, place, side="right") - 1
-            total_of = np.bincount(own, weights=self.weight[bucket], minlength=len(held))
-            count_of = np.bincount(own, minlength=len(held))
-            np.add.at(total, names, total_of)
-            np.add.at(count, names, count_of)
+            if held:
+                first = np.cumsum([0, *[len(x) + 1 for x in held]])[:-1]
+                # the run has a space before it, so a text begins at first + 1; the space itself begins n-grams of its word
+                place, bucket, _ = features(" ".join(held), first=first)
+                own = np.searchsorted(first, place, side="right") - 1
+                total[names] = np.bincount(own, weights=self.weight[bucket], minlength=len(held))
+                count[names] = np.bincount(own, minlength=len(held))
             held, names, size = [], [], 0
 
         for i, text in enumerate(texts):
-            for run in _runs(text or ""):
-                if size + len(run) > RUN:
-                    flush()
-                held.append(run)
-                names.append(i)
-                size += len(run) + 1
+            text = text or ""
+            if len(text) > RUN:
+                for bucket in _buckets(text):
+                    total[i] += self.weight[bucket].sum(dtype=np.float64)
+                    count[i] += len(bucket)
+                continue
+            if size + len(text) > RUN:
+                flush()
+            held.append(text)
+            names.append(i)
+            size += len(text) + 1
         flush()
         z = total / np.maximum(count, 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
