@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .tokens import bounded, cut, default_path, encoder
+from .tokens import TextEncoder, bounded, cut, default_path, encoder
 
 RULES = ("first", "last", "most")
 
@@ -47,62 +47,49 @@ def _owner(starts, ends, a, b, rule):
     return own, first != last
 
 
+def token_spans(enc: TextEncoder, run: str, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """First character of each token of a text, and the one after its last.
+
+    Where tokens are runs of bytes (``ids`` given), their spans are the running sums of their bytes, counted in
+    characters; a token that holds part of a character covers the whole of it. Else the library's offsets.
+    """
+    if ids is None:
+        at = np.array(enc.whole(run).offsets, dtype=np.int64).reshape(-1, 2)
+        return at[:, 0], at[:, 1]
+    to = np.cumsum(enc.bytes_of[ids])
+    a, b = to - enc.bytes_of[ids], to
+    if not run.isascii():
+        raw = np.frombuffer(run.encode("utf-8"), dtype=np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        a, b = char[a], char[b - 1] + 1
+    return a, b
+
+
 class _Counter:
     """Counts of tokens and of boundary-crossing tokens for each section of a text."""
 
     def __init__(self, path: str, rule: str):
         self.enc, self.rule = encoder(path), rule
-        self.inner: dict[str, np.ndarray] = {}
-
-    def offsets(self, piece: str) -> np.ndarray:
-        """(token, [start, end)) of a piece, in characters of the piece."""
-        if piece not in self.inner:
-            if len(self.inner) > 50_000:
-                self.inner.clear()
-            self.inner[piece] = np.array(self.enc.whole(piece).offsets, dtype=np.int64).reshape(-1, 2)
-        return self.inner[piece]
 
     def count(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        split, numbers = self.enc.pieces(texts)
-        out = []
-        for text, pieces, at in zip(texts, split, numbers):
-            starts, ends = _spans(text)
-            out.append((starts, ends, *self.of(text, pieces, at, starts, ends)))
-        return out
-
-    def of(self, text, pieces, numbers, starts, ends, base=0):
-        tokens, crossing = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        if pieces is None:
-            at = np.array(self.enc.whole(text).offsets, dtype=np.int64).reshape(-1, 2) + base
-            own, over = _owner(starts, ends, at[:, 0], at[:, 1], self.rule)
-            np.add.at(tokens, own, 1)
-            np.add.at(crossing, own[over], 1)
-            return tokens, crossing
-        if not pieces:
-            return tokens, crossing
-        to = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) + base
-        a = np.concatenate([[base], to[:-1]])
-        n = self.enc.n_ids.data[numbers]
-        # a piece that lies in one section gives it all its tokens; only the others are looked into
-        first = np.searchsorted(starts, a, side="right") - 1
-        last = np.searchsorted(starts, to - 1, side="right") - 1
-        inside = first == last
-        tokens += np.bincount(first[inside], weights=n[inside], minlength=len(starts)).astype(np.int64)
-        for k in np.flatnonzero(~inside):
-            at = self.offsets(pieces[k]) + a[k]
-            own, over = _owner(starts, ends, at[:, 0], at[:, 1], self.rule)
-            np.add.at(tokens, own, 1)
-            np.add.at(crossing, own[over], 1)
-        return tokens, crossing
-
-    def long(self, text: str):
-        """As ``count`` of one text, held in memory run by run."""
+        """(starts, ends, tokens, crossing) of the sections of each text, each of them encoded once, as a whole."""
+        if not self.enc.by_piece:
+            return [self._join(t, [(t, None)]) for t in texts]
+        if len(texts) == 1:  # a long one: its ids are held run by run
+            runs = ((r, np.frombuffer(self.enc.encode([r])[0], self.enc.dtype)) for r in cut(texts[0]))
+            return [self._join(texts[0], runs)]
+        return [self._join(t, [(t, np.frombuffer(i, self.enc.dtype))]) for t, i in zip(texts, self.enc.encode(texts))]
+
+    def _join(self, text: str, runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The interval join of a text's token spans with its sections."""
         starts, ends = _spans(text)
         tokens, crossing, base = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), 0
-        for run in cut(text) if self.enc.by_piece else [text]:
-            (pieces,), (numbers,) = self.enc.pieces([run])
-            t, c = self.of(run, pieces, numbers, starts, ends, base)
-            tokens, crossing, base = tokens + t, crossing + c, base + len(run)
+        for run, ids in runs:
+            a, b = token_spans(self.enc, run, ids)
+            own, over = _owner(starts, ends, a + base, b + base, self.rule)
+            tokens += np.bincount(own, minlength=len(starts))
+            crossing += np.bincount(own[over], minlength=len(starts))
+            base += len(run)
         return starts, ends, tokens, crossing
 
 
@@ -132,7 +119,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, rule: str = "first")
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for some in bounded(texts):
                 own = texts[some]
-                got = [counter.long(own[0])] if len(own) == 1 else counter.count(own)
+                got = counter.count(own)
                 n = [len(g[0]) for g in got]
                 yield pa.RecordBatch.from_arrays(
                     [

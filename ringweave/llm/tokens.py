@@ -60,8 +60,9 @@ class TextEncoder:
 
     A byte-level BPE never merges across the pieces its pattern splits off, so the ids of a text are
     those of its pieces in order. The library encodes each distinct piece once and its ids are
-    remembered. Texts with characters for which this module does not restate the pattern, and
-    tokenizers of another build, go through the library whole.
+    remembered. Texts with characters for which this module does not restate the pattern, texts that
+    hold the string of an added token (such as ``<|endoftext|>``, which the library finds in texts whatever
+    ``add_special_tokens`` says), and tokenizers of another build go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -69,7 +70,6 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
@@ -80,8 +80,15 @@ class TextEncoder:
             and made.get("normalizer") is None
             and made["model"].get("type") == "BPE"
             and not made["model"].get("ignore_merges")
-            and all(x.get("special") for x in made.get("added_tokens", []))
+            and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or re.search(r"\s", x["content"]) for x in made.get("added_tokens", []))
         )
+        added = [x["content"] for x in made.get("added_tokens", [])]
+        self.other = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))
+        #: Bytes of text that each token stands for, where tokens are runs of bytes.
+        self.bytes_of = np.zeros(0, np.int64)
+        if self.by_piece:
+            names = (self.tok.id_to_token(i) or "" for i in range(max(self.tok.get_vocab(with_added_tokens=True).values()) + 1))
+            self.bytes_of = np.array([len(n.encode()) if n in added else len(n) for n in names], dtype=np.int64)
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self._clear()
@@ -111,7 +118,7 @@ class TextEncoder:
         """The pieces of each text (None: goes through the library whole) and their numbers."""
         if len(self.numbers) > PIECES or self.chars > PIECE_CHARS:
             self._forget()
-        split = [_SPLIT.findall(t) if self.by_piece and not _OTHER.search(t) else None for t in texts]
+        split = [_SPLIT.findall(t) if self.by_piece and not self.other.search(t) else None for t in texts]
         number = self.numbers.__getitem__
         at = [np.fromiter(map(number, p), np.int64, len(p)) if p else np.zeros(0, np.int64) for p in split]
         if new := self.numbers.new:
