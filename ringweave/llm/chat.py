@@ -1,6 +1,7 @@
 """Chat formatting from an event log: partition by conversation, sort by sequence, fold, render.
 
-An event is (conv_id, turn, seq, op, role, text). Events of a turn are folded in the order of ``seq``:
+An event is (conv_id, turn, message, seq, op, role, text), in any order of arrival. Events of a message are folded
+in the order of ``seq``:
 
     message     opens a message with this role and text
     delta       adds text to the message that is open (streamed output)
@@ -110,15 +111,18 @@ _TURNS = pa.schema(
 )
 
 
-def format_events(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Formatted turns of an event log (conv_id, turn, seq, op, role, text), one row each.
+def format_events(events: DataFrame, learn: tuple[str, ...] = ("assistant",), spread: bool = False) -> DataFrame:
+    """Formatted turns of an event log (conv_id, turn, message, seq, op, role, text), one row each.
 
     conv_id, turn, nth (of the turn's messages, from 0), role, formatted, text_start and text_end (code points
     in ``formatted``), loss (whether that span is under the loss mask: roles in ``learn``). A conversation is its
     rows' ``formatted`` in the order of (turn, nth).
 
-    The log is dealt by ranges of (conv_id, turn), so a long conversation is spread over many tasks, and each
-    task folds its events one by one, holding one message. A null text or role counts as empty. A null conv_id
+    The log is partitioned by conversation and sorted by turn, message and seq; each task folds its events one by
+    one, holding one message, and the rows come out in that order. With ``spread`` it is dealt by ranges of
+    (conv_id, turn) instead, which shares out a single long conversation. ``message``, a string, tells messages of
+    one turn apart and orders them; a log without that column has one run of events for each turn.
+    A null text or role counts as empty. A null conv_id
     is a conversation and a null turn a turn of it, before the others. Events with one ``seq`` are taken in the
     order of op, role and text, so repeated rows are repeated events. Changes to a message that isn't there have
     no effect; an unknown op is an error. An empty log gives no rows. Other columns are ignored, whatever their
@@ -129,13 +133,12 @@ def format_events(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) ->
     def run(batches):
         def rows():
             for batch in batches:
-                conv, turn, op, role, text = (batch.column(k).to_pylist() for k in range(5))
-                for k in zip(zip(conv, turn), op, role, text):
-                    yield k
+                conv, turn, message, op, role, text = (batch.column(k).to_pylist() for k in range(6))
+                yield from zip(zip(conv, turn, message), op, role, text)
 
         out: list[tuple] = []
         size, last, nth = 0, None, 0
-        for (conv, turn), role, text in fold(rows()):
+        for (conv, turn, _), role, text in fold(rows()):
             nth = nth + 1 if (conv, turn) == last else 0
             last = (conv, turn)
             formatted, a, b = render(role, text)
@@ -150,20 +153,67 @@ def format_events(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) ->
     own = events.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
+        (F.col("message").cast("string") if "message" in events.columns else F.lit(None).cast("string")).alias("message"),
         F.col("seq").cast("long").alias("seq"),
         "op",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    ordered = own.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", "op", "role", "text")
-    return ordered.select("conv_id", "turn", "op", "role", "text").mapInArrow(
+    dealt = own.repartitionByRange("conv_id", "turn") if spread else own.repartition("conv_id")
+    ordered = dealt.sortWithinPartitions("conv_id", "turn", "message", "seq", "op", "role", "text")
+    return ordered.select("conv_id", "turn", "message", "op", "role", "text").mapInArrow(
         run, "conv_id long, turn long, nth long, role string, formatted string, text_start long, text_end long, loss boolean"
     )
 
 
-def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Finished conversations (conv_id, turn, role, text) as an event log: a message for each row."""
-    return conversations.select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("message").alias("op"), "role", "text")
+#: A streamed text comes in deltas of at least so many code points, and in so many deltas at most.
+DELTA_CHARS, DELTAS = 64, 64
+
+
+def conversation_events(conversations: DataFrame, streamed: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """The log that finished conversations (conv_id, turn, role, text) would have left, latest events first.
+
+    A turn of a role in ``streamed`` is opened empty, gets a draft, is regenerated and then streamed in deltas; a
+    message beside it is withdrawn. Any other turn is sent with half its text and edited to the whole. Null texts and
+    roles count as empty. Rows of one turn are messages in the order of the MD5 of role, line feed and text.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        role.alias("role"),
+        text.alias("text"),
+        F.concat(F.md5(F.concat(role, F.lit("\n"), text)), F.lit("-"), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")).alias("message"),
+    )
+
+    def event(message, seq, op, role, text):
+        return F.struct(
+            message.alias("message"), F.lit(seq).cast("long").alias("seq") if isinstance(seq, int) else seq.alias("seq"), F.lit(op).alias("op"), role.alias("role"), text.alias("text")
+        )
+
+    own, none, n = F.col("message"), F.lit(None).cast("string"), F.length("text")
+    size = F.greatest(F.lit(DELTA_CHARS), F.ceil(n / DELTAS)).cast("int")
+    deltas = F.transform(
+        F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>")),
+        lambda i: event(own, (i + 3).cast("long"), "delta", none, F.substring(F.col("text"), i * size + 1, size)),
+    )
+    beside = F.concat(own, F.lit("-withdrawn"))
+    streams = F.concat(
+        F.array(
+            event(own, 0, "message", F.col("role"), F.lit("")),
+            event(own, 1, "delta", none, F.concat(F.lit("Draft: "), F.left("text", F.lit(DELTA_CHARS)))),
+            event(own, 2, "regenerate", none, none),
+            event(beside, 0, "message", F.col("role"), F.lit("withdrawn")),
+            event(beside, 1, "delete", none, none),
+        ),
+        deltas,
+    )
+    sent = F.array(
+        event(own, 0, "message", F.col("role"), F.left("text", (n / 2).cast("int"))),
+        event(own, 1, "edit", none, F.col("text")),
+    )
+    log = F.reverse(F.when(F.col("role").isin(*streamed), streams).otherwise(sent))
+    return rows.select("conv_id", "turn", F.explode(log).alias("e")).select("conv_id", "turn", "e.*")
 
 
 _DIGEST = pa.schema(
@@ -171,11 +221,12 @@ _DIGEST = pa.schema(
 )
 
 
-def read_back(turns: DataFrame) -> DataFrame:
+def read_back(turns: DataFrame, in_order: bool = False) -> DataFrame:
     """What formatted conversations say, read from their template and loss mask alone.
 
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A conversation's digests need its
-    turns one after another, so it goes to one task, which holds one turn at a time.
+    turns one after another, so it goes to one task, which holds one turn at a time. ``in_order``: the rows come so
+    already, as from ``format_events``, and need not travel again.
     """
 
     def run(batches):
@@ -208,18 +259,18 @@ def read_back(turns: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _DIGEST)], schema=_DIGEST)
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "nth")
+    ordered = turns if in_order else turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "nth")
     return ordered.select("conv_id", "formatted", "text_start", "text_end", "loss").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one whose texts are control strings, formatted and read back."""
+    """All conversations, and one whose texts are control strings: their event logs, folded, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
     odd = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     given = spark.read.parquet(os.path.join(sf_dir, "conversations.parquet")).select("conv_id", "turn", "role", "text")
-    return read_back(format_events(conversation_events(given.unionByName(odd))))
+    return read_back(format_events(conversation_events(given.unionByName(odd))), in_order=True)
 
 
 _SQL_CONTROL = "|".join(_CONTROL)
@@ -233,9 +284,9 @@ WITH said AS (
   FROM said
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, md5(role || chr(10) || text))) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, md5(role || chr(10) || text))) AS loss_sha256,
   sum(length(body) + length(name) + {len(OPEN) + len(CLOSE) + 2})::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
 """

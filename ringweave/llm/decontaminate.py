@@ -1,18 +1,21 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-An item of n distinct shingles lies in a document if it holds at least t * n of them. Items are partitioned by
-size, and an item's sketch is its k smallest shingle hashes, k = n - ceil(t n) + 1 growing with its size. If t n
-shingles are there, at least one of any k is, so a document that holds none of the sketch can't contain the item:
-the search misses nothing, whatever the document's length. A symmetric sketch of both sides can't do that: an
-item of 30 shingles in a document of 20 000 has a Jaccard similarity near 0.001.
-
-Documents are only scanned: their shingle hashes are probed against the sketches and not kept, so nothing is
-shuffled, and a document's size costs time and not memory.
+An item of n distinct shingles lies in a document if it holds at least t * n of them. Items are partitioned by size,
+a partition for each power of two. An item's sketch is its k smallest shingle hashes (bottom-k MinHash), with one k
+for the whole partition, from the largest size u in it: k = 2 * (u - ceil(t u)) + 1. The share of a sketch that a
+document holds estimates the containment; a document that holds t n of the n shingles misses n - ceil(t n) at most,
+so it holds k - (n - ceil(t n)) of the sketch at least, and pairs with fewer are dropped without loss. What is left
+is verified on the shingles themselves. A symmetric sketch of both sides can't do that: an item of 30 shingles in a
+document of 20 000 has a Jaccard similarity near 0.001.
+
+Documents are only scanned: their shingle hashes (8 bytes a word, while a document is looked at) are probed against
+the sketches, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import os
 from dataclasses import dataclass
@@ -22,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, stored
 
 WORDS, THRESHOLD = 5, 0.8
-#: Benchmark items are searched for in blocks of about so many; a block is what the driver and each task hold.
-BLOCK = 50_000
+#: Benchmark items are searched for in blocks of about so many bytes of text; a block is what the driver and each
+#: task hold, and the documents are scanned once for each.
+BLOCK_BYTES = 64 << 20
 #: Bytes of text that are hashed at once.
 RUN = 1 << 20
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII, lower-cased.
@@ -122,23 +126,37 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     return np.concatenate(own), np.concatenate(out)
 
 
-def shingles(text: bytes, words: int = WORDS) -> list[bytes]:
-    """The shingles themselves, in order."""
+def each_shingle(text: bytes, words: int = WORDS):
+    """The shingles themselves, in order, one by one."""
     w = text.split()
-    if len(w) < words:
-        return [b" ".join(w)] if w else []
-    return [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)]
+    if 0 < len(w) < words:
+        yield b" ".join(w)
+    for i in range(len(w) - words + 1):
+        yield b" ".join(w[i : i + words])
+
+
+def shingles(text: bytes, words: int = WORDS) -> list[bytes]:
+    """All shingles, in order."""
+    return list(each_shingle(text, words))
+
+
+@dataclass
+class Sizes:
+    """The sketches of the items of one size partition."""
+
+    hashes: np.ndarray  # of all its sketches, ascending
+    items: np.ndarray  # whose
 
 
 @dataclass
 class Index:
-    """Sketches of a block of items. ``need``: how many of an item's shingles a document must hold."""
+    """A block of items. ``need``: how many of an item's shingles a document must hold; ``hits``: of its sketch."""
 
     ids: list
     sets: list[frozenset]
     need: np.ndarray
-    hashes: np.ndarray  # of all sketches, ascending
-    items: np.ndarray  # whose
+    hits: np.ndarray
+    parts: list[Sizes]
     seen: np.ndarray  # by the top bits of a hash: whether a sketch has one such
     shift: int
     words: int
@@ -148,7 +166,8 @@ class Index:
         own = [plain(t) for t in texts]
         sets = [frozenset(shingles(t, words)) for t in own]
         n = np.array([len(s) for s in sets], dtype=np.int64)
-        need = np.array([math.ceil(round(threshold * k, 9)) for k in n.tolist()], dtype=np.int64)
+        least = lambda k: math.ceil(round(threshold * k, 9))
+        need = np.array([least(k) for k in n.tolist()], dtype=np.int64)
         which, h = shingle_hashes(own, words)
         order = np.lexsort((h, which))
         which, h = which[order], h[order]
@@ -156,52 +175,71 @@ class Index:
         fresh[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1])
         which, h = which[fresh], h[fresh]
         place = np.arange(len(h)) - np.searchsorted(which, which)
-        sketch = place < (n - need + 1)[which] if len(h) else np.zeros(0, bool)
-        which, h = which[sketch], h[sketch]
-        order = np.argsort(h)
-        bits = min(27, max(16, (64 * max(1, len(h))).bit_length()))
+        part = np.array([k.bit_length() for k in n.tolist()], dtype=np.int64)
+        k, parts, every = np.zeros(len(n), np.int64), [], [np.zeros(0, np.uint64)]
+        for size in np.unique(part[n > 0]).tolist():
+            inside = part == size
+            u = int(n[inside].max())
+            k[inside] = np.minimum(n[inside], 2 * (u - least(u)) + 1)
+            own_rows = inside[which] & (place < k[which])
+            x, y = h[own_rows], which[own_rows]
+            order = np.argsort(x, kind="stable")
+            parts.append(Sizes(x[order], y[order]))
+            every.append(x)
+        hashes = np.concatenate(every)
+        bits = min(27, max(16, (64 * max(1, len(hashes))).bit_length()))
         seen = np.zeros(1 << bits, bool)
-        seen[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return cls(ids, sets, need, h[order], which[order], seen, 64 - bits, words)
+        seen[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+        return cls(ids, sets, need, k - (n - need), parts, seen, 64 - bits, words)
 
     def candidates(self, texts: list[bytes]) -> list[tuple[int, int]]:
-        """(text, item) pairs in which the text is large enough and holds one of the sketch's hashes."""
+        """(text, item) pairs in which the text is large enough and holds enough of the sketch."""
         which, h = shingle_hashes(texts, self.words)
-        if not len(h) or not len(self.hashes):
-            return []
         size = np.bincount(which, minlength=len(texts))
         hit = np.flatnonzero(self.seen[(h >> np.uint64(self.shift)).astype(np.int64)])
         which, h = which[hit], h[hit]
-        a, b = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, side="right")
-        times = b - a
-        text = np.repeat(which, times)
-        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
-        item = self.items[at]
-        enough = size[text] >= self.need[item]
-        return sorted(set(zip(text[enough].tolist(), item[enough].tolist())))
+        out: set[tuple[int, int]] = set()
+        for part in self.parts:
+            a, b = np.searchsorted(part.hashes, h), np.searchsorted(part.hashes, h, side="right")
+            times = b - a
+            text = np.repeat(which, times)
+            at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
+            once = np.unique(text * len(part.hashes) + at)  # a shingle that a text repeats counts once
+            text, item = once // len(part.hashes), part.items[once % len(part.hashes)]
+            pair, held = np.unique(text * len(self.sets) + item, return_counts=True)
+            text, item = pair // len(self.sets), pair % len(self.sets)
+            enough = (held >= self.hits[item]) & (size[text] >= self.need[item])
+            out.update(zip(text[enough].tolist(), item[enough].tolist()))
+        return sorted(out)
 
     def matches(self, texts: list[bytes]):
         """(text, item, shared, first word, end) of each item that a text contains."""
-        last, own = None, {}
-        for text, item in self.candidates(texts):
-            if text != last:
-                last, own = text, {}
-                for i, s in enumerate(shingles(texts[text], self.words)):
+        for text, pairs in itertools.groupby(self.candidates(texts), lambda x: x[0]):
+            items = [item for _, item in pairs]
+            wanted = frozenset().union(*(self.sets[i] for i in items))
+            own: dict[bytes, list[int]] = {}
+            for i, s in enumerate(each_shingle(texts[text], self.words)):
+                if s in wanted:
                     own.setdefault(s, []).append(i)
-            shared = [s for s in self.sets[item] if s in own]
-            if len(shared) >= self.need[item]:
-                at = [i for s in shared for i in own[s]]
-                words = min(self.words, len(shared[0].split()))
-                yield text, item, len(shared), min(at), max(at) + words
+            for item in items:
+                shared = [s for s in self.sets[item] if s in own]
+                if len(shared) >= self.need[item]:
+                    words = min(self.words, len(shared[0].split()))
+                    yield text, item, len(shared), min(own[s][0] for s in shared), max(own[s][-1] for s in shared) + words
 
 
 def _blocks(benchmark: DataFrame, words: int, threshold: float):
-    """Broadcast indexes of the benchmark, a block of bounded size after another."""
+    """Broadcast indexes of the benchmark, blocks of about ``BLOCK_BYTES`` of text one after another."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = max(1, -(-items.count() // BLOCK))
+    items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
+    n = -(-total // BLOCK_BYTES)
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
+    if n > 1:  # so that a block is read without the others
+        items = stored(items.withColumn("block", block).repartitionByRange("block").sortWithinPartitions("block"), "benchmark")
+        block = F.col("block")
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        rows = items.where(block == k).select("item_id", "text").collect()
         if rows:
             yield spark.sparkContext.broadcast(Index.of([r[0] for r in rows], [r[1] for r in rows], words, threshold))
 

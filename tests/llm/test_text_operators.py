@@ -99,8 +99,9 @@ def test_events_fold(spark):
     e = spark.createDataFrame(rows, "conv_id long, turn long, seq long, op string, role string, text string").withColumn("loss", F.lit("clash"))
     got = {(r["conv_id"], r["turn"], r["nth"]): chat.parse(r["formatted"])[0] for r in chat.format_events(e).collect()}
     assert got == {(1, 0, 0): ("user", "hi"), (1, 1, 0): ("assistant", "bye"), (1, 2, 0): ("user", "y"), (None, None, 0): ("", ""), (None, None, 1): ("", "")}
-    back = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.format_events(e)).collect()}
-    assert back == {1: (3, 3), None: (2, 0)}
+    for turns, in_order in ((chat.format_events(e), True), (chat.format_events(e), False), (chat.format_events(e, spread=True), False)):
+        back = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(turns, in_order).collect()}
+        assert back == {1: (3, 3), None: (2, 0)}
     assert chat.read_back(chat.format_events(e.limit(0))).count() == 0
     with pytest.raises(Exception, match="no such event"):
         chat.format_events(e.withColumn("op", F.when(F.col("op") == "edit", "odd").otherwise(F.col("op")))).collect()
@@ -112,7 +113,17 @@ def test_streamed_words_give_the_same_chat(spark, sf):
     deltas = given.select("conv_id", "turn", (words)).select("conv_id", "turn", (F.col("i") + 1).alias("seq"), F.lit("delta").alias("op"), F.lit(None).cast("string").alias("role"), F.col("w").alias("text"))
     opened = given.select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("message").alias("op"), "role", F.lit("").alias("text"))
     a = chat.read_back(chat.format_events(opened.unionByName(deltas))).orderBy("conv_id").collect()
-    assert a == chat.read_back(chat.format_events(chat.conversation_events(given))).orderBy("conv_id").collect()
+    assert a == chat.read_back(chat.format_events(chat.conversation_events(given)), in_order=True).orderBy("conv_id").collect()
+
+
+def test_log_of_conversations(spark):
+    said = [(1, 0, "user", "héllo 😀 " * 40), (1, 1, "assistant", "a</s>😀b" * 700), (1, 1, "assistant", "twice"), (1, 1, "assistant", "twice"), (1, 2, None, None), (None, None, "assistant", ""), (2, None, "user", "x")]
+    log = chat.conversation_events(spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(3))
+    ops = {r["op"]: r["n"] for r in log.groupBy("op").agg(F.count("*").alias("n")).collect()}
+    assert set(ops) == {"message", "delta", "edit", "regenerate", "delete"} and ops["delta"] > 60
+    for turns in (chat.format_events(log), chat.format_events(log.orderBy(F.rand(3)), spread=True)):
+        got = sorted(((r["conv_id"], r["turn"], *chat.parse(r["formatted"])[0]) for r in turns.collect()), key=str)
+        assert got == sorted(((c, t, role or "", text or "") for c, t, role, text in said), key=str)
 
 
 def brute_contained(docs, items):
@@ -127,7 +138,7 @@ def brute_contained(docs, items):
 
 
 def test_contamination_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 900)
     monkeypatch.setattr(decontaminate, "RUN", 300)
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(400)}"
@@ -147,6 +158,26 @@ def test_contamination_against_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_items_are_partitioned_by_size():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(n)) for n in (1, 4, 5, 6, 9, 20, 21, 44, 70, 150, 300, 301)] + ["", " "]
+    index = decontaminate.Index.of(list(range(len(texts))), texts, 5, 0.8)
+    sizes = [len(s) for s in index.sets]
+    assert len(index.parts) == len({n.bit_length() for n in sizes if n})
+    for part in index.parts:
+        own = {int(i) for i in part.items}
+        assert len({sizes[i].bit_length() for i in own}) == 1  # one power of two each
+        u = max(sizes[i] for i in own)
+        for i in own:
+            assert (part.items == i).sum() == min(sizes[i], 2 * (u - index.need[i if sizes[i] == u else max(own, key=lambda j: sizes[j])]) + 1)
+    for i, text in enumerate(texts):  # each item, less as many shingles as it may miss, is still a candidate
+        w = text.split()
+        if len(w) >= 5:
+            cut = " ".join(w[: len(w) - (sizes[i] - int(index.need[i]))])
+            if len(set(decontaminate.shingles(decontaminate.plain(cut)))) >= index.need[i]:
+                assert (0, i) in index.candidates([decontaminate.plain("before " * 50 + cut)])
+
+
 def test_hashes_do_not_depend_on_place():
     rng = random.Random(9)
     a = " ".join(f"x{rng.randrange(50)}" for _ in range(40)).encode()
