@@ -194,7 +194,7 @@ def scc_metrics(edges: DataFrame, members: DataFrame, loc: DataFrame | None = No
     out = rank_components(members).join(m, ["graph_id", "comp"], "left").fillna(0, ["edge_count", "undirected"])
     if loc is not None:
         lines = members.join(loc, ["graph_id", "node"], "left").groupBy("graph_id", "comp").agg(F.sum(F.coalesce("loc", F.lit(0))).alias("total_loc"))
-        out = out.join(lines, ["graph_id", "comp"]).withColumn("avg_loc_per_node", F.bround(F.col("total_loc") / F.col("size"), 3))
+        out = out.join(lines, ["graph_id", "comp"]).withColumn("avg_loc_per_node", F.bround(F.col("total_loc") / F.col("size"), 2))
     return out.withColumns(
         {
             "density_directed": F.when(F.col("size") > 1, F.bround(F.col("edge_count") / (F.col("size") * (F.col("size") - 1)), 6)).otherwise(0.0),

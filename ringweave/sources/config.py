@@ -33,6 +33,35 @@ def _text(given: dict, name: str) -> str:
     return value.strip()
 
 
+def _count(given: dict, name: str) -> int:
+    value = given.get(name)
+    if not isinstance(value, int) or isinstance(value, bool):
+        raise ValueError(f"{name} must be a whole number")
+    return value
+
+
+def _block(given: dict, name: str) -> dict:
+    value = given.get(name)
+    if not isinstance(value, dict):
+        raise ValueError(f"{name} must be a mapping")
+    return value
+
+
+@dataclass(frozen=True)
+class LLMConfig:
+    base_url: str
+    api_key: str
+    model_raw: str
+    context_length: int
+
+
+@dataclass(frozen=True)
+class AgentConfig:
+    runtime_image: str
+    max_iters: int
+    commit_message: str
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     projects_dir: str
@@ -40,13 +69,22 @@ class PipelineConfig:
     cycles_file: str
     results_root: str
     experiment_id: str
+    llm: LLMConfig
+    agent: AgentConfig
     modes: tuple[tuple[str, tuple[tuple[str, str], ...]], ...]
-    delete_branches: bool = False
+    delete_branches: bool
 
     @classmethod
     def of(cls, given: dict) -> PipelineConfig:
+        """A checked configuration: five texts, the blocks policy, llm and openhands, and modes."""
+        policy, llm, agent = (_block(given, n) for n in ("policy", "llm", "openhands"))
+        delete = policy.get("delete_refactor_branches_after_metrics")
+        if not isinstance(delete, bool):
+            raise ValueError("delete_refactor_branches_after_metrics must be true or false")
+        if not isinstance(given.get("modes"), list):
+            raise ValueError("modes must be a list")
         modes, seen = [], set()
-        for m in given.get("modes") or []:
+        for m in given["modes"]:
             name = _text(m, "id")
             if name in seen:
                 raise ValueError(f"mode {name} is there twice")
@@ -54,8 +92,13 @@ class PipelineConfig:
             modes.append((name, tuple(sorted(mode_params(m.get("params") or {}).items()))))
         if not modes:
             raise ValueError("there are no modes")
-        policy = given.get("policy") or {}
-        return cls(*[_text(given, n) for n in REQUIRED], tuple(modes), bool(policy.get("delete_refactor_branches_after_metrics", False)))
+        return cls(
+            *[_text(given, n) for n in REQUIRED],
+            LLMConfig(*[_text(llm, n) for n in ("base_url", "api_key", "model_raw")], _count(llm, "context_length")),
+            AgentConfig(_text(agent, "runtime_image"), _count(agent, "max_iters"), _text(agent, "commit_message")),
+            tuple(modes),
+            delete,
+        )
 
 
 def analysis_plan(spark: SparkSession, given: dict) -> DataFrame:

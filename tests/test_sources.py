@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ringweave.operators import graph as G
 from ringweave.operators import tables
 from ringweave.sources import config, graphs, quality, runs, sinks, text
 from ringweave.streaming import status_stream
@@ -103,12 +104,21 @@ def test_listings(spark):
 
 
 def test_config(spark):
-    base = dict.fromkeys(config.REQUIRED, "x")
-    c = config.PipelineConfig.of(base | {"modes": [{"id": "m", "params": {"orchestrator": "minimal"}}]})
-    assert c.modes == (("m", (("orchestrator", "minimal"),)),) and not c.delete_branches
-    for bad in (base, base | {"modes": [{"id": "m"}, {"id": "m"}]}, {"modes": [{"id": "m"}]}):
+    base = dict.fromkeys(config.REQUIRED, "x") | {
+        "policy": {"delete_refactor_branches_after_metrics": False},
+        "llm": {"base_url": "u", "api_key": "k", "model_raw": "m", "context_length": 9},
+        "openhands": {"runtime_image": "i", "max_iters": 150, "commit_message": "c"},
+        "modes": [{"id": "m", "params": {"orchestrator": "minimal"}}],
+    }
+    c = config.PipelineConfig.of(base)
+    assert c.modes == (("m", (("orchestrator", "minimal"),)),) and c.delete_branches is False
+    assert c.llm.context_length == 9 and c.agent.max_iters == 150
+    for name, value in (
+        ("modes", []), ("modes", [{"id": "m"}, {"id": "m"}]), ("modes", None), ("projects_dir", " "), ("policy", None), ("policy", {}), ("policy", {"delete_refactor_branches_after_metrics": 1}),
+        ("llm", None), ("llm", {**base["llm"], "context_length": "9"}), ("llm", {**base["llm"], "context_length": True}), ("llm", {**base["llm"], "api_key": ""}), ("openhands", {"max_iters": 1}),
+    ):
         with pytest.raises(ValueError):
-            config.PipelineConfig.of(bad)
+            config.PipelineConfig.of(base | {name: value})
     plan = config.analysis_plan(spark, {"modes": [{"id": "b", "label": "B", "experiments": ["1"]}, {"id": "a", "label": "A", "experiments": ["1", "2"]}]})
     assert [r["mode_id"] for r in plan.orderBy("mode_order").collect()] == ["b", "a"]
     with pytest.raises(ValueError):
@@ -130,6 +140,47 @@ def test_sinks_round_trip(spark, tmp_path):
     n = spark.createDataFrame([("g", "b"), ("g", "a")], "graph_id string, node string")
     doc = json.loads(sinks.graph_documents(n, e).first()["doc"])
     assert [x["id"] for x in doc["nodes"]] == ["a", "b"] and doc["edges"][0]["target"] == "a"
+    assert set(doc) == {"schema_version", "language", "repo_root", "entry", "nodes", "edges"} and set(doc["nodes"][0]) == {"id", "kind", "abs_path"}
+
+
+def test_documents_read_back(spark):
+    """What the sinks write, the sources read."""
+    e = spark.createDataFrame([("g", a, b) for a, b in ("ab", "ba", "bc", "cb", "de", "ed", "fa")], "graph_id string, src string, dst string")
+    n = e.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).withColumn("abs_path", F.concat(F.lit("/r/"), "node")).union(spark.createDataFrame([("h", "z", "/r/z")], "graph_id string, node string, abs_path string"))
+    info = spark.createDataFrame([("g", "python", "/r", "src", "main")], "graph_id string, language string, repo_root string, entry string, repo string")
+    docs = {r["graph_id"]: json.loads(r["doc"]) for r in sinks.graph_documents(n, e, info).collect()}
+    assert docs["g"]["language"] == "python" and docs["g"]["nodes"][0] == {"id": "a", "kind": "file", "abs_path": "/r/a"} and docs["h"]["edges"] == []
+    m = G.strong_components(e)
+    loc = n.distinct().select("graph_id", "node", F.lit(10).alias("loc"))
+    sccs = G.scc_metrics(e, m, loc)
+    size = n.groupBy("graph_id").agg(F.countDistinct("node").alias("node_count")).withColumn("edge_count", F.when(F.col("graph_id") == "g", 7).otherwise(0))
+    ranks = n.select("graph_id", "node").distinct().withColumn("rank", F.lit(0.125))
+    made = sinks.report_documents(sccs, G.induced_edges(e, m), G.scc_global(sccs), ranks, size, info, at=F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    docs = {r["graph_id"]: json.loads(r["doc"]) for r in made.collect()}
+    g = docs["g"]
+    assert set(g) == {"schema_version", "generated_at_utc", "input", "graph", "params", "global_metrics", "node_features", "sccs"}
+    assert g["generated_at_utc"] == "2024-01-02T03:04:05Z" and g["input"]["entry"] == "src" and g["graph"] == {"node_count": 6, "edge_count": 7}
+    assert g["global_metrics"] == {"scc_count": 2, "total_nodes_in_cyclic_sccs": 5, "total_edges_in_cyclic_sccs": 6, "total_loc_in_cyclic_sccs": 50, "max_scc_size": 3, "avg_scc_size": 2.5, "cycle_pressure_lb": 0}
+    assert [s["size"] for s in g["sccs"]] == [3, 2] and g["sccs"][0]["avg_loc_per_node"] == 10.0 and g["sccs"][1]["edges"] == [{"source": a, "target": b, "relation": "import"} for a, b in ("de", "ed")]
+    assert docs["h"]["sccs"] == [] and docs["h"]["global_metrics"]["scc_count"] == 0
+    back = made.withColumn("doc", F.from_json("doc", graphs.SCC_REPORT))
+    assert {(r["scc_id"], r["size"], r["edge_count"]) for r in graphs.sccs_of(back).collect()} == {("scc_0", 3, 4), ("scc_1", 2, 2)} and graphs.ranks_of(back).count() == 7
+    cycles = G.cycle_catalog(G.pack_edge_disjoint(G.cycle_ranks(G.enumerate_cycles(e, m, 8), ranks), 1), G.rank_components(m))
+    made = sinks.catalog_documents(cycles, sccs, info)
+    doc = json.loads(made.first()["doc"])
+    assert set(doc) == {"schema_version", "generated_at_utc", "input", "params", "summary", "sccs"} and doc["summary"] == {"scc_count": 2, "cycle_count": 2}
+    assert doc["input"]["repo"] == "main" and doc["params"]["seed"] == 12345 and doc["sccs"][0]["node_count"] == 3
+    back = made.withColumn("doc", F.from_json("doc", graphs.CATALOG))
+    assert {r["cycle_id"] for r in graphs.cycles_of(back).collect()} == {"scc_0_cycle_0", "scc_1_cycle_0"}
+
+
+def test_run_outcome_file(spark):
+    facts = spark.range(1).select(*[F.lit(1).alias(c) for c in reversed(sinks.RUN_OUTCOMES)], F.lit(2).alias("more"))
+    assert sinks.run_outcomes(facts).columns == [
+        "repo", "experiment", "cycle", "mode", "configuration", "behavior", "cycle broken", "local improvement", "success", "global regression", "outside-target regression", "structural eval", "incomplete",
+        "no change", "openhands outcome"]
+    with pytest.raises(ValueError, match="no_change"):
+        sinks.run_outcomes(facts.drop("no_change"))
 
 
 def test_status_stream(spark, tmp_path):
