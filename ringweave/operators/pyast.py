@@ -135,6 +135,19 @@ def exported_names(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def export_table(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key and name of what each source's top level binds; a source that can't be parsed binds nothing."""
+    ship_package(files.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, n) for k, t in zip(pdf[key], pdf[text]) for n in exported_names(t or "")]
+            yield pd.DataFrame(rows, columns=[key, "name"])
+
+    own = files.select(key, text)
+    return own.mapInPandas(run, own.select(key, F.lit("").alias("name")).schema)
+
+
 @dataclass
 class Facts:
     module: str

@@ -89,24 +89,6 @@ def planned_runs(spark, sf_dir):
     return planning.planned_runs(modes, cycles, repos, "results").select("mode_id", "experiment_id", "repo", "cycle_id", "language", "branch_name")
 
 
-@register(Q, SQL, "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
-def difficulty_join(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey", "left").select("o_orderkey", "o_custkey", "c_mktsegment")
-
-
-@register(Q, SQL, """WITH p AS (SELECT p_partkey, p_brand, regexp_replace(lower(p_type), '[^a-z]+', '.', 'g') AS d FROM part), s AS (SELECT DISTINCT p_brand, d[1:greatest(1, length(d) - p_partkey % 4)] AS i FROM p WHERE p_partkey % 3 = 0)
-SELECT p_partkey, p_brand, d FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.p_brand = p.p_brand AND (i = d OR starts_with(i, d || '.') OR starts_with(d, i || '.')))
-OR NOT EXISTS (SELECT 1 FROM s WHERE s.p_brand = p.p_brand)""")
-def prefix_semi_join(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.regexp_replace(F.lower("p_type"), "[^a-z]+", ".").alias("d"))
-    s = p.where("p_partkey % 3 = 0").select("p_brand", F.left("d", F.greatest(F.lit(1), (F.length("d") - F.col("p_partkey") % 4).cast("int"))).alias("i")).distinct()
-    a, b = p.alias("a"), s.alias("b")
-    near = (F.col("i") == F.col("d")) | F.startswith("i", F.concat("d", F.lit("."))) | F.startswith("d", F.concat("i", F.lit(".")))
-    hit = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & near, "left_semi")
-    return hit.unionByName(p.join(s, "p_brand", "left_anti").select(p.columns))
-
-
 @register(Q, SQL, TRADE_SQL + "SELECT graph_id, node FROM (SELECT n_regionkey::VARCHAR AS graph_id, n_name AS node FROM nation UNION SELECT graph_id, src FROM edges UNION SELECT graph_id, dst FROM edges)")
 def node_union(spark, sf_dir):
     declared = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("graph_id"), F.col("n_name").alias("node"))

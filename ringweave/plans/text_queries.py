@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import context, diff, pyast
+from ..operators import diff
 from ..sources import quality, runs
 from ..sources import text as S
 from .facts import register, table
@@ -52,13 +52,6 @@ def two_way_budget(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", E.two_way_budget(F.col("l_quantity").cast("long"), F.col("l_partkey") % 90, F.lit(40)).alias("s")).select("l_orderkey", "l_linenumber", "s.a", "s.b")
 
 
-@register(Q, SQL)
-def token_budget(spark, sf_dir):
-    per = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("x"))
-    got = context.token_budgets(per.select("conv_id", F.transform("x", lambda x: E.tokens_of_chars(x["n"])).alias("needs"), F.lit(300).alias("total")), "needs", "total")
-    return got.select("conv_id", F.array_join(F.transform("allocated", lambda x: x.cast("string")), ",").alias("allocated"))
-
-
 @register(Q, SQL, """WITH b AS (SELECT doc_id, coalesce(text, '') AS t, '--- BEGIN ' || source || ' ---' || chr(10) AS h, chr(10) || '--- END ' || source || ' ---' || chr(10) AS f FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 600 - length(h) - length(f) THEN h || t || f ELSE h || left(t, greatest(600 - length(h) - length(f) - 13, 0)) || chr(10) || '[Truncated]' || chr(10) || f END AS block FROM b""")
 def format_block(spark, sf_dir):
@@ -120,40 +113,6 @@ def usage_totals(spark, sf_dir):
     return runs.usage_totals(e, ["g"])
 
 
-@register(Q, SQL, "SELECT order_day::VARCHAR AS order_day, count(*)::BIGINT AS n FROM (SELECT o_orderdate::DATE AS order_day FROM orders WHERE date_diff('day', o_orderdate::DATE, DATE '1998-08-02') <= 365) GROUP BY ALL")
-def recent_enough(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("order_day"))
-    return o.where(F.datediff(F.lit("1998-08-02").cast("date"), "order_day") <= 365).groupBy(F.col("order_day").cast("string").alias("order_day")).agg(F.count("*").alias("n"))
-
-
-@register(Q, SQL)
-def readme_order(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.lit("r").alias("repo"), F.concat(F.regexp_replace("url", "^https?://[^/]*/", ""), F.lit("/README"), (F.col("page_id") % 3).cast("string"), F.lit(".md")).alias("path"))
-    return S.find_readmes(p)
-
-
-@register(Q, SQL)
-def python_imports(spark, sf_dir):
-    """Imports of small sources made of the documents' languages."""
-    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("graph_id"), F.concat(F.lit("pkg/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("").alias("import_root"))
-    text = F.concat(F.lit("import os\nfrom . import m0\nfrom pkg.m1 import f\nif TYPE_CHECKING:\n    import typing_only\n# "), "path")
-    return pyast.import_table(d.withColumn("text", text)).groupBy("graph_id", "imported").agg(F.count("*").alias("n"))
-
-
-@register(Q, SQL)
-def stale_references(spark, sf_dir):
-    """Findings after patches that move a function, one repository for each language."""
-    patch = (
-        "diff --git a/pkg/a.py b/pkg/a.py\n--- a/pkg/a.py\n+++ b/pkg/a.py\n@@ -1,4 +1,2 @@\n-import json\n-def f():\n-    return 1\n def g():\n-    return f()\n+    return f() + json.x\n"
-        "diff --git a/pkg/b.py b/pkg/b.py\n--- a/pkg/b.py\n+++ b/pkg/b.py\n@@ -1,1 +1,3 @@\n x = 1\n+def f():\n+    return 1\n"
-    )
-    src = {"pkg/a.py": "import json\ndef f():\n    return 1\ndef g():\n    return f()\n", "pkg/b.py": "x = 1\n", "pkg/c.py": "from pkg.a import f\n"}
-    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("repo")).distinct()
-    r = langs.select(F.concat(F.lit("run-"), "repo").alias("run_id"), "repo", F.lit(patch).alias("patch"), F.lit("").alias("import_root"))
-    f = langs.crossJoin(spark.createDataFrame(list(src.items()), "path string, text string"))
-    return diff.stale_references(r, f)
-
-
 @register(Q, SQL, "SELECT event_id, value::INTEGER AS n FROM (SELECT event_id, floor(value) AS value FROM events) WHERE event_id % 2 = 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 2 = 1")
 def int_file(spark, sf_dir):
     e = table(spark, sf_dir, "events")
