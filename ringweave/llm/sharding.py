@@ -21,7 +21,8 @@ from ..session import stored
 KEY_BITS, STEP_BITS = 60, 8
 #: A text hash goes whole to one side of a splitter if that shifts the splitter by at most a shard's bytes / 200.
 WHOLE_GROUP = 200
-#: Shards are exchanged in ranges of about so many bytes, and at most so many ranges in all.
+#: Shards are exchanged in ranges of about so many bytes. Splitters are sought for so many ranges at most, which bounds
+#: what the driver adds up; each of those is then cut into even parts of its span of hashes.
 RANGE_BYTES, RANGES = 32 << 20, 8192
 _LEAST = -(1 << 63)
 
@@ -171,20 +172,39 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     total, count = whole["b"] or 0, whole["n"]
     parts = max(1, min(-(-total // (shards * RANGE_BYTES)), RANGES // shards))
     parts = max(parts, 8)
+    cuts = max(1, -(-total // (shards * parts * RANGE_BYTES)))
     splitters = find_splitters(keys, shards, parts, total, count) if count else []
     starts = [0, *[s[3] for s in splitters]]
-    base = [n - starts[i - i % parts] for i, n in enumerate(starts)]
+    base = F.get(F.array(*[F.lit(n - starts[i - i % parts]).cast("long") for i, n in enumerate(starts)]), F.col("range"))
     placed = rows.select("doc", k.alias("k"), d.alias("d")).withColumn("range", _range_of(F.col("k"), F.col("d"), splitters))
-    inside = Window.partitionBy("range").orderBy("k", "d")
+    deal = ["range"]
+    if cuts > 1:
+        deal = ["range", "cut"]
+        cut = _cut_of([s[0] for s in splitters], cuts)
+        held = keys.select("k", _range_of(F.col("k"), F.col("d"), splitters).alias("range")).groupBy("range", cut.alias("cut")).agg(F.count("*").alias("n"))
+        before = Window.partitionBy("range").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.select("range", "cut", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("more"))
+        placed = placed.withColumn("cut", cut).join(held, deal)
+        base = base + F.col("more")
+    inside = Window.partitionBy(*deal).orderBy("k", "d")
     return placed.select(
         "doc",
         text_bytes(F.col("doc.text")).alias("size"),
         F.lit("bytes").alias("law"),
         F.floor(F.col("range") / F.lit(parts)).cast("int").alias("shard"),
-        (F.row_number().over(inside) - 1 + F.get(F.array(*map(lambda n: F.lit(n).cast("long"), base)), F.col("range"))).cast("long").alias("slot"),
+        (F.row_number().over(inside) - 1 + base).cast("long").alias("slot"),
     )
 
 
+def _cut_of(splitters: list[int], cuts: int) -> Column:
+    """Which of ``cuts`` even parts of its range's span of hashes a row lies in. The hashes are spread evenly, so the
+    parts are about even too; rows of one hash stay in one part."""
+    ends = [0, *splitters, 1 << KEY_BITS]
+    width = [max(1, -(-(b - a + 1) // cuts)) for a, b in zip(ends, ends[1:])]
+    of = lambda x: F.get(F.array(*[F.lit(v).cast("long") for v in x]), F.col("range"))
+    return F.call_function("div", F.col("k") - of(ends[:-1]), of(width)).cast("int")
+
+
 def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7."""
     sharded = shard_documents(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), 8)

@@ -73,6 +73,16 @@ def test_shards_of_odd_rows(odd, none):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranges_are_cut_further_without_bound(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = sorted(sharding.shard_documents(docs, 3).select("doc.doc_id", "shard", "slot").collect())
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 500)
+    monkeypatch.setattr(sharding, "RANGES", 24)
+    cut = sharding.shard_documents(docs, 3)
+    assert sorted(cut.select("doc.doc_id", "shard", "slot").collect()) == want
+    assert "cut" in cut._jdf.queryExecution().analyzed().toString()
+
+
 def test_one_exchange_of_texts(spark, sf):
     plan = sharding.op5_histogram_shards(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
