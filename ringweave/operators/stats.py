@@ -38,11 +38,13 @@ def seed_of(label: str) -> int:
 
 
 def bootstrap_ci(values: np.ndarray, seed: int, n: int = 10_000, alpha: float = 0.05) -> tuple[float | None, float | None]:
-    """Percentile interval of the mean over ``n`` resamples."""
+    """Percentile interval of the mean over ``n`` resamples, drawn in blocks from one stream."""
     if not len(values):
         return None, None
     rng = np.random.default_rng(seed)
-    means = np.array([rng.choice(values, size=len(values), replace=True).mean() for _ in range(n)])
+    block = max(1, (1 << 22) // len(values))
+    sizes = [min(block, n - at) for at in range(0, n, block)]
+    means = np.concatenate([values[rng.integers(0, len(values), (k, len(values)))].mean(axis=1) for k in sizes])
     return float(np.quantile(means, alpha / 2)), float(np.quantile(means, 1 - alpha / 2))
 
 
@@ -86,14 +88,16 @@ def _nodes(k: int = 15) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Glmm:
-    """Binomial model with a normal random intercept for each group, by Gauss-Hermite quadrature.
+    """Binomial model with a normal random intercept for each group, fitted by maximum likelihood.
 
-    Rows are (group, successes, trials, predictors); the likelihood of a group is integrated over 15 places of its
-    intercept, and maximised by Newton steps with numerical derivatives on (coefficients, log standard deviations).
-    ``outer`` names a larger group that each group lies in, with a random intercept of its own.
+    Rows are (group, successes, trials, predictors). With ``points`` of 1 the likelihood of a group is its Laplace
+    approximation at the mode of its intercept, as mixed model packages have it by default; with more it is
+    integrated by Gauss-Hermite quadrature. It is maximised by Newton steps with numerical derivatives on
+    (coefficients, log standard deviations). ``outer`` names a larger group that each group lies in, with a random
+    intercept of its own. ``weight`` says how many alike groups each group stands for.
     """
 
-    def __init__(self, group, won, trials, x, outer=None):
+    def __init__(self, group, won, trials, x, outer=None, points: int = 1, weight=None):
         self.names, self.g = np.unique(np.asarray(group), return_inverse=True)
         self.outer = None
         if outer is not None:
@@ -102,11 +106,17 @@ class Glmm:
             self.outer[self.g] = of
         self.won, self.trials = np.asarray(won, float), np.asarray(trials, float)
         self.x = np.column_stack([np.ones(len(self.won)), np.asarray(x, float).reshape(len(self.won), -1)])
+        self.times = np.ones(len(self.names))
+        if weight is not None:
+            self.times[self.g] = np.asarray(weight, float)
         lg = np.vectorize(math.lgamma)
-        self.base = float((lg(self.trials + 1) - lg(self.won + 1) - lg(self.trials - self.won + 1)).sum())
-        self.at, self.weight = _nodes()
+        self.base = float(((lg(self.trials + 1) - lg(self.won + 1) - lg(self.trials - self.won + 1)) * self.times[self.g]).sum())
+        self.points = points
+        self.at, self.weight = _nodes(max(points, 2))
 
     def loglik(self, p: np.ndarray) -> float:
+        if self.points == 1:
+            return self._laplace(p)
         if self.outer is not None:
             return self._nested(p)
         eta = (self.x @ p[:-1])[:, None] + math.exp(p[-1]) * self.at[None]
@@ -114,7 +124,50 @@ class Glmm:
         per = np.zeros((len(self.names), len(self.at)))
         np.add.at(per, self.g, ll)
         top = per.max(axis=1)
-        return float((top + np.log(np.exp(per - top[:, None]) @ self.weight)).sum()) + self.base
+        return float(self.times @ (top + np.log(np.exp(per - top[:, None]) @ self.weight))) + self.base
+
+    def _laplace(self, p: np.ndarray) -> float:
+        """At the joint mode of all intercepts (in standard deviations), found by Newton steps.
+
+        The Hessian of one outer group is an arrow: diagonal in its groups' intercepts, with one row for its own.
+        """
+        n, nested = len(self.names), self.outer is not None
+        k = self.x.shape[1]
+        fixed, s, t = self.x @ p[:k], math.exp(p[k]), math.exp(p[k + 1]) if nested else 0.0
+        of = self.outer if nested else np.zeros(n, dtype=int)
+        m = int(of.max()) + 1
+        u, v = np.zeros(n), np.zeros(m)
+
+        def value(u, v):
+            eta = fixed + s * u[self.g] + t * v[of][self.g]
+            per = np.bincount(self.g, self.won * eta - self.trials * np.logaddexp(0, eta), minlength=n) - u * u / 2
+            return eta, float(self.times @ per) - float(v @ v) / 2
+
+        eta, now = value(u, v)
+        for _ in range(100):
+            q = 1 / (1 + np.exp(-eta))
+            r = np.bincount(self.g, self.won - self.trials * q, minlength=n)
+            w = np.bincount(self.g, self.trials * q * (1 - q), minlength=n)
+            du, dv = s * r - u, t * np.bincount(of, r, minlength=m) - v
+            a = 1 + s * s * w
+            arrow = 1 + t * t * np.bincount(of, w / a, minlength=m)
+            step_v = (dv - np.bincount(of, s * t * w * du / a, minlength=m)) / arrow if nested else np.zeros(m)
+            step_u = (du - s * t * w * step_v[of]) / a
+            size = 1.0
+            while True:
+                new_u, new_v = u + size * step_u, v + size * step_v
+                new_eta, new = value(new_u, new_v)
+                if new >= now - 1e-12 or size < 1e-6:
+                    break
+                size /= 2
+            u, v, eta, now = new_u, new_v, new_eta, new
+            if max(np.abs(size * step_u).max(initial=0), np.abs(size * step_v).max(initial=0)) < 1e-10:
+                break
+        q = 1 / (1 + np.exp(-eta))
+        w = np.bincount(self.g, self.trials * q * (1 - q), minlength=n)
+        a = 1 + s * s * w
+        det = self.times @ np.log(a) + (np.log(1 + t * t * np.bincount(of, w / a, minlength=m)).sum() if nested else 0.0)
+        return now - float(det) / 2 + self.base
 
     def _nested(self, p: np.ndarray) -> float:
         eta = (self.x @ p[:-2])[:, None, None] + math.exp(p[-2]) * self.at[None, :, None] + math.exp(p[-1]) * self.at[None, None, :]
@@ -182,18 +235,24 @@ def odds_ratio(beta: float, se: float) -> tuple[float, float, float]:
 def configuration_model(facts: DataFrame, baseline: str, selected: str, label: str = "Configuration") -> pd.DataFrame:
     """Effect of the selected configuration on success, with random intercepts for cycles.
 
-    Aggregated in Spark to a row for each cycle and mode. Rows are empty placeholders where there is nothing to fit
-    (a mode is missing, no success or no failure).
+    Aggregated in Spark to a row for each cycle and mode, and cycles with the same outcomes in both modes to one group
+    that stands for all of them. The model with repositories needs a row for each cycle and mode of the experiment.
+    Rows are empty placeholders where there is nothing to fit (a mode is missing, no success or no failure).
     """
-    rows = tables.cycle_rates(facts.where(F.col("mode_id").isin(baseline, selected))).toPandas()
+    rates = tables.cycle_rates(facts.where(F.col("mode_id").isin(baseline, selected)))
+    alike = rates.groupBy("repo", "cycle_id").agg(F.array_sort(F.collect_list(F.struct((F.col("mode_id") == selected).cast("int").alias("x"), "successes", "trials"))).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
+    held = [(i, *t, r["n"]) for i, r in enumerate(alike.orderBy("a").toLocalIterator()) for t in r["a"]]
+    few = pd.DataFrame(held, columns=["group", "x", "successes", "trials", "n"])
+    rows = rates.toPandas()
     effect, var, repo = label, "Cycle random-effect variance", "Repository random-effect variance"
     columns = ["effect", "coefficient", "odds_ratio", "ci", "p"]
     if rows["mode_id"].nunique() < 2 or not 0 < rows["successes"].sum() < rows["trials"].sum():
         return pd.DataFrame([[x, None, None, None, None] for x in (effect, var, repo)], columns=columns)
     group = rows["repo"] + "\0" + rows["cycle_id"]
     x = (rows["mode_id"] == selected).astype(float).to_numpy()
-    full = Glmm(group, rows["successes"], rows["trials"], x).fit()
-    null = Glmm(group, rows["successes"], rows["trials"], np.zeros((len(rows), 0))).fit()
+    own = (few["group"], few["successes"], few["trials"])
+    full = Glmm(*own, few["x"], weight=few["n"]).fit()
+    null = Glmm(*own, np.zeros((len(few), 0)), weight=few["n"]).fit()
     ratio, lo, hi = odds_ratio(full.p[1], full.se[1])
     own = [effect, round(full.p[1], 3), round(ratio, 3), f"{lo:.3f}--{hi:.3f}", format_p(lrt_p(full.ll, null.ll))]
     # robustness: the same model with a random intercept for each repository too

@@ -139,6 +139,54 @@ def test_glmm_recovers_simulated_effects():
     assert stats.lrt_p(m.ll, null.ll) < 0.001
 
 
+def slow_laplace(m, p):
+    """The Laplace approximation group by group, by the mode on a fine line and a second difference."""
+    s, total = math.exp(p[-1]), m.base
+    for k in range(len(m.names)):
+        i = m.g == k
+        f = lambda u: (m.won[i] * (m.x[i] @ p[:-1] + s * u) - m.trials[i] * np.logaddexp(0, m.x[i] @ p[:-1] + s * u)).sum() - u * u / 2  # noqa: B023, E731
+        lo, hi = -9.0, 9.0
+        for _ in range(200):  # the function is concave
+            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+            lo, hi = (a, hi) if f(a) < f(b) else (lo, b)
+        u, h = (lo + hi) / 2, 1e-4
+        total += f(u) - 0.5 * math.log(-(f(u + h) - 2 * f(u) + f(u - h)) / h**2)
+    return total
+
+
+def test_laplace_against_a_plain_one():
+    rng = np.random.default_rng(4)
+    g, x = np.repeat(np.arange(8), 2), np.tile([0.0, 1.0], 8)
+    trials = rng.integers(1, 16, 16)
+    m = stats.Glmm(g, rng.binomial(trials, 0.4), trials, x)
+    for p in ([-0.4, 0.5, 0.3], [0.2, -1.0, 1.0], [0.0, 0.0, -2.0]):
+        assert m.loglik(np.array(p)) == pytest.approx(slow_laplace(m, np.array(p)), abs=1e-4)
+    # an outer intercept that hardly varies leaves the model as it is
+    wide = stats.Glmm(g, m.won, trials, x, outer=g // 4)
+    assert wide.loglik(np.array([-0.4, 0.5, 0.3, -12.0])) == pytest.approx(m.loglik(np.array([-0.4, 0.5, 0.3])), abs=1e-6)
+    # groups that are alike may be given once, with their number
+    twice = stats.Glmm(np.concatenate([g, g + 8]), np.tile(m.won, 2), np.tile(trials, 2), np.tile(x, 2))
+    once = stats.Glmm(g, m.won, trials, x, weight=np.full(16, 2))
+    assert twice.loglik(np.array([-0.4, 0.5, 0.3])) == pytest.approx(once.loglik(np.array([-0.4, 0.5, 0.3])), abs=1e-6)
+
+
+def test_laplace_of_nested_groups_is_near_quadrature():
+    rng = np.random.default_rng(5)
+    cycle, repo = np.repeat(np.arange(40), 2), np.repeat(np.arange(8), 10)
+    trials, x = np.full(80, 40), np.tile([0.0, 1.0], 40)
+    won = rng.binomial(trials, 1 / (1 + np.exp(-(0.3 * x + rng.normal(0, 0.5, 40)[cycle] + rng.normal(0, 0.5, 8)[repo]))))
+    p = np.array([0.1, 0.3, math.log(0.5), math.log(0.5)])
+    a, b = stats.Glmm(cycle, won, trials, x, repo), stats.Glmm(cycle, won, trials, x, repo, points=25)
+    assert a.loglik(p) == pytest.approx(b.loglik(p), abs=0.3)
+
+
+def test_bootstrap_draws_are_one_stream():
+    v = np.random.default_rng(0).normal(size=37)
+    rng = np.random.default_rng(9)
+    means = np.array([rng.choice(v, size=len(v), replace=True).mean() for _ in range(300)])
+    assert stats.bootstrap_ci(v, 9, 300) == (float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975)))
+
+
 def test_glmm_without_group_effect_is_logistic():
     won, trials, x = np.array([30, 45] * 20), np.full(40, 60), np.array([0.0, 1.0] * 20)
     m = stats.Glmm(np.repeat(np.arange(20), 2), won, trials, x).fit()
