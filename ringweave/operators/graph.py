@@ -94,15 +94,14 @@ def _rounds(edges: DataFrame) -> DataFrame:
     """Strong components of large graphs by colours: the greatest node that reaches a node colours it; the nodes of a
     colour that reach back to it are its component; they leave, and it starts anew."""
     live = stored(edges, "scc-live")
-    done = None
-    while live.limit(1).count():
+    done, n = None, live.count()
+    while n:
         # nodes without a way in or out are no part of a cycle
         while True:
             ins, outs = live.select("graph_id", F.col("dst").alias("src")).distinct(), live.select("graph_id", F.col("src").alias("dst")).distinct()
             trimmed = stored(live.join(ins, ["graph_id", "src"], "left_semi").join(outs, ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst"), "scc-trim")
-            same = trimmed.count() == live.count()
-            live = trimmed
-            if same:
+            live, was, n = trimmed, n, trimmed.count()
+            if n == was:
                 break
         nodes = graph_nodes(live)
         colour = stored(nodes.withColumn("c", F.col("node")), "scc-colour")
@@ -118,12 +117,12 @@ def _rounds(edges: DataFrame) -> DataFrame:
         )
         inside = stored(inside.where("c = c2").select("graph_id", "src", "dst", "c"), "scc-inside")
         reached = stored(colour.where("node = c"), "scc-reach")
+        size = reached.count()
         while True:
             more = inside.join(reached.select("graph_id", F.col("node").alias("dst"), "c"), ["graph_id", "dst", "c"]).select("graph_id", F.col("src").alias("node"), "c")
             after = stored(reached.unionByName(more).distinct(), "scc-reach")
-            same = after.count() == reached.count()
-            reached = after
-            if same:
+            reached, was, size = after, size, after.count()
+            if size == was:
                 break
         done = reached if done is None else done.unionByName(reached)
         gone = reached.select("graph_id", "node")
@@ -133,6 +132,7 @@ def _rounds(edges: DataFrame) -> DataFrame:
             .select("graph_id", "src", "dst"),
             "scc-live",
         )
+        n = live.count()
     if done is None:
         return edges.select("graph_id", F.col("src").alias("node"), F.col("src").alias("comp")).limit(0)
     least = done.groupBy("graph_id", "c").agg(F.min("node").alias("comp"))
@@ -349,6 +349,23 @@ def sample_cycles(edges: DataFrame, members: DataFrame, max_len: int = 8, attemp
     return inside.groupBy("graph_id", "comp").applyInPandas(walk, schema)
 
 
+#: Paths that may have to be followed in a component of which all cycles are listed.
+PATHS = 10_000_000
+
+
+def find_cycles(edges: DataFrame, members: DataFrame, max_len: int = 8, attempts: int = 50_000, seed: int = 12345, most: int = PATHS) -> DataFrame:
+    """Cycles of 2 to ``max_len`` nodes: graph_id, comp, nodes. All of them where a component is small enough, those that
+    random walks meet in the others, where they may be too many to be listed.
+
+    Small enough is a component with ``most`` paths or less by the bound nodes * (largest out-degree) ** (max_len - 1).
+    """
+    inside = induced_edges(clean_edges(edges), members)
+    out = inside.groupBy("graph_id", "comp", "src").agg(F.count("*").alias("d")).groupBy("graph_id", "comp").agg(F.max("d").alias("d"), F.count("*").alias("n"))
+    few = out.where(F.col("n") * F.pow("d", F.lit(max_len - 1)) <= most).select("graph_id", "comp")
+    part = lambda how: members.join(few, ["graph_id", "comp"], how)
+    return enumerate_cycles(edges, part("left_semi"), max_len).unionByName(sample_cycles(edges, part("left_anti"), max_len, attempts, seed))
+
+
 def cycle_ranks(cycles: DataFrame, ranks: DataFrame) -> DataFrame:
     """``cycles`` with length and the mean, least and greatest PageRank of their nodes (absent nodes: 0)."""
     long = cycles.select("graph_id", "comp", "nodes", F.explode("nodes").alias("node")).join(ranks, ["graph_id", "node"], "left")
@@ -366,10 +383,10 @@ def pack_edge_disjoint(cycles: DataFrame, max_keep: int = 200) -> DataFrame:
     schema = T.StructType([*cycles.schema.fields, T.StructField("place", T.IntegerType())])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(pdf)), key=lambda i: (pdf["length"].iloc[i], pdf["pagerank_avg"].iloc[i], tuple(pdf["nodes"].iloc[i])), reverse=True)
+        rows = list(zip(pdf["length"], pdf["pagerank_avg"], map(tuple, pdf["nodes"])))
         used, kept = set(), []
-        for i in order:
-            nodes = list(pdf["nodes"].iloc[i])
+        for i in sorted(range(len(rows)), key=rows.__getitem__, reverse=True):
+            nodes = rows[i][2]
             own = set(zip(nodes, nodes[1:] + nodes[:1]))
             if used & own:
                 continue

@@ -1,16 +1,18 @@
 """Greedy, fair selection of cycles: soft targets for size bins, caps for repositories and nodes.
 
-Candidates are prepared and cut down in Spark; the choice itself is sequential and looks at the packed cycles.
+Candidates stay in Spark: each choice is one aggregation over them, and the driver holds what has been chosen.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..session import stored
 
 #: How often a node may be in selected cycles of its repository.
 NODE_USES = 2
@@ -30,50 +32,51 @@ def bin_targets(available: dict[str, int], priority: list[str], total: int) -> d
     return {b: total // len(own) + (i < total % len(own)) for i, b in enumerate(own)}
 
 
-def select_cycles(pool: list[dict], bins: list[tuple[int, int, str]], total: int, max_per_repo: int, node_uses: int = NODE_USES) -> list[dict]:
-    """At most ``total`` of the pool, in the order of choice (pick_no from 0).
-
-    Each time the cycle is taken that has the fewest chosen of its repository, then the fewest nodes chosen before,
-    then the most nodes, then the first repository and cycle_id. Bins are filled to their targets, larger cycles
-    first, and then beyond them.
-    """
-    by_bin: dict[str, list[dict]] = defaultdict(list)
-    for c in pool:
-        by_bin[c["bin"]].append(c)
-    targets = bin_targets({b: len(v) for b, v in by_bin.items()}, E.bin_priority(bins), total)
+def select_cycles(available: dict[str, int], best: Callable[[str, list[dict]], dict | None], bins: list[tuple[int, int, str]], total: int) -> list[dict]:
+    """At most ``total`` cycles in the order of choice (pick_no from 0). Bins are filled to their targets, larger cycles
+    first, and then beyond them; ``best(bin, chosen)`` gives the next one of a bin."""
+    targets = bin_targets(available, E.bin_priority(bins), total)
     chosen: list[dict] = []
-    of_repo, of_bin, taken = Counter(), Counter(), set()
-    uses: dict[str, Counter] = defaultdict(Counter)
-
-    def best(b: str) -> dict | None:
-        def free(c):
-            return (c["repo"], c["cycle_id"]) not in taken and of_repo[c["repo"]] < max_per_repo and all(uses[c["repo"]][n] < node_uses for n in c["nodes"])
-
-        def cost(c):
-            return of_repo[c["repo"]], sum(uses[c["repo"]][n] > 0 for n in c["nodes"]), -c["size"], c["repo"], c["cycle_id"]
-
-        return min(filter(free, by_bin[b]), key=cost, default=None)
-
     for upto in (targets, dict.fromkeys(targets, total)):
         for b in targets:
-            while len(chosen) < total and of_bin[b] < upto[b] and (c := best(b)):
+            while len(chosen) < total and sum(c["bin"] == b for c in chosen) < upto[b] and (c := best(b, chosen)):
                 chosen.append({**c, "pick_no": len(chosen)})
-                taken.add((c["repo"], c["cycle_id"]))
-                of_repo[c["repo"]] += 1
-                of_bin[b] += 1
-                uses[c["repo"]].update(c["nodes"])
     return chosen
 
 
-def greedy_selection(cands: DataFrame, bins: list[tuple[int, int, str]], total: int, max_per_repo: int) -> DataFrame:
-    """The selection of ``select_cycles`` as rows. The candidates come to the driver: packing keeps a bounded number
-    of cycles for each component, and the choice needs them all."""
+def greedy_selection(cands: DataFrame, bins: list[tuple[int, int, str]], total: int, max_per_repo: int, node_uses: int = NODE_USES) -> DataFrame:
+    """The candidates (repo, cycle_id, size, nodes, bin, ...) that are selected, with pick_no.
+
+    Each time the cycle is taken that has the fewest chosen of its repository, then the fewest nodes chosen before,
+    then the most nodes, then the first repository and cycle_id; not one of a repository with ``max_per_repo``
+    chosen, nor one with a node that is in ``node_uses`` chosen ones. What the driver sends along is the chosen
+    ones, ``total`` at most.
+    """
     import pyspark.sql.types as T
 
-    rows = [r.asDict(recursive=True) for r in cands.toLocalIterator()]
-    chosen = select_cycles(rows, bins, total, max_per_repo)
+    spark = cands.sparkSession
+    pool = stored(cands, "candidates")
+    available = {r["bin"]: r["n"] for r in pool.groupBy("bin").agg(F.count("*").alias("n")).collect()}  # a row for each bin
+
+    def best(b: str, chosen: list[dict]) -> dict | None:
+        state = []
+        for repo in {c["repo"] for c in chosen}:
+            own = [c for c in chosen if c["repo"] == repo]
+            uses = Counter(n for c in own for n in c["nodes"])
+            state.append((repo, len(own), [c["cycle_id"] for c in own], sorted(uses), sorted(n for n, k in uses.items() if k >= node_uses)))
+        now = spark.createDataFrame(state, "repo string, _chosen int, _taken array<string>, _used array<string>, _full array<string>")
+        none = F.array().cast("array<string>")
+        own = pool.where(F.col("bin") == b).join(F.broadcast(now), "repo", "left")
+        free = ~F.array_contains(F.coalesce("_taken", none), F.col("cycle_id")) & ~F.arrays_overlap("nodes", F.coalesce("_full", none))
+        own = own.where((F.coalesce("_chosen", F.lit(0)) < max_per_repo) & free)
+        again = F.size(F.filter("nodes", lambda n: F.array_contains(F.coalesce("_used", none), n)))
+        cost = F.struct(F.coalesce("_chosen", F.lit(0)).alias("a"), again.alias("b"), (-F.col("size")).alias("c"), "repo", "cycle_id")
+        row = own.agg(F.min_by(F.struct(*cands.columns), cost).alias("r")).first()["r"]
+        return row and row.asDict(recursive=True)
+
+    chosen = select_cycles(available, best, bins, total)
     schema = T.StructType([*cands.schema.fields, T.StructField("pick_no", T.IntegerType())])
-    return cands.sparkSession.createDataFrame([tuple(c[f.name] for f in schema) for c in chosen], schema)
+    return spark.createDataFrame([tuple(c[f.name] for f in schema) for c in chosen], schema)
 
 
 def counters(cands: DataFrame) -> DataFrame:

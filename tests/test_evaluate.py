@@ -79,14 +79,32 @@ def test_counts_prefer_pytest_and_regressions_show(spark):
     assert got == {"a": (10, 8), "b": (5, 5), "c": (None, None)}
 
 
-def test_selection_caps_and_targets():
+def slow_selection(pool, bins, total, max_per_repo):
+    """The choice one by one over a list."""
+    want = select.bin_targets({b: sum(c["bin"] == b for c in pool) for _, _, b in bins}, E.bin_priority(bins), total)
+    out = []
+    for upto in (want, dict.fromkeys(want, total)):
+        for b in want:
+            while len(out) < total and sum(c["bin"] == b for c in out) < upto[b]:
+                uses = lambda c, n: sum(n in o["nodes"] for o in out if o["repo"] == c["repo"])
+                of_repo = lambda c: sum(o["repo"] == c["repo"] for o in out)
+                free = [c for c in pool if c["bin"] == b and c not in out and of_repo(c) < max_per_repo and all(uses(c, n) < 2 for n in c["nodes"])]
+                if not free:
+                    break
+                out.append(min(free, key=lambda c: (of_repo(c), sum(uses(c, n) > 0 for n in c["nodes"]), -c["size"], c["repo"], c["cycle_id"])))
+    return out
+
+
+def test_selection_caps_and_targets(spark):
     bins = E.parse_bins("2-3,6-4")
     assert bins == [(2, 3, "2-3"), (4, 6, "4-6")]
     pool = [dict(repo=r, cycle_id=f"c{i}", nodes=[f"{r}{i}", f"{r}{i + 1}"], size=s, bin=E.parse_bins("2-3,4-6")[s > 3][2]) for r in "xyz" for i, s in enumerate((2, 3, 4, 5))]
-    got = select.select_cycles(pool, bins, 5, 2)
+    cands = spark.createDataFrame(pool, "repo string, cycle_id string, nodes array<string>, size int, bin string")
+    got = [r.asDict() for r in select.greedy_selection(cands, bins, 5, 2).orderBy("pick_no").collect()]
     assert [g["pick_no"] for g in got] == list(range(5))
     assert all(sum(g["repo"] == r for g in got) <= 2 for r in "xyz")
     assert got[0]["size"] == 5 and sum(g["bin"] == "4-6" for g in got) >= 3
+    assert [{k: v for k, v in g.items() if k != "pick_no"} for g in got] == slow_selection(pool, bins, 5, 2)
     with pytest.raises(ValueError):
         select.bin_targets({}, ["2-3"], 3)
 

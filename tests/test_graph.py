@@ -116,3 +116,15 @@ def test_external_edges_and_chords(spark):
     c = spark.createDataFrame([("g", "c1", ["a", "b", "c"]), ("g", "c2", ["p", "q"])], "graph_id string, cycle_id string, nodes array<string>")
     assert {r["cycle_id"]: r["external_edges"] for r in G.external_edges(e, c).collect()} == {"c1": 2, "c2": 0}
     assert [(r["src"], r["dst"]) for r in G.chords(G.clean_edges(e), c).collect()] == [("a", "c")]
+
+
+def test_cycles_of_large_components_are_walked(spark):
+    ring = [("g", f"a{i}", f"a{(i + 1) % 4}") for i in range(4)]
+    dense = [("h", f"b{i}", f"b{j}") for i in range(9) for j in range(9) if i != j]
+    e = spark.createDataFrame(ring + dense, "graph_id string, src string, dst string")
+    m = G.strong_components(e)
+    got = G.find_cycles(e, m, 8, attempts=300, most=1000).collect()
+    assert [r["nodes"] for r in got if r["graph_id"] == "g"] == [["a0", "a1", "a2", "a3"]]
+    found = [tuple(r["nodes"]) for r in got if r["graph_id"] == "h"]
+    assert 20 < len(found) <= 300 and len(set(found)) == len(found) and all(min(c) == c[0] for c in found)
+    assert {tuple(r["nodes"]) for r in G.find_cycles(e, m, 3).collect()} == {tuple(r["nodes"]) for r in G.enumerate_cycles(e, m, 3).collect()}
