@@ -284,6 +284,7 @@ def two_way_budget(need_a: Column | str, need_b: Column | str, total: Column | s
     return F.struct((first_a + more_a).cast("long").alias("a"), (first_b + more_b).cast("long").alias("b"))
 
 
+#: The mark of a text that is cut. Fixed value.
 TRUNCATED = "\n[Truncated]\n"
 
 
@@ -300,7 +301,11 @@ def format_block(path: Column | str, text: Column | str, max_chars: Column | str
     )
 
 
-def clip_middle(text: Column | str, max_chars: int, mark: str = "\n... [snip for console] ...\n") -> Column:
+#: What stands for the middle of a text. Fixed value.
+SNIP = "\n... [snip for console] ...\n"
+
+
+def clip_middle(text: Column | str, max_chars: int, mark: str = SNIP) -> Column:
     t, half = F.coalesce(col(text), F.lit("")), max_chars // 2
     if max_chars <= 0:
         return F.lit("")
@@ -351,6 +356,52 @@ def json_assert(doc: Column | str, dotted: str, rule: str, wanted=None) -> Colum
     return tests[rule]()
 
 
+#: What stands for a secret in a logged header. Fixed value.
+REDACTED = "Bearer ***REDACTED***"
+
+
+def redacted_headers(headers: Column | str) -> Column:
+    """A map of headers, whose authorization is not told, however its name is written."""
+    return F.transform_values(col(headers), lambda k, v: F.when(F.lower(k) == "authorization", REDACTED).otherwise(v))
+
+
+def served_model(model: Column | str) -> Column:
+    """A model's own name, without the prefix that says how it is reached."""
+    return F.regexp_replace(col(model), "^openai/", "")
+
+
+#: How far the markers of 2, 3 and 4 equal values stand from the middle of their row. Fixed values.
+SPREADS = {2: (-0.12, 0.12), 3: (-0.16, 0.0, 0.16), 4: (-0.21, -0.07, 0.07, 0.21)}
+
+
+def marker_offsets(values: Column | str, tolerance: float = 0.05) -> Column:
+    """Offsets for an array of values in the order in which they are drawn; null for a null.
+
+    Each value joins the first one before it that began a group and differs by ``tolerance`` at most, or begins one;
+    the members of a group of two to four are spread, others stay in the middle.
+    """
+    own = col(values)
+    start = F.struct(F.array().cast("array<double>").alias("first"), F.array().cast("array<int>").alias("of"))
+
+    def place(a, x):
+        near = F.array_position(F.transform(a["first"], lambda f: F.abs(f - x) <= tolerance), True).cast("int")
+        joins = F.struct(a["first"].alias("first"), F.concat(a["of"], F.array(near)).alias("of"))
+        begins = F.struct(F.concat(a["first"], F.array(x.cast("double"))).alias("first"), F.concat(a["of"], F.array(F.size(a["first"]) + 1)).alias("of"))
+        none = F.struct(a["first"].alias("first"), F.concat(a["of"], F.array(F.lit(None).cast("int"))).alias("of"))
+        return F.when(x.isNull(), none).when(near > 0, joins).otherwise(begins)
+
+    of = F.aggregate(own, start, place, lambda a: a["of"])
+
+    def offset(g, i):
+        n, nth = F.size(F.filter(of, lambda h: h == g)), F.size(F.filter(F.slice(of, F.lit(1), i + 1), lambda h: h == g))
+        out = F.lit(0.0)
+        for many, spread in SPREADS.items():
+            out = F.when(n == many, F.element_at(F.array(*map(F.lit, spread)), nth)).otherwise(out)
+        return F.when(g.isNotNull(), out)
+
+    return F.transform(of, offset)
+
+
 def safe_filename(text: Column | str) -> Column:
     return F.regexp_replace(col(text), "[^A-Za-z0-9._-]+", "_")
 

@@ -415,6 +415,12 @@ def cycle_catalog(packed: DataFrame, sccs: DataFrame) -> DataFrame:
     )
 
 
+def lost_edges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Distinct edges of graphs that aren't in the graphs after."""
+    own = ("graph_id", "src", "dst")
+    return before.select(*own).subtract(after.select(*own))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """graph_id, node, indeg, outdeg, total, in one aggregation."""
     ends = edges.select("graph_id", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))

@@ -48,6 +48,11 @@ def bootstrap_ci(values: np.ndarray, seed: int, n: int = 10_000, alpha: float =
     return float(np.quantile(means, alpha / 2)), float(np.quantile(means, 1 - alpha / 2))
 
 
+def bounded_jitter(center: float, n: int, width: float, seed: int) -> np.ndarray:
+    """``n`` places around ``center``, at most ``width`` away, the same for a seed in each run."""
+    return center + np.random.default_rng(seed).uniform(-width, width, n)
+
+
 def compare_modes(facts: DataFrame, comparisons: list[tuple[str, str, str]], resamples: int = 10_000) -> DataFrame:
     """label, left_mode, right_mode, paired, delta and interval (percentage points, one digit) of each comparison.
 

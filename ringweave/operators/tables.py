@@ -321,6 +321,11 @@ def external_top(edges: DataFrame, members: DataFrame, k: int = 20) -> DataFrame
     return got.withColumn("place", place).where(F.col("place") <= k)
 
 
+def union_of_splits(parts: dict[str, DataFrame]) -> DataFrame:
+    """All rows of several tables, each with the name of its split."""
+    return reduce(lambda a, b: a.unionByName(b), [rows.withColumn("split", F.lit(name)) for name, rows in parts.items()])
+
+
 def selected_mode(facts: DataFrame, baseline: str = "no_explain") -> str | None:
     """The one mode that stands against the baseline; None where there is none or more than one."""
     modes = [r["mode_id"] for r in facts.where("mode_id is not null").select("mode_id").distinct().limit(3).collect()]

@@ -161,3 +161,32 @@ def github_names(spark, sf_dir):
     k = F.col("p_partkey") % 4
     url = F.when(k == 0, F.concat(F.lit("https://github.com/"), r, F.lit(".git"))).when(k == 1, F.concat(F.lit("git@github.com:"), r)).when(k == 2, F.concat(F.lit(" https://github.com/"), r, F.lit("/ "))).otherwise(F.concat(F.lit("https://example.org/"), r))
     return table(spark, sf_dir, "part").select("p_partkey", E.github_repo(url).alias("repo"))
+
+
+@register(Q, SQL, """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Bearer ***REDACTED***' END AS secret, c_mktsegment AS model, 'x' AS accept FROM customer""")
+def logged_requests(spark, sf_dir):
+    k = F.col("c_custkey")
+    names = F.when(k % 2 == 0, F.when(k % 4 == 0, "AUTHORIZATION").otherwise("Authorization")).otherwise("Other")
+    headers = F.create_map(names, F.concat(F.lit("Bearer "), k.cast("string")), F.lit("Accept"), F.lit("x"))
+    c = table(spark, sf_dir, "customer").select(k, E.redacted_headers(headers).alias("h"), E.served_model(F.concat(F.when(k % 3 == 0, "").otherwise("openai/"), "c_mktsegment")).alias("model"))
+    return c.select(k, F.coalesce(F.col("h")["AUTHORIZATION"], F.col("h")["Authorization"]).alias("secret"), "model", F.col("h")["Accept"].alias("accept"))
+
+
+@register(Q, SQL, """WITH v AS (SELECT c_custkey, c_custkey % 3 AS k FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN '-0.12;0.0;0.12;;' WHEN 1 THEN '-0.16;0.0;0.16;0.0;' ELSE '-0.12;0.12;-0.12;0.12;0.0' END AS offsets FROM v""")
+def marker_offsets(spark, sf_dir):
+    """Rows of five values: two equal with others apart, three equal, and two pairs."""
+    k = F.col("c_custkey") % 3
+    row = lambda *v: F.array(*[F.lit(x).cast("double") for x in v])
+    values = F.when(k == 0, row(10, 20, 10.04, None, None)).when(k == 1, row(7, 7.05, 6.96, 9, None)).otherwise(row(1, 1, 2, 2, 3))
+    own = table(spark, sf_dir, "customer").select("c_custkey", E.marker_offsets(values).alias("o"))
+    return own.select("c_custkey", F.array_join(F.transform("o", lambda x: F.coalesce(x.cast("string"), F.lit(""))), ";").alias("offsets"))
+
+
+@register(Q, SQL)
+def jitter(spark, sf_dir):
+    """Places of the 25 nations around their region's number."""
+    from ..operators.stats import bounded_jitter
+
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")).orderBy("n_regionkey").collect()
+    return spark.createDataFrame([(r["n_regionkey"], i, float(x)) for r in rows for i, x in enumerate(bounded_jitter(r["n_regionkey"], r["n"], 0.25, 7))], "region long, place long, x double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import evaluate, planning, select, status
+from ..operators import evaluate, planning, select, status, tables
 from ..operators import graph as G
 from ..sources import text as S
 from .facts import REACH_SQL, TRADE_SQL, register, table, trade_edges
@@ -97,7 +97,7 @@ def node_union(spark, sf_dir):
 
 @register(Q, SQL, TRADE_SQL + _POST + "SELECT graph_id, src, dst FROM edges EXCEPT SELECT graph_id, src, dst FROM post")
 def edge_except(spark, sf_dir):
-    return trade_edges(spark, sf_dir).subtract(_post(spark, sf_dir))
+    return G.lost_edges(trade_edges(spark, sf_dir), _post(spark, sf_dir))
 
 
 @register(Q, SQL, "SELECT user_id, arg_max(event_type, (ts, event_id)) AS outcome, max((ts, event_id))[2] AS last_event FROM events GROUP BY user_id")
@@ -132,10 +132,10 @@ def first_appearance(spark, sf_dir):
     return S.first_seen(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
 
 
-@register(Q, SQL, "SELECT 'dev' AS split, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'eval', doc_id FROM documents WHERE lang <> 'en'")
+@register(Q, SQL, "SELECT 'dev' AS split, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'eval', doc_id FROM documents WHERE lang IS DISTINCT FROM 'en'")
 def split_union(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.where("lang = 'en'").select(F.lit("dev").alias("split"), "doc_id").unionByName(d.where("lang <> 'en'").select(F.lit("eval").alias("split"), "doc_id"))
+    d, english = table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("lang").eqNullSafe("en")
+    return tables.union_of_splits({"dev": d.where(english), "eval": d.where(~english)}).select("split", "doc_id")
 
 
 @register(Q, SQL, "SELECT c_custkey FROM customer WHERE c_acctbal >= 1000 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

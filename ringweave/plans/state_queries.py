@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import context, diff, planning, pyast, status, tables
+from ..operators import context, csharp, diff, planning, pyast, status, tables
 from ..session import fresh_path
 from ..sources import config, sinks
 from ..sources import text as S
@@ -316,6 +316,24 @@ def exported_names(spark, sf_dir):
     return pyast.export_table(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
+@register(Q, SQL, """WITH e AS (SELECT a.p_partkey AS s, b.p_partkey AS t FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 OR (b.p_partkey = a.p_partkey + 2 AND b.p_partkey % 5 = 2) OR (b.p_partkey = a.p_partkey + 4 AND a.p_partkey % 2 = 0))
+SELECT 'g' AS graph_id, 'src/P' || s || '.cs' AS src, 'src/P' || t || '.cs' AS dst FROM e""")
+def csharp_graph(spark, sf_dir):
+    """A file for each part, whose class is in one of five namespaces and names others: in view, out of view, qualified,
+    aliased, and in comments and texts."""
+    k = F.col("p_partkey")
+    n = lambda i: (k + i).cast("string")
+    space = lambda i: ((k + i) % 5).cast("string")
+    lit = F.lit
+    text = F.concat(
+        lit("using N"), space(1), lit(";\n"), F.when(k % 2 == 0, F.concat(lit("using Q = N"), space(4), lit(".C"), n(4), lit(";\n"))).otherwise(""), lit("namespace N"), space(0), lit("\n{\n  // C"), n(7),
+        lit("\n  public sealed class C"), n(0), lit("\n  {\n    System.Collections.Generic.List<C"), n(1), lit("> x; /* new C"), n(5), lit(" */ string s = \"C"), n(5), lit("\";\n    N2.C"), n(2), lit(" y; [C"), n(3),
+        lit("] int q; void F() { other.C"), n(5), lit(".G(); }\n"), F.when(k % 2 == 0, "    Q z;\n").otherwise(""), lit("  }\n}\n"),
+    )
+    files = table(spark, sf_dir, "part").select(lit("g").alias("graph_id"), F.concat(lit("src/P"), n(0), lit(".cs")).alias("path"), text.alias("text"))
+    return csharp.type_graph(files)
+
+
 _SOURCES = {
     "pkg/a.py": "import json\ndef f():\n    return 1\ndef g():\n    return f()\ndef h():\n    return json.y\n",
     "pkg/b.py": "x = 1\n",

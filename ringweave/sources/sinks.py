@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tarfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +45,9 @@ def _known(df: DataFrame, info: DataFrame | None, names: list[str]) -> DataFrame
     return own.withColumns({c: F.lit(None).cast("string") for c in names if c not in there})
 
 
-def _edge(src: str, dst: str, relation: str = "import") -> Column:
-    return F.struct(F.col(src).alias("source"), F.col(dst).alias("target"), F.lit(relation).alias("relation"))
+def _edge(edges: DataFrame) -> Column:
+    relation = F.col("relation") if "relation" in edges.columns else F.lit("import")
+    return F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), relation.alias("relation"))
 
 
 EDGES = "array<struct<source:string,target:string,relation:string>>"
@@ -51,12 +56,13 @@ EDGES = "array<struct<source:string,target:string,relation:string>>"
 def graph_documents(nodes: DataFrame, edges: DataFrame, info: DataFrame | None = None) -> DataFrame:
     """graph_id, doc: the dependency graph document of each graph, nodes and edges sorted and each there once.
 
-    nodes: graph_id, node and abs_path if known; ``info``: graph_id and, if known, language, repo_root, entry.
+    nodes: graph_id, node and abs_path if known; edges: graph_id, src, dst and relation (else ``import``);
+    ``info``: graph_id and, if known, language, repo_root, entry.
     """
     path = F.min("abs_path") if "abs_path" in nodes.columns else F.lit(None).cast("string")
     one = nodes.groupBy("graph_id", "node").agg(path.alias("abs_path"))
     n = one.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("id"), F.lit("file").alias("kind"), "abs_path"))).alias("nodes"))
-    e = edges.groupBy("graph_id").agg(F.array_sort(F.collect_set(_edge("src", "dst"))).alias("edges"))
+    e = edges.groupBy("graph_id").agg(F.array_sort(F.collect_set(_edge(edges))).alias("edges"))
     both = _known(n.join(e, "graph_id", "left"), info, ["language", "repo_root", "entry"])
     return both.select(
         "graph_id",
@@ -88,7 +94,7 @@ def report_documents(
     dependency_graph, language, repo_root, entry. ``params``: alpha, rounds and tolerance of the ranks. A graph
     without cyclic components has an empty report. Lines of code that are unknown count as none.
     """
-    e = inside.groupBy("graph_id", "comp").agg(F.array_sort(F.collect_set(_edge("src", "dst"))).alias("edges"))
+    e = inside.groupBy("graph_id", "comp").agg(F.array_sort(F.collect_set(_edge(inside))).alias("edges"))
     loc = {c: F.lit(0).cast(t) for c, t in (("total_loc", "long"), ("avg_loc_per_node", "double")) if c not in sccs.columns}
     full = sccs.withColumns(loc).join(e, ["graph_id", "comp"], "left")
     nodes = F.transform("nodes", lambda x: F.struct(x.alias("id"), F.lit("file").alias("kind"))).alias("nodes")
@@ -194,6 +200,29 @@ def run_outcomes(facts: DataFrame) -> DataFrame:
     return facts.select(*[F.col(c).alias(name) for c, name in RUN_OUTCOMES.items()])
 
 
+#: What stays beside the archive of a folder, and the archive. Fixed names.
+KEPT, ARCHIVE = "metrics.json", "raw_artifacts.tar.gz"
+
+
+def archive_raw(folder: str) -> list[str]:
+    """Pack all entries of a driver's folder but its metrics into an archive there, delete them, and return their names.
+
+    An older archive is replaced; a folder with nothing to pack gets none.
+    """
+    names = sorted(n for n in os.listdir(folder) if n not in (KEPT, ARCHIVE))
+    path = os.path.join(folder, ARCHIVE)
+    if os.path.exists(path):
+        os.remove(path)
+    if names:
+        with tarfile.open(path, "w:gz") as t:
+            for n in names:
+                t.add(os.path.join(folder, n), n)
+    for n in names:
+        own = os.path.join(folder, n)
+        shutil.rmtree(own) if os.path.isdir(own) and not os.path.islink(own) else os.remove(own)
+    return names
+
+
 def placeholder(spark, schema: str, rows: list[tuple]) -> DataFrame:
     """Typed rows that stand in where a model could not run."""
     return spark.createDataFrame(rows, schema)

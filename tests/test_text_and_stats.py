@@ -1,11 +1,12 @@
 import math
+import tarfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ringweave.functions import exprs as E
-from ringweave.operators import context, diff, pyast, stats
+from ringweave.operators import context, csharp, diff, pyast, stats
 from ringweave.operators import tables as T
 
 
@@ -255,3 +256,55 @@ def test_prompts(spark):
     assert context.require_variant(spark, "E1").first()["style"] == "advisory"
     with pytest.raises(ValueError):
         context.require_variant(spark, "E7")
+
+
+def test_csharp_scan():
+    text = """// class Not { }
+using System.Collections.Generic;
+using static A.Tools;
+using M = A.B.Model;
+namespace X.Y;
+#region class Neither
+[Serializable]
+public partial class User<T> : Base, IThing where T : Other
+{
+    public record struct Point(int A, Shape B);
+    delegate Result<int> Handler(Arg a);
+    private M model = new("class Text {}");
+    var q = A.C.Deep.Create(@"new ""Quoted"" ", 'c', $"{Hidden}");
+    object o = list.Member;
+}
+enum Kind { One }
+"""
+    declared, mentioned = csharp.scan(text)
+    assert declared == {("X.Y", "User"), ("X.Y", "Point"), ("X.Y", "Handler"), ("X.Y", "Kind")}
+    names = {n for _, n in mentioned}
+    assert {"Serializable", "Base", "IThing", "Other", "Shape", "Result", "Arg", "Model", "Deep"} <= names
+    assert not names & {"Not", "Neither", "Text", "Quoted", "Hidden", "class", "int"}
+    assert {("", "Base"), ("X", "Base"), ("X.Y", "Base"), ("A.Tools", "Base"), ("A.C", "Deep"), ("X.A.C", "Deep"), ("A.B", "Model")} <= mentioned
+    assert csharp.scan("") == (set(), set()) and csharp.scan("}}} class") == (set(), set())
+
+
+def test_csharp_graph(spark):
+    rows = [("g", "a.cs", "namespace N { class A { B b; } }"), ("g", "b.cs", "namespace N { partial class B { } }"), ("g", "b2.cs", "namespace N { partial class B { A a; } }"), ("g", "obj/c.cs", "namespace N { class C { A a; } }"), ("g", "d.cs", None), ("h", "a.cs", "namespace N { class Z { B b; } }")]
+    got = csharp.type_graph(spark.createDataFrame(rows, "graph_id string, path string, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("g", "a.cs", "b.cs"), ("g", "a.cs", "b2.cs"), ("g", "b2.cs", "a.cs")]
+
+
+def test_archive(tmp_path):
+    from ringweave.sources import sinks
+
+    assert sinks.archive_raw(str(tmp_path)) == [] and not list(tmp_path.iterdir())
+    (tmp_path / "metrics.json").write_text("{}")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.xml").write_text("<x/>")
+    (tmp_path / "raw_artifacts.tar.gz").write_text("old")
+    assert sinks.archive_raw(str(tmp_path)) == ["d"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["metrics.json", "raw_artifacts.tar.gz"]
+    with tarfile.open(tmp_path / "raw_artifacts.tar.gz") as t:
+        assert t.extractfile("d/x.xml").read() == b"<x/>"
+
+
+def test_jitter_is_bounded_and_steady():
+    a = stats.bounded_jitter(3.0, 50, 0.2, 5)
+    assert (a == stats.bounded_jitter(3.0, 50, 0.2, 5)).all() and a.min() >= 2.8 and a.max() <= 3.2 and len(set(a)) == 50
