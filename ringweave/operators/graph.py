@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..session import ship_package, stored
+from ..session import drop_stored, ship_package, stored
 
 GRAPH_EDGES = 2_000_000
 
@@ -109,6 +109,7 @@ def _rounds(edges: DataFrame) -> DataFrame:
             pushed = live.join(colour.withColumnRenamed("node", "src"), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node"), "c")
             after = stored(colour.unionByName(pushed).groupBy("graph_id", "node").agg(F.max("c").alias("c")), "scc-colour")
             changed = after.join(colour, ["graph_id", "node", "c"], "left_anti").limit(1).count()
+            drop_stored(colour)
             colour = after
             if not changed:
                 break
@@ -121,7 +122,9 @@ def _rounds(edges: DataFrame) -> DataFrame:
         while True:
             more = inside.join(reached.select("graph_id", F.col("node").alias("dst"), "c"), ["graph_id", "dst", "c"]).select("graph_id", F.col("src").alias("node"), "c")
             after = stored(reached.unionByName(more).distinct(), "scc-reach")
-            reached, was, size = after, size, after.count()
+            was, size = size, after.count()
+            drop_stored(reached)
+            reached = after
             if size == was:
                 break
         done = reached if done is None else done.unionByName(reached)
@@ -274,10 +277,12 @@ def _pagerank_rounds(both: DataFrame, damping: float, iterations: int, tol: floa
         fresh = (1 - damping) / F.col("n") + damping * F.coalesce("sunk", F.lit(0.0)) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))
         new = new.select("graph_id", "node", "n", "out", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved"))
         new = stored(new, "rank")  # a round reads the one before three times, so its plan must not hold that one's
+        drop_stored(state)
         if tol is not None and not new.groupBy("graph_id", "n").agg(F.sum("moved").alias("m")).where(F.col("m") >= F.col("n") * tol).limit(1).count():
             state = new
             break
         state = new.drop("moved")
+        state._stored_at = new._stored_at
     rank = F.when(F.lit(no_edges == "zero") & F.col("any").isNull(), 0.0).otherwise(F.col("rank"))
     some = e.select("graph_id").distinct().withColumn("any", F.lit(1))
     return state.join(some, "graph_id", "left").select("graph_id", "node", rank.alias("rank"))

@@ -42,8 +42,22 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{work_dir(spark)}/ringweave/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, in a folder of this application's own."""
+    return f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/ringweave/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder. Results that read it must be done with."""
+    _delete(spark, _own_dir(spark))
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -54,7 +68,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that a later one has replaced; nothing may read it any more."""
+    if path := getattr(df, "_stored_at", None):
+        _delete(df.sparkSession, path)
 
 
 #: Bytes of an Arrow batch. Texts are long, and a worker holds a batch in several forms at once.
@@ -70,7 +92,8 @@ def _bytes(text: str) -> int:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers can import it.
 
-    Also holds Arrow batches to ``BATCH``, where the session has larger ones.
+    Also holds Arrow batches to ``BATCH``, where the session has larger ones: that setting of the session is changed,
+    as plans read it when they run, which may be after the operator has returned.
     """
     if _bytes(spark.conf.get(BATCH[0])) > BATCH[1]:
         spark.conf.set(*map(str, BATCH))

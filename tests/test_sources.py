@@ -218,3 +218,16 @@ def test_shared_folder(spark):
     df = session.stored(spark.range(3), "test")
     assert df.count() == 3 and df.columns == ["id"]
     assert [session._bytes(x) for x in ("64m", "1g", "7", "67108864b")] == [64 << 20, 1 << 30, 7, 64 << 20]
+
+
+def test_what_is_stored_can_be_deleted(spark):
+    import os
+
+    from ringweave import session
+
+    df = session.stored(spark.range(3).toDF("x"), "some")
+    at = df._stored_at.removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(at)
+    session.drop_stored(df)
+    assert not os.path.exists(at)
+    session.drop_stored(spark.range(1))  # was never stored
