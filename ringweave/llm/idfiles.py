@@ -146,8 +146,9 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 0) -> tupl
         if names:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # the last key lets rows of one doc_id and text be dealt to several tasks
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
     made = ordered.mapInArrow(write, "part long, seq long, file string, n_docs long, n_ids long")
     return stored(made, "id-list"), folder
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, stored
+from ..session import drop_stored, ship_package, stored
 from .decontaminate import _mix, _runs, plain, shingle_hashes, word_hashes
 
 #: Differing bits up to which fingerprints link; the grid is made for this number.
@@ -266,8 +266,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u <> v").distinct(), "links")
+        before, now = now, stored(small.where("u <> v").distinct(), "links")
         was, mark = mark, _mark(now)
+        drop_stored(before)
         if was == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 

@@ -102,6 +102,17 @@ def test_id_files_many_small(spark, odd, monkeypatch):
     assert rows.doc_id.dropna().is_monotonic_increasing
 
 
+def test_id_files_split_equal_rows(spark):
+    rows = spark.range(0, 3000, 1, 4).selectExpr("CASE WHEN id % 3 = 0 THEN 7L ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same' ELSE 'x' END AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put these few rows together
+    files, folder = idfiles.write_ids(rows)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.groupBy("part").agg({"n_docs": "sum"}).toPandas()["sum(n_docs)"].max() < 1000  # of equal rows
+    got = idfiles.read_ids(files, folder).toPandas().sort_values("start")
+    assert len(got) == 3000 and got.doc_id.is_monotonic_increasing and (got.doc_id == 7).sum() == 1001
+    assert (got.start.to_numpy()[1:] == (got.start + got.n_tokens).to_numpy()[:-1]).all()
+
+
 def test_id_files_random_access_and_damage(tmp_path):
     import pyarrow as pa
 
