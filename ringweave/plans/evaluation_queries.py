@@ -23,6 +23,13 @@ def _sccs(edges):
     return G.scc_metrics(edges, G.strong_components(edges)).withColumn("self_loop", F.lit(False))
 
 
+@register(Q, SQL, REACH_SQL + _METRICS + "SELECT graph_id, scc_id, sum(length(node) * 7)::BIGINT AS total_loc, round_even(sum(length(node) * 7) / min(size)::DOUBLE, 2) AS avg_loc_per_node FROM members JOIN metrics USING (graph_id, comp) GROUP BY ALL")
+def scc_loc(spark, sf_dir):
+    edges = trade_edges(spark, sf_dir)
+    loc = G.graph_nodes(edges).withColumn("loc", F.length("node") * 7)
+    return G.scc_metrics(edges, G.strong_components(edges), loc).select("graph_id", "scc_id", "total_loc", "avg_loc_per_node")
+
+
 @register(Q, SQL, REACH_SQL + _METRICS + "SELECT graph_id, sum(redundancy)::BIGINT AS redundancy FROM metrics GROUP BY ALL")
 def report_redundancy(spark, sf_dir):
     return evaluate.report_redundancy(_sccs(trade_edges(spark, sf_dir)))

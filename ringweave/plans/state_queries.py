@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import context, csharp, diff, planning, pyast, status, tables
 from ..session import fresh_path
-from ..sources import config, sinks
+from ..sources import config, graphs, sinks
 from ..sources import text as S
 from .facts import register, sql_pct, table
 
@@ -137,6 +137,26 @@ def selection_files(spark, sf_dir):
     return S.read_cycles(spark, path).select("repo", "base_branch", "cycle_id")
 
 
+@register(Q, SQL, "SELECT 'scc_0_cycle_' || n_nationkey AS cycle_id FROM nation WHERE n_nationkey % 3 = 0")
+def selected_cycles(spark, sf_dir):
+    """The cycles of one repository and branch, of a list that repeats lines and has others and longer ones."""
+    n = table(spark, sf_dir, "nation")
+    repo = F.when(F.col("n_nationkey") % 3 == 0, "r main ").otherwise(F.when(F.col("n_nationkey") % 3 == 1, "q main ").otherwise("r dev "))
+    line = F.concat(repo, F.lit("scc_0_cycle_"), F.col("n_nationkey").cast("string"))
+    path = fresh_path(spark, "selection")
+    n.select(F.explode(F.array(line, line, F.concat(line, F.lit("1 more")))).alias("value")).write.text(path)
+    return S.selected_cycles(spark, path, "r", "main")
+
+
+@register(Q, SQL, """SELECT p_brand AS graph_id, 'm' || p_partkey AS module, CASE WHEN p_partkey % 4 > 0 THEN 'm/' || p_partkey || '.py' END AS path, CASE WHEN p_partkey % 3 = 0 THEN 'os,m1' ELSE '' END AS imports FROM part""")
+def module_listings(spark, sf_dir):
+    k = F.col("p_partkey")
+    entry = F.struct(F.when(k % 4 > 0, F.concat(F.lit("m/"), k.cast("string"), F.lit(".py"))).alias("path"), F.when(k % 3 == 0, F.array(F.lit("os"), F.lit("m1"))).alias("imports"))
+    pairs = F.collect_list(F.struct(F.concat(F.lit("m"), k.cast("string")), entry))
+    raw = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("graph_id")).agg(F.to_json(F.map_from_entries(pairs)).alias("text"))
+    return graphs.modules_of(raw).withColumn("imports", F.array_join("imports", ","))
+
+
 @register(Q, SQL, "SELECT r_name AS repo, 'main' AS base_branch, 'src' AS entry, CASE WHEN r_regionkey % 2 = 0 THEN 'python' ELSE 'unknown' END AS language FROM region")
 def repository_lists(spark, sf_dir):
     r = table(spark, sf_dir, "region")

@@ -184,6 +184,19 @@ def dataset_characterisation(spark, sf_dir):
     return tables.characterise(_cycles(spark, sf_dir), "split", _PROPS)
 
 
+@register(Q, SQL, f"{FACTS_SQL}, {_CYCLES}, long AS ({' UNION ALL '.join(f"""SELECT '{p}' AS property, split, {p}::DOUBLE AS v FROM cycles""" for p in _PROPS)}), " + """
+q AS (SELECT property, split, round(quantile_cont(v, 0.25), 2) AS q1, round(quantile_cont(v, 0.5), 2) AS med, round(quantile_cont(v, 0.75), 2) AS q3, round(min(v), 2) AS lo, round(max(v), 2) AS hi FROM long GROUP BY ALL)
+SELECT property, split, format('{:,.2f}', med) AS median_text, format('{:,.2f}', q1) || '--' || format('{:,.2f}', q3) AS iqr_text, format('{:,.2f}', lo) || '--' || format('{:,.2f}', hi) AS range_text FROM q""")
+def characterised_texts(spark, sf_dir):
+    return tables.with_texts(tables.characterise(_cycles(spark, sf_dir), "split", _PROPS)).select("property", "split", "median_text", "iqr_text", "range_text")
+
+
+@register(Q, SQL)
+def single_factors(spark, sf_dir):
+    rows = stats.single_factor_models(facts(spark, sf_dir).where(F.col("mode_id").isin(BASELINE, SELECTED)), SELECTED, {"Cycle size": ("cycle_size", False), "Cycle centrality": ("cycle_centrality", True)})
+    return spark.createDataFrame([tuple(None if x != x else x for x in r) for r in rows.itertuples(index=False)], "factor string, coefficient double, odds_ratio double, ci string")
+
+
 @register(Q, SQL, f"""{FACTS_SQL}, {_CYCLES}, n AS (SELECT split, cycle_size, count(*) AS n FROM cycles GROUP BY ALL)
 SELECT split, cycle_size::INTEGER AS cycle_size, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['python', 'csharp']) AS split) CROSS JOIN (SELECT unnest(range(2, 9)) AS cycle_size)
 LEFT JOIN n USING (split, cycle_size)""")
