@@ -20,8 +20,8 @@ from .tokens import bounded, default_path, encoder
 
 #: A plan of more rows is joined by size instead of being broadcast (six longs a row).
 PLAN_ROWS = 300_000
-#: Pieces of one size are ranked in buckets of about so many, so that a task holds some tens of MB of ids at most.
-BUCKET_ROWS = 4096
+#: Pieces of one size are ranked in buckets of about so many, whatever they hold: no size, text or doc_id is one task's.
+BUCKET_ROWS = 512
 
 
 @dataclass
@@ -165,33 +165,36 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0) -> DataFrame:
-    """Whole texts as ids in pieces of at most ``capacity``: doc_id, piece, start, length, ids (binary, u32).
+    """Whole texts as ids in pieces of at most ``capacity``: doc_id, piece, start, length, ids (binary, u32), row.
 
     Only longer documents are cut; their first piece is the shorter one. A null text counts as empty and so
-    gives one piece, the end id alone.
+    gives one piece, the end id alone. ``row`` is another number for each piece.
     """
     ship_package(docs.sparkSession)
     tokenizer = path or default_path()
 
     def encode(batches):
-        enc = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for some in bounded(texts):
-                out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
+                out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": [], "row": []}
                 for key, got in zip(keys[some], enc.encode(texts[some])):
                     ids = np.append(np.frombuffer(got, dtype=enc.dtype), end_id).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        for c, v in zip(out, (key, k, a, b - a, ids[a:b].tobytes())):
+                        for c, v in zip(out, (key, k, a, b - a, ids[a:b].tobytes(), row)):
                             out[c].append(v)
+                        row += 1
                 yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary, row long")
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("row", pa.int64())])
 
 
 def pack_documents(
@@ -216,14 +219,14 @@ def pack_documents(
     sizes = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, _buckets long")
     carry = {"ids": F.col("ids")} if carry is None else carry
     own = pieces.select(
-        "doc_id", "piece", "start", "length", *[c.alias(name) for name, c in carry.items()], F.crc32("ids").alias("_tie")
+        "doc_id", "piece", "start", "length", *[c.alias(name) for name, c in carry.items()], F.col("row").alias("_tie")
     )
-    own = own.join(F.broadcast(sizes), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "_tie"), F.col("_buckets")))
+    own = own.join(F.broadcast(sizes), "length").withColumn("_bucket", F.pmod(F.xxhash64("_tie"), F.col("_buckets")))
     # a size that many pieces share is ranked in buckets: rank there, after those of the buckets before
     held = own.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "_tie")
+    inside = Window.partitionBy("length", "_bucket").orderBy("_tie")
     ranked = (
         own.withColumn("_row", F.row_number().over(inside).cast("long") - 1)
         .join(base, ["length", "_bucket"])
