@@ -156,8 +156,11 @@ def fingerprint_documents(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, f long")
 
 
-#: Rows of a cell that a worker holds before those who only ask are compared and let go.
+#: Residents of a cell that one task looks at, and rows of a cell that a worker holds before those who only ask are
+#: compared and let go. A cell with more residents is dealt to several tasks.
 HELD = 1 << 16
+#: Cells that are dealt out are named to all tasks up to so many; more are joined by key.
+SENT_CELLS = 100_000
 
 
 def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -242,14 +245,41 @@ def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     given = reps.select(
         "f", F.col("v" if "v" in reps.columns else "f").alias("v"), "rep", F.col("tag") if "tag" in reps.columns else F.lit(0).cast("long").alias("tag")
     )
-    met_rows = (
-        given.mapInArrow(to_cells, "cell long, v long, rep long")
-        .repartition(F.shiftright("cell", 1))
-        .sortWithinPartitions("cell")
-    )
+    rows = _dealt(given.mapInArrow(to_cells, "cell long, v long, rep long"), _crowded(given))
+    met_rows = rows.repartition(F.shiftright("cell", 1)).sortWithinPartitions("cell")
     return met_rows.mapInArrow(met, "a long, b long").where("a <> b").distinct()
 
 
+def _crowded(given: DataFrame) -> DataFrame:
+    """(at, parts) of each cell with more than ``HELD`` residents, counted by built-in functions."""
+    mask, half = F.lit(0x5555555555555555), F.lit(0xFFFFFFFF)
+    low, high = F.col("f").bitwiseAND(mask), F.shiftrightunsigned("f", 1).bitwiseAND(mask)
+    e = F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))  # as ``embed``
+    name = lambda h: F.shiftleft(F.col("tag") * 2 + h, 32)
+    at = F.explode(F.array(e.bitwiseAND(half).bitwiseOR(name(0)), F.shiftrightunsigned(e, 32).bitwiseOR(name(1))))
+    n = given.select(at.alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    return stored(n.where(F.col("n") > HELD).select("at", F.ceil(F.col("n") / HELD).cast("long").alias("parts")), "crowded-cells")
+
+
+def _dealt(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The rows of crowded cells dealt to parts of them: a row lives in one part and asks in the others, so all who
+    meet in the cell still do."""
+    n = crowded.count()
+    if not n:
+        return rows
+    if n <= SENT_CELLS:
+        crowded = F.broadcast(crowded)
+    met = rows.join(crowded, F.shiftright(rows["cell"], 1) == crowded["at"], "left")
+    asks, home = F.col("cell").bitwiseAND(F.lit(1)), F.pmod(F.xxhash64("rep"), F.col("parts"))
+    own = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
+        # a cell has 35 bits, its part stands above them, and the lowest bit says who asks
+        lambda k: F.shiftleft(k, 40).bitwiseOR(F.col("cell")).bitwiseOR(F.when((asks == 1) | (k != home), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))),
+    )
+    every = F.when(F.col("parts").isNull(), F.array("cell")).otherwise(own)
+    return met.select(F.explode(every).alias("cell"), "v", "rep")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of the links but the smallest of each component, which it names.
 

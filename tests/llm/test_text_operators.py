@@ -344,8 +344,13 @@ def test_grid_streams_those_who_ask(spark, monkeypatch):
     f = np.unique(np.concatenate([rng.integers(0, 2**64, 1, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) for _ in range(2)]))
     reps = spark.createDataFrame([(int(x.view(np.int64)), i) for i, x in enumerate(f)], "f long, rep long")
     want = brute_classes(f)
-    for held in (1 << 16, 5):
+    for held, sent in ((1 << 16, 9), (5, 10**6), (5, 0)):  # as it is, and with crowded cells dealt to several tasks
         monkeypatch.setattr(simhash, "HELD", held)
+        monkeypatch.setattr(simhash, "SENT_CELLS", sent)
+        at = simhash._crowded(reps.withColumn("tag", F.lit(0).cast("long"))).collect()
+        row, cell, asks = simhash.cells(f)
+        n = pd.Series(cell[~asks]).value_counts()
+        assert {r["at"]: r["parts"] for r in at} == {c: -(-k // held) for c, k in n.items() if k > held}
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50 if held == 5 else 10000)
         found = {r["node"]: r["component"] for r in simhash.components(simhash.near_links(reps)).collect()}
         assert [found.get(i, i) for i in range(len(f))] == want
