@@ -54,13 +54,13 @@ SELECT cycle_id, CASE WHEN cycle_size BETWEEN 2 AND 3 THEN '2--3' WHEN cycle_siz
 CASE WHEN cycle_centrality <= 1 THEN '<=1x average' WHEN cycle_centrality <= 2 THEN '1--2x average' ELSE '>2x average' END AS centrality,
 CASE WHEN baseline_scc_size <= 10 THEN '1--10' WHEN baseline_scc_size <= 50 THEN '11--50' ELSE '>50' END AS scc,
 CASE WHEN g <= 100 THEN '<=100' WHEN g <= 300 THEN '101--300' ELSE '>300' END AS repo, CASE WHEN x <= 50 THEN '<=50' WHEN x <= 100 THEN '51--100' ELSE '>100' END AS external FROM b)
-SELECT *, list_position(['2--3', '4--6', '7--8'], size_bin)::BIGINT AS size_place, (list_position(['<=50', '51--100', '>100'], external) - 1)::INTEGER AS external_rank, 999 AS unknown_rank FROM n""")
+SELECT *, coalesce(list_position(['2--3', '4--6', '7--8'], size_bin), 0)::BIGINT AS size_place, (list_position(['<=50', '51--100', '>100'], external) - 1)::INTEGER AS external_rank, 999 AS unknown_rank FROM n""")
 def bin_labels(spark, sf_dir):
     f = facts(spark, sf_dir).select("cycle_id", "cycle_size", "cycle_centrality", "baseline_scc_size", "repo_dependency_graph_size", "cycle_external_edges").distinct()
     b = f.select(
         "cycle_id", E.size_bin("cycle_size").alias("size_bin"), E.centrality_bin("cycle_centrality").alias("centrality"), E.scc_bin("baseline_scc_size").alias("scc"), E.repo_bin("repo_dependency_graph_size").alias("repo"), E.external_bin("cycle_external_edges").alias("external")
     )
-    return b.withColumns({"size_place": tables.size_rank("size_bin").cast("long"), "external_rank": E.bin_rank("external"), "unknown_rank": E.bin_rank(F.lit("none"))})
+    return b.withColumns({"size_place": F.coalesce(tables.size_rank("size_bin"), F.lit(0)).cast("long"), "external_rank": E.bin_rank("external"), "unknown_rank": E.bin_rank(F.lit("none"))})
 
 
 @register(Q, SQL, """WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_nationkey || '.5%' WHEN 1 THEN ' ' || c_nationkey || ' %' WHEN 2 THEN 'none' ELSE c_nationkey::VARCHAR END AS t FROM customer)

@@ -166,7 +166,7 @@ def repository_lists(spark, sf_dir):
     return S.read_repos(spark, path, strict=False).select(F.replace("repo", F.lit("_"), F.lit(" ")).alias("repo"), "base_branch", "entry", "language")
 
 
-@register(Q, SQL, "SELECT n_regionkey, CASE WHEN n_regionkey % 3 <> 0 THEN n END AS n FROM (SELECT n_regionkey, count(*)::BIGINT AS n FROM nation GROUP BY ALL)")
+@register(Q, SQL, "SELECT n_regionkey, CASE WHEN n_regionkey % 3 <> 0 THEN n ELSE -1 END::BIGINT AS n FROM (SELECT n_regionkey, count(*)::BIGINT AS n FROM nation GROUP BY ALL)")
 def json_documents(spark, sf_dir):
     """A document in a file of its own for each region; those that are broken or no objects are read as null."""
     n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
@@ -174,7 +174,7 @@ def json_documents(spark, sf_dir):
     path = fresh_path(spark, "documents")
     n.select("n_regionkey", doc.alias("value")).write.partitionBy("n_regionkey").text(path)
     read = S.read_json_documents(spark, path, "n long", "*.txt")
-    return read.select(F.regexp_extract("path", "n_regionkey=(\\d+)", 1).cast(n.schema["n_regionkey"].dataType).alias("n_regionkey"), "doc.n")
+    return read.select(F.regexp_extract("path", "n_regionkey=(\\d+)", 1).cast(n.schema["n_regionkey"].dataType).alias("n_regionkey"), F.coalesce("doc.n", F.lit(-1).cast("long")).alias("n"))
 
 
 @register(Q, SQL, "SELECT c_mktsegment AS segment, sum(c_nationkey)::BIGINT AS prompt_tokens FROM customer GROUP BY ALL")
