@@ -116,7 +116,7 @@ def test_module_graph(spark):
 def test_stale_kinds(spark, sf):
     from ringweave.plans.registry import QUERIES
 
-    got = {(r["kind"], r["path"], r["symbol"]) for r in QUERIES["stale_references"](spark, sf).where("run_id = 'run-en'").collect()}
+    got = {(r["kind"], r["path"], r["symbol"]) for r in QUERIES["stale_references"](spark, sf).where("run_id = 'run-4'").collect()}
     assert got == {("stale_old_import", "pkg/c.py", "f"), ("stale_local_reference", "pkg/a.py", "f"), ("removed_import_used", "pkg/a.py", "json")}
 
 
