@@ -25,6 +25,8 @@ BITS, DIM, GRAMS = 18, 16, (3, 4, 5)
 PER_CLASS = 2000
 EPOCHS, RATE, SEED = 5, 0.25, 7
 KEEP_AT = 0.3
+#: Features of training texts in one array (of 36 MB, which an allocator gives back).
+CHUNK = 9_000_000
 #: Code points whose features are held at once.
 RUN = 1 << 18
 _B = 0x9E3779B97F4A7C15
@@ -117,11 +119,19 @@ class Model:
         n = [sum(y == k for _, y in rows) for k in (0, 1)]
         if not all(n):  # one class or none: there is nothing to tell apart
             return cls(np.zeros(1 << BITS, np.float32), float(prior))
-        bags = []
+        # features lie in a few large arrays: small ones' memory would stay with the driver after training
+        bags, at = [], CHUNK
         for text, y in rows:
             b, count = np.unique(np.concatenate(list(_buckets(text))), return_counts=True)
-            if len(b):
-                bags.append((b, (count / count.sum()).astype(np.float32), y))
+            if not len(b):
+                continue
+            if at + len(b) > CHUNK:
+                size = max(CHUNK, len(b))
+                buckets, shares, at = np.empty(size, np.int32), np.empty(size, np.float32), 0
+            own = slice(at, at + len(b))
+            buckets[own], shares[own] = b, count / count.sum()
+            bags.append((buckets[own], shares[own], y))
+            at += len(b)
         rng = np.random.default_rng(SEED)
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
         out = np.zeros((DIM, 2), np.float32)
