@@ -28,9 +28,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their failing lines removed (and n_chars counted anew).
 
-    Null and empty texts are rejected; nulls in other columns stay; an empty table stays empty.
+    The verdict is that on the lines alone: short clean documents stay, and the classifier judges them next. Null and empty texts are rejected; nulls in other columns stay; an empty table stays empty.
     """
-    judged = judge_documents(docs).where("kept")
+    judged = judge_documents(docs, min_words=1, most_repeated=100).where("kept")
 
     def value(name: str) -> Column:
         if name == "text":
@@ -56,8 +56,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id.
 
-    Texts are near duplicates at a Jaccard similarity of 0.8 or more of their five-word shingles; SimHashes find the
-    candidates, which are verified exactly.
+    Texts are near duplicates at a Jaccard similarity of 0.8 or more of their five-word shingles; SimHashes find
+    candidate groups, in which links are verified exactly.
 
     Of repeated rows of that doc_id the first by the other columns stays. Rows with a null doc_id all stay, as there
     is no id to choose them by. An empty table stays empty.
