@@ -46,7 +46,7 @@ def _paths(line: Column) -> Column:
     return F.when(line.startswith("diff --git "), git).otherwise(F.array(F.regexp_replace(F.substr(line, F.lit(5)), "^\\s+|\\s+$", "")))
 
 
-def diff_footprint(patches: DataFrame, key: str = "run_id", text: str = "patch") -> DataFrame:
+def diff_footprint(patches: DataFrame, key: Column | str = "run_id", text: str = "patch") -> DataFrame:
     """Distinct files and changed characters of each patch; nulls where there is none.
 
     A removed line that begins with ``-- `` looks like a path line and counts as one; a rename counts both paths.
@@ -58,7 +58,8 @@ def diff_footprint(patches: DataFrame, key: str = "run_id", text: str = "patch")
     files = F.array_distinct(F.filter(F.transform(files, lambda f: F.regexp_replace(f, "^[ab]/", "")), lambda f: f != ""))
     changed = F.filter("lines", lambda x: x["kind"].isin("add", "del"))
     chars = F.aggregate(changed, F.lit(0).cast("long"), lambda n, x: n + F.length(x["line"]) - 1)
-    return lines.select(key, F.when(F.col("lines").isNotNull(), F.size(files)).cast("long").alias("files_modified"), chars.alias("chars_changed"))
+    name = lines.columns[0]
+    return lines.select(name, F.when(F.col("lines").isNotNull(), F.size(files)).cast("long").alias("files_modified"), chars.alias("chars_changed"))
 
 
 def patch_lines(patches: DataFrame, key: str = "run_id", text: str = "patch") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..session import stored
 from . import graph as G
 
 COUNTS = ("tests", "failures", "errors", "skipped")
@@ -85,7 +86,7 @@ def structural_metrics(runs: DataFrame, base_sccs: DataFrame, base_catalog: Data
         target.where("normal").join(base_catalog.select("graph_id", "cycle_id", "edges"), ["graph_id", "cycle_id"])
         .select("run_id", "post_graph", F.explode("edges").alias("e")).select("run_id", "post_graph", F.col("e.source").alias("src"), F.col("e.target").alias("dst"))
     )
-    members = G.strong_components(post_edges, self_loops=True)
+    members = stored(G.strong_components(post_edges, self_loops=True), "members-after")
     near = overlapping_components(nodes, members)
     local = (
         near.join(component_redundancy(post_edges, members).withColumnRenamed("graph_id", "post_graph"), ["post_graph", "comp"])
