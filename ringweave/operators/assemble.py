@@ -196,7 +196,7 @@ def assemble_runs(planned: DataFrame, files: DataFrame, strict: bool = False) ->
     counts as there, and says nothing: no test counts, no components, no edges. ``strict`` makes such metrics, graphs,
     reports and catalogs errors. Lengths and sizes are null where their file doesn't give them.
     """
-    plan = planned.withColumn("run_id", F.concat_ws("\x1f", "mode_id", "experiment_id", "repo", "cycle_id"))
+    plan = stored(planned.withColumn("run_id", F.concat_ws("\x1f", "mode_id", "experiment_id", "repo", "cycle_id")), "plan")
     paths = plan.select(F.explode(F.array(*[c for r, c in ROLES.items() if r != "folder"])).alias("path")).distinct()
     held = stored(files.join(paths, "path", "left_semi"), "artifacts")
     if strict and (bad := unreadable(held).where(F.col("kind") != STATUS).orderBy("path").first()):
@@ -208,12 +208,12 @@ def assemble_runs(planned: DataFrame, files: DataFrame, strict: bool = False) ->
     outcome = F.coalesce("status.outcome", F.lit(""))
     normal = there("base_report") & there("catalog") & there("post_report") & there("post_graph")
     readable = F.when(normal, F.col("post_graph.readable")).otherwise(F.coalesce("base_graph.readable", F.lit(True)))
-    shape = runs.select(
+    shape = stored(runs.select(
         "run_id", F.col("baseline_results_dir").alias("graph_id"), F.col("branch_results_dir").alias("post_graph"),
         # a graph that says nothing leaves all that is derived from it at its defaults, as an odd id does
         F.when(readable, F.col("cycle_id")).otherwise("").alias("cycle_id"), (outcome == "no_changes").alias("no_change"),
         there("base_graph").alias("has_graph"), there("base_report").alias("has_report"), there("catalog").alias("has_catalog"), there("post_report").alias("has_post_report"), there("post_graph").alias("has_post_graph"),
-    )
+    ), "run-shapes")
     components, records = stored(report_components(held), "components"), stored(catalog_records(held, plan), "records")
     after = plan.select(F.col("branch_results_dir").alias("graph_id")).distinct()
     structure = evaluate.structural_metrics(shape, components, records.where("edges is not null"), graph_edges(held).join(after, "graph_id", "left_semi"), components)

@@ -1,17 +1,14 @@
-"""Unified diffs: footprints, hunks, strict application, and stale references after them."""
+"""Unified diffs: footprints, hunks, strict application."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..session import ship_package
-from . import pyast
 
 #: Lines of a diff that are neither content nor paths.
 META = ("@@", "index ", "new file mode ", "deleted file mode ", "similarity index ", "rename from ", "rename to ")
@@ -136,7 +133,10 @@ def parse_patch(text: str) -> list[FilePatch]:
 
 
 def apply_patch(text: str | None, patch: FilePatch) -> str | None:
-    """The text after the patch, or None unless every context and removed line is where the patch says."""
+    """The text after the patch, or None unless every context and removed line is where the patch says.
+
+    It ends with a line feed if the text before did; a new file's doesn't.
+    """
     if patch.new is None:
         return None
     old = (text or "").splitlines()
@@ -160,71 +160,4 @@ def apply_patch(text: str | None, patch: FilePatch) -> str | None:
                 out.append(line[1:])
             at += 1
     out += old[at:]
-    return "\n".join(out) + ("\n" if out else "")
-
-
-FINDING = "run_id string, kind string, path string, line int, symbol string, old_module string"
-
-
-def stale_references(runs: DataFrame, files: DataFrame) -> DataFrame:
-    """References that a run's patch has left behind, by kind.
-
-    runs: run_id, repo, patch, import_root. files: repo, path, text (Python files before). A finding is
-    ``stale_old_import`` (a file still imports a symbol from the module it was moved from), ``stale_local_reference``
-    (a module still loads a symbol that was moved out of it) or ``removed_import_used`` (a file still loads a name
-    whose import the patch removed). Patches are parsed and files after them analysed once each; what remains are
-    equi joins of the tables they give.
-    """
-    spark = runs.sparkSession
-    ship_package(spark)
-    touched = runs.where("patch is not null")
-
-    def patched(batches):
-        for pdf in batches:
-            rows = []
-            for run, repo, patch, root in zip(pdf["run_id"], pdf["repo"], pdf["patch"], pdf["import_root"]):
-                for k, p in enumerate(parse_patch(patch)):
-                    for path, sign in ((p.old, "-"), (p.new, "+")):
-                        if path is None or not path.endswith(".py"):
-                            continue
-                        lines = p.side(sign)
-                        module = pyast.module_of(path, root)
-                        rows += [(run, repo, path, k, "def" + sign, s, module) for s in pyast.top_level_symbols(lines)]
-                        if sign == "-":
-                            rows += [(run, repo, path, k, "import-", name, mod) for mod, name in pyast.import_names(lines)]
-            yield pd.DataFrame(rows, columns=["run_id", "repo", "path", "file_ord", "what", "symbol", "module"])
-
-    changes = touched.select("run_id", "repo", "patch", "import_root").mapInPandas(patched, "run_id string, repo string, path string, file_ord int, what string, symbol string, module string")
-    removed, added = changes.where("what = 'def-'"), changes.where("what = 'def+'")
-    # a symbol is gone from its module if the patch takes its definition away and doesn't give it back there
-    gone = removed.join(added.select("run_id", "module", "symbol"), ["run_id", "module", "symbol"], "left_anti").select("run_id", "path", "module", "symbol").distinct()
-    moved = gone.join(added.select("run_id", "symbol", F.col("module").alias("new_module")), ["run_id", "symbol"]).where("module <> new_module").select("run_id", "path", "module", "symbol").distinct()
-
-    # a run's own patch and its repository's files meet: one row for each file that is scanned in a run
-    after = touched.select("run_id", "repo", "import_root", "patch").join(files.select("repo", "path", "text"), "repo")
-
-    def analysed(batches):
-        for pdf in batches:
-            rows = []
-            for run, root, patch, path, text in zip(pdf["run_id"], pdf["import_root"], pdf["patch"], pdf["path"], pdf["text"]):
-                own = [p for p in parse_patch(patch) if path in (p.old, p.new)]
-                if own:
-                    text = apply_patch(text if own[0].old is not None else None, own[0])
-                    if text is None:
-                        continue  # gone, or it can't be told what it is now
-                facts = pyast.analyse(text, pyast.module_of(path, root), path.endswith("__init__.py"))
-                if facts is None:
-                    continue
-                rows += [(run, path, "import", s, m, n) for m, s, n in facts.imports]
-                rows += [(run, path, "load", s, facts.module, n) for s, n in facts.loads]
-                rows += [(run, path, "bound", s, facts.module, 0) for s in facts.bound]
-            yield pd.DataFrame(rows, columns=["run_id", "path", "what", "symbol", "module", "line"])
-
-    facts = after.mapInPandas(analysed, "run_id string, path string, what string, symbol string, module string, line int")
-    imports, loads, bound = (facts.where(F.col("what") == w) for w in ("import", "load", "bound"))
-    stale = imports.join(gone.select("run_id", "module", "symbol"), ["run_id", "module", "symbol"]).select("run_id", F.lit("stale_old_import").alias("kind"), "path", "line", "symbol", F.col("module").alias("old_module"))
-    unbound = loads.join(bound.select("run_id", "path", "symbol"), ["run_id", "path", "symbol"], "left_anti")
-    local = unbound.join(moved.select("run_id", "module", "symbol"), ["run_id", "module", "symbol"]).select("run_id", F.lit("stale_local_reference").alias("kind"), "path", "line", "symbol", F.col("module").alias("old_module"))
-    dropped = changes.where("what = 'import-'").select("run_id", "path", "symbol", F.col("module").alias("old_module")).dropDuplicates(["run_id", "path", "symbol"])
-    used = unbound.select("run_id", "path", "symbol", "line").join(dropped, ["run_id", "path", "symbol"]).select("run_id", F.lit("removed_import_used").alias("kind"), "path", "line", "symbol", "old_module")
-    return stale.unionByName(local).unionByName(used).distinct()
+    return "\n".join(out) + ("\n" if (text or "").endswith("\n") else "")

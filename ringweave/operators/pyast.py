@@ -93,7 +93,7 @@ def module_graph(modules: DataFrame, imports: DataFrame) -> DataFrame:
     return backed.unionByName(unknown).select("graph_id", "src", "dst").distinct()
 
 
-_DEF = re.compile(r"^(?:async\s+def|def|class)\s+([A-Za-z_]\w*)")
+_DEF = re.compile(r"^(?:async\s+def|def|class)\s+([A-Za-z_]\w*)\s*[(:]")
 
 
 def top_level_symbols(lines: list[str]) -> list[str]:
@@ -128,10 +128,9 @@ def exported_names(text: str) -> list[str]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             out.append(node.name)
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
-            out += [a.asname or a.name.split(".")[0] for a in node.names]
-        elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
-            for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                out += [n.id for n in ast.walk(t) if isinstance(n, ast.Name)]
+            out += [a.asname or (a.name.split(".")[0] if isinstance(node, ast.Import) else a.name) for a in node.names if a.name != "*"]
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            out += [n for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) for n in assigned_names(t)]
     return list(dict.fromkeys(out))
 
 
@@ -148,71 +147,104 @@ def export_table(files: DataFrame, key: str, text: str) -> DataFrame:
     return own.mapInPandas(run, own.select(key, F.lit("").alias("name")).schema)
 
 
+def assigned_names(target: ast.AST | None) -> list[str]:
+    """Names that an assignment's target binds: a name, or those in tuples and lists."""
+    if isinstance(target, ast.Name):
+        return [target.id]
+    return [n for x in target.elts for n in assigned_names(x)] if isinstance(target, (ast.Tuple, ast.List)) else []
+
+
 @dataclass
 class Facts:
-    module: str
-    imports: list[tuple[str, str, int]] = field(default_factory=list)  # module, name, line
+    imports: list[tuple[str | None, int, str, int]] = field(default_factory=list)  # module as written, level, name, line
     loads: list[tuple[str, int]] = field(default_factory=list)  # name, line
     bound: set[str] = field(default_factory=set)
 
 
-class _Walk(ast.NodeVisitor):
-    """Imports, names bound anywhere, and names loaded at run time (annotations left out)."""
+class _Loads(ast.NodeVisitor):
+    """Names loaded at run time: annotations and import statements are left out."""
 
-    def __init__(self, facts: Facts, is_package: bool):
-        self.f, self.package = facts, is_package
+    def __init__(self, out: list[tuple[str, int]]):
+        self.out = out
 
-    def visit_Import(self, node):
-        self.f.bound.update(a.asname or a.name.split(".")[0] for a in node.names)
+    def visit_Name(self, node):
+        if isinstance(node.ctx, ast.Load):
+            self.out.append((node.id, node.lineno))
 
-    def visit_ImportFrom(self, node):
-        base = resolve(self.f.module, self.package, node.level or 0, node.module)
-        for a in node.names:
-            self.f.bound.add(a.asname or a.name)
-            if base:
-                self.f.imports.append((base, a.name, node.lineno))
+    def visit_arg(self, node):
+        pass
 
-    def _function(self, node):
-        self.f.bound.add(node.name)
-        a = node.args
-        self.f.bound.update(x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))])
-        for x in [*node.decorator_list, *a.defaults, *filter(None, a.kw_defaults), *node.body]:
-            self.visit(x)
+    def visit_AnnAssign(self, node):
+        if node.value:
+            self.visit(node.value)
+
+    def _each(self, *nodes):
+        for x in nodes:
+            if x is not None:
+                self.visit(x)
+
+    def visit_FunctionDef(self, node):
+        self._each(*node.decorator_list, *node.args.defaults, *node.args.kw_defaults, *node.body)
 
-    visit_FunctionDef = visit_AsyncFunctionDef = _function
+    visit_AsyncFunctionDef = visit_FunctionDef
 
     def visit_Lambda(self, node):
-        self.f.bound.update(x.arg for x in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs])
-        self.generic_visit(node)
+        self._each(*node.args.defaults, *node.args.kw_defaults, node.body)
 
     def visit_ClassDef(self, node):
-        self.f.bound.add(node.name)
-        for x in [*node.decorator_list, *node.bases, *node.keywords, *node.body]:
-            self.visit(x)
+        self._each(*node.decorator_list, *node.bases, *node.keywords, *node.body)
 
-    def visit_AnnAssign(self, node):
-        self.visit(node.target)
-        if node.value:
-            self.visit(node.value)
 
-    def visit_ExceptHandler(self, node):
-        if node.name:
-            self.f.bound.add(node.name)
-        self.generic_visit(node)
+#: Nodes that bind the names of their targets.
+_TARGETS = {
+    ast.Assign: lambda n: n.targets, ast.AnnAssign: lambda n: [n.target], ast.AugAssign: lambda n: [n.target], ast.For: lambda n: [n.target], ast.AsyncFor: lambda n: [n.target],
+    ast.With: lambda n: [i.optional_vars for i in n.items], ast.AsyncWith: lambda n: [i.optional_vars for i in n.items],
+}
 
-    def visit_Name(self, node):
-        if isinstance(node.ctx, ast.Load):
-            self.f.loads.append((node.id, node.lineno))
-        else:
-            self.f.bound.add(node.id)
 
+def analyse(text: str | None, loads: bool = True) -> Facts | None:
+    """The facts of a source, without loads and bound names if they aren't asked for; None if it can't be parsed.
 
-def analyse(text: str | None, module: str, is_package: bool = False) -> Facts | None:
-    """The facts of a source; None if it can't be parsed."""
+    Bound are the names of functions, classes, parameters (lambdas' and starred ones too), imports, exceptions, and the
+    targets of assignments, loops and ``with``. Those of comprehensions are bound only inside them and don't count.
+    """
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError):
         return None
-    facts = Facts(module)
-    _Walk(facts, is_package).visit(tree)
+    facts = Facts()
+    for node in ast.walk(tree):
+        kind = type(node)
+        if kind is ast.ImportFrom:
+            facts.imports += [(node.module, node.level or 0, a.name, node.lineno) for a in node.names]
+            facts.bound.update(a.asname or a.name for a in node.names if a.name != "*")
+        elif not loads:
+            continue
+        elif kind in (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef):
+            facts.bound.add(node.name)
+        elif kind is ast.arg:
+            facts.bound.add(node.arg)
+        elif kind is ast.Import:
+            facts.bound.update(a.asname or a.name.split(".")[0] for a in node.names)
+        elif kind is ast.ExceptHandler and node.name:
+            facts.bound.add(node.name)
+        elif kind in _TARGETS:
+            facts.bound.update(n for t in _TARGETS[kind](node) for n in assigned_names(t))
+    if loads:
+        _Loads(facts.loads).visit(tree)
     return facts
+
+
+def removed_imports(lines: list[str]) -> list[tuple[str, str | None]]:
+    """(bound name, module as written without dots) of the lines that begin an import; none if they don't parse together."""
+    try:
+        tree = ast.parse("\n".join(x for x in lines if x.startswith(("import ", "from "))))
+    except (SyntaxError, ValueError):
+        return []
+    out: list[tuple[str, str | None]] = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            out += [(a.asname or a.name.split(".")[0], a.name) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            out += [(a.asname or a.name, node.module) for a in node.names if a.name != "*"]
+    return list(dict.fromkeys(out))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import assemble, planning
+from ..session import stored
 from ..sources import config
 from .facts import register, table
 
@@ -89,7 +90,7 @@ def _files(runs):
     prompt = _json("Task.\n", F.when(c % 7 == 5, "no anchor").otherwise(F.lit(E.EXPLANATION_ANCHOR)), "\n\n ", F.col("first"))
     post = [
         (assemble.METRICS, c % 17 != 0, F.when(c % 19 == 0, "[1, 2").otherwise(passed)), (assemble.GRAPH, ended, _graph(*edges)), (assemble.REPORT, ended & (c % 10 != 6), post_report),
-        (assemble.STATUS, c % 23 != 0, F.when(c % 29 == 0, "outcome: lost").when(ended, '{"outcome": " done "}').otherwise('{"outcome": "no_changes"}')),
+        (assemble.STATUS, (c % 23 != 0) | ~ended, F.when(c % 29 == 0, "outcome: lost").when(ended, '{"outcome": " done "}').otherwise('{"outcome": "no_changes"}')),
         (assemble.PROMPT, (F.col("mode_id") == "advisory") | (c % 3 != 0), prompt), (assemble.PATCH, ended, patch),
     ]
 
@@ -125,7 +126,7 @@ WITH RECURSIVE one AS (
   SELECT c, count(*) AS n, sum(greatest(0, inside - comps.n)) AS post_local FROM (SELECT DISTINCT t.c, comp FROM target t JOIN members m ON m.c = t.c AND m.node = t.node) JOIN comps USING (c, comp) GROUP BY c
 ), flags AS (
   SELECT r.*, coalesce(near.n, 0) AS near, coalesce(post_local, 0) AS post_local, CASE WHEN k % 3 = 0 THEN r % 2 ELSE 0 END AS base_local, NOT (k % 3 = 2 AND r % 3 <> 0) AS known,
-    CASE WHEN c % 23 = 0 OR c % 29 = 0 THEN '' WHEN c % 10 = 3 THEN 'no_changes' ELSE 'done' END AS outcome,
+    CASE WHEN (c % 23 = 0 AND c % 10 <> 3) OR c % 29 = 0 THEN '' WHEN c % 10 = 3 THEN 'no_changes' ELSE 'done' END AS outcome,
     r % 5 <> 4 AND r % 7 <> 3 AS based, r % 9 <> 8 AS drawn, c % 10 <> 3 AS ended, c % 10 <> 6 AS reported,
     r % 6 <> 5 AND r % 8 <> 7 AND c % 17 <> 0 AND c % 19 <> 0 AND asked % 3 <= r % 3 AS kept, turns % 5 = 0 AS wide
   FROM runs r LEFT JOIN near USING (c)
@@ -152,7 +153,7 @@ SELECT CASE WHEN m < 2 THEN 'none' ELSE 'advisory' END AS mode_id, 'e' || (m % 2
 FROM raw""")
 def run_artifacts(spark, sf_dir):
     """A plan's runs assembled from the artifacts that they and their repositories' baselines have left; -1 where a file says nothing."""
-    runs = _conversations(spark, sf_dir)
+    runs = stored(_conversations(spark, sf_dir), "conversations")
     repos = runs.select("r", "repo").distinct().select("repo", F.lit("main").alias("base_branch"), F.lit("src").alias("entry"), F.when(F.col("r") % 2 == 0, "python").otherwise("csharp").alias("language"))
     cycles = runs.where("m = 0").select("repo", F.lit("main").alias("base_branch"), "cycle_id")
     planned = planning.planned_runs(config.analysis_plan(spark, PLAN), cycles, repos, ROOT)

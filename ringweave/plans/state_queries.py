@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import context, csharp, diff, planning, pyast, status, tables
+from ..operators import context, csharp, planning, pyast, status, tables
 from ..session import fresh_path
 from ..sources import config, graphs, sinks
 from ..sources import text as S
@@ -352,41 +352,3 @@ def csharp_graph(spark, sf_dir):
     )
     files = table(spark, sf_dir, "part").select(lit("g").alias("graph_id"), F.concat(lit("src/P"), n(0), lit(".cs")).alias("path"), text.alias("text"))
     return csharp.type_graph(files)
-
-
-_SOURCES = {
-    "pkg/a.py": "import json\ndef f():\n    return 1\ndef g():\n    return f()\ndef h():\n    return json.y\n",
-    "pkg/b.py": "x = 1\n",
-    "pkg/c.py": "from pkg.a import f\n",
-}
-#: Moves f and drops an import that two lines use; or drops the import alone.
-_PATCHES = [
-    "diff --git a/pkg/a.py b/pkg/a.py\n--- a/pkg/a.py\n+++ b/pkg/a.py\n@@ -1,5 +1,2 @@\n-import json\n-def f():\n-    return 1\n def g():\n-    return f()\n+    return f() + json.x\n"
-    "diff --git a/pkg/b.py b/pkg/b.py\n--- a/pkg/b.py\n+++ b/pkg/b.py\n@@ -1,1 +1,3 @@\n x = 1\n+def f():\n+    return 1\n",
-    "diff --git a/pkg/a.py b/pkg/a.py\n--- a/pkg/a.py\n+++ b/pkg/a.py\n@@ -1,2 +1,1 @@\n-import json\n def f():\n",
-]
-_FINDINGS = """SELECT 'run-' || p_partkey AS run_id, p_partkey, kind, path, line, symbol, old_module FROM part JOIN (VALUES (0, 'stale_old_import', 'pkg/c.py', 1, 'f', 'pkg.a'), (0, 'stale_local_reference', 'pkg/a.py', 2, 'f', 'pkg.a'),
-(0, 'removed_import_used', 'pkg/a.py', 2, 'json', 'json'), (0, 'removed_import_used', 'pkg/a.py', 4, 'json', 'json'), (1, 'removed_import_used', 'pkg/a.py', 6, 'json', 'json')) AS f(v, kind, path, line, symbol, old_module) ON p_partkey % 4 = v"""
-
-
-def _patched_runs(spark, sf_dir):
-    """A run for each part, in a repository for each brand: a quarter each with either patch, with none and with one that can't be read."""
-    v = F.col("p_partkey") % 4
-    patch = F.when(v == 0, _PATCHES[0]).when(v == 1, _PATCHES[1]).when(v == 2, "no patch")
-    runs = table(spark, sf_dir, "part").select(F.concat(F.lit("run-"), F.col("p_partkey").cast("string")).alias("run_id"), F.col("p_brand").alias("repo"), patch.alias("patch"), F.lit("").alias("import_root"), "p_size")
-    sources = F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.lit(t).alias("text")) for k, t in _SOURCES.items()])).alias("s")
-    return runs, runs.select("repo").distinct().select("repo", sources).select("repo", "s.*")
-
-
-@register(Q, SQL, f"SELECT run_id, kind, path, line, symbol, old_module FROM ({_FINDINGS})")
-def stale_references(spark, sf_dir):
-    return diff.stale_references(*_patched_runs(spark, sf_dir))
-
-
-@register(Q, SQL, f"""WITH k AS (SELECT DISTINCT run_id, kind FROM ({_FINDINGS})), p AS (SELECT run_id, bool_or(kind = 'stale_old_import') AS a, bool_or(kind = 'stale_local_reference') AS b, bool_or(kind = 'removed_import_used') AS c FROM k GROUP BY ALL),
-n AS (SELECT 'mode ' || (p_size % 3) AS mode_id, count(*) AS runs, count(*) FILTER (a) AS a, count(*) FILTER (b) AS b, count(*) FILTER (c) AS c, count(*) FILTER (a OR b OR c) AS x FROM part LEFT JOIN p ON run_id = 'run-' || p_partkey GROUP BY ALL)
-SELECT mode_id, runs::BIGINT AS runs, a::BIGINT AS stale_old_import, b::BIGINT AS stale_local_reference, c::BIGINT AS removed_import_used, x::BIGINT AS any_risk, {sql_pct("x", "runs")} AS any_pct FROM n""")
-def stale_risk(spark, sf_dir):
-    runs, files = _patched_runs(spark, sf_dir)
-    failed = runs.select("run_id", F.concat(F.lit("mode "), (F.col("p_size") % 3).cast("string")).alias("mode_id"))
-    return tables.stale_risk(failed, diff.stale_references(runs, files), ["run_id"])
