@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -315,43 +315,44 @@ def enumerate_cycles(edges: DataFrame, members: DataFrame, max_len: int = 8) ->
     return out
 
 
+def _draw(seed: int, step: int, n: Column | str) -> Column:
+    """A whole number below ``n`` for a walk (graph_id, comp, attempt) at a step: 60 bits of an MD5, modulo n.
+
+    It follows from its names alone, so walks are the same for any partitioning and on any engine.
+    """
+    name = F.concat_ws("|", F.lit(str(seed)), F.col("graph_id").cast("string"), F.col("comp").cast("string"), F.col("attempt").cast("string"), F.lit(str(step)))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long") % E.col(n)
+
+
 def sample_cycles(edges: DataFrame, members: DataFrame, max_len: int = 8, attempts: int = 50_000, seed: int = 12345) -> DataFrame:
-    """Cycles met by seeded random walks in each component: graph_id, comp, nodes.
+    """Cycles met by random walks in each component: graph_id, comp, nodes (least first).
 
     A walk starts at any node and takes up to ``max_len`` steps; the first node it meets again closes a cycle, which
-    counts if it has 2 to ``max_len`` nodes. The seed of a component follows from ``seed`` and its name alone.
+    counts if it has 2 to ``max_len`` nodes. All walks of all components step together, by one join a step on a node and
+    the number of one of its edges; a node's edges lie apart, so walks through a hub do too.
     """
-    import zlib
-
-    inside = induced_edges(clean_edges(edges), members)
-    schema = inside.select("graph_id", "comp", F.array("src").alias("nodes")).schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        gid, comp = pdf["graph_id"].iloc[0], pdf["comp"].iloc[0]
-        names, a, b = _numbered(pdf.sort_values(["src", "dst"]))
-        first = np.searchsorted(a, np.arange(len(names) + 1))
-        rng = np.random.default_rng([seed, zlib.crc32(f"{gid}\0{comp}".encode())])
-        seen = set()
-        for _ in range(attempts):
-            cur = int(rng.integers(len(names)))
-            path, at = [cur], {cur: 0}
-            for _ in range(max_len):
-                lo, hi = first[cur], first[cur + 1]
-                if lo == hi:
-                    break
-                cur = int(b[lo + int(rng.integers(hi - lo))])
-                if cur in at:
-                    loop = path[at[cur] :]
-                    if 2 <= len(loop) <= max_len:
-                        k = loop.index(min(loop))
-                        seen.add(tuple(loop[k:] + loop[:k]))
-                    break
-                at[cur] = len(path)
-                path.append(cur)
-        rows = sorted(seen)
-        return pd.DataFrame({"graph_id": [gid] * len(rows), "comp": [comp] * len(rows), "nodes": [[names[i] for i in r] for r in rows]})
-
-    return inside.groupBy("graph_id", "comp").applyInPandas(walk, schema)
+    inside = stored(induced_edges(clean_edges(edges), members), "walk-edges")
+    own = Window.partitionBy("graph_id", "comp")
+    degree = inside.groupBy("graph_id", "comp", "src").agg(F.count("*").alias("degree"))
+    place = F.row_number().over(Window.partitionBy("graph_id", "comp", "src").orderBy("dst")) - 1
+    to = degree.select("graph_id", "comp", F.col("src").alias("dst"), F.col("degree").alias("next_degree"))
+    steps = stored(inside.withColumn("k", place.cast("long")).join(to, ["graph_id", "comp", "dst"]).select("graph_id", "comp", F.col("src").alias("cur"), "k", "dst", "next_degree"), "walk-steps")
+    starts = degree.select("graph_id", "comp", (F.row_number().over(own.orderBy("src")) - 1).cast("long").alias("k"), F.col("src").alias("cur"), "degree")
+    size = degree.groupBy("graph_id", "comp").agg(F.count("*").alias("n"))
+    walks = size.select("graph_id", "comp", "n", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt")) if attempts > 0 else size.withColumn("attempt", F.lit(0)).limit(0)
+    walks = walks.withColumn("k", _draw(seed, 0, "n")).join(starts, ["graph_id", "comp", "k"])
+    walks = walks.select("graph_id", "comp", "attempt", "cur", "degree", F.array("cur").alias("path"), F.lit(None).cast(f"array<{inside.schema['src'].dataType.simpleString()}>").alias("nodes"))
+    for step in range(1, max_len + 1):
+        # walks that have ended go on without a node, spread by their number
+        walks = walks.withColumn("k", F.when(F.col("cur").isNull(), F.col("attempt").cast("long")).otherwise(_draw(seed, step, "degree"))).join(steps, ["graph_id", "comp", "cur", "k"], "left")
+        at = F.when(F.col("cur").isNotNull(), F.array_position("path", F.col("dst")).cast("int"))
+        on = at == 0
+        walks = walks.select(
+            "graph_id", "comp", "attempt", F.when(on, F.col("dst")).alias("cur"), F.when(on, F.col("next_degree")).alias("degree"),
+            F.when(on, F.concat("path", F.array("dst"))).alias("path"), F.when(at > 0, F.slice("path", at, F.size("path"))).otherwise(F.col("nodes")).alias("nodes"),
+        )
+    closed = walks.where(F.size("nodes") >= 2).select("graph_id", "comp", E.canonical_cycle("nodes").alias("nodes"))
+    return closed.distinct()
 
 
 #: Paths that may have to be followed in a component of which all cycles are listed.
@@ -380,9 +381,16 @@ def cycle_ranks(cycles: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
-def pack_edge_disjoint(cycles: DataFrame, max_keep: int = 200) -> DataFrame:
+#: Cycles of a component that one task packs.
+PACKED = 100_000
+
+
+def pack_edge_disjoint(cycles: DataFrame, max_keep: int = 200, most: int = PACKED) -> DataFrame:
     """Of each component the cycles taken greedily, longest, then highest mean rank, then last node list first, so
-    that no edge is in two: ``cycles`` with place (from 0). The choice is sequential within a component."""
+    that no edge is in two: ``cycles`` with place (from 0).
+
+    A component of at most ``most`` cycles is one task's; larger ones are packed in rounds. Both give the same rows.
+    """
     import pyspark.sql.types as T
 
     schema = T.StructType([*cycles.schema.fields, T.StructField("place", T.IntegerType())])
@@ -401,7 +409,40 @@ def pack_edge_disjoint(cycles: DataFrame, max_keep: int = 200) -> DataFrame:
                 break
         return pdf.iloc[kept].assign(place=np.arange(len(kept), dtype="int32"))
 
-    return cycles.groupBy("graph_id", "comp").applyInPandas(pack, schema)
+    own = ["graph_id", "comp"]
+    sizes = cycles.groupBy(*own).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > most).select(*own)
+    if not large.limit(1).count():
+        return cycles.groupBy(*own).applyInPandas(pack, schema)
+    small = cycles.join(large, own, "left_anti").groupBy(*own).applyInPandas(pack, schema)
+    return small.unionByName(_pack_rounds(cycles.join(large, own, "left_semi"), max_keep).select(*schema.names))
+
+
+def _pack_rounds(cycles: DataFrame, max_keep: int) -> DataFrame:
+    """Greedy packing without an order of steps: in each round every cycle is taken that comes first on all of its edges,
+    and those that share an edge with one taken leave. What is taken is what the greedy choice takes: a cycle that comes
+    first on its edges has no earlier rival left. Each round is written to the shared folder."""
+    own, order = ["graph_id", "comp"], F.struct("length", "pagerank_avg", "nodes").alias("rank")
+    ends = F.explode(E.cycle_edges("rank.nodes")).alias("e")
+    live = stored(cycles.select(*own, order), "pack-live")
+    taken = None
+    while live.limit(1).count():
+        edges = stored(live.select(*own, "rank", ends).select(*own, "rank", F.col("e.source").alias("src"), F.col("e.target").alias("dst")), "pack-edges")
+        first = edges.groupBy(*own, "src", "dst").agg(F.max("rank").alias("first"))
+        leads = edges.join(first, [*own, "src", "dst"]).groupBy(*own, "rank").agg(F.bool_and(F.col("rank") == F.col("first")).alias("leads"))
+        won = stored(leads.where("leads").select(*own, "rank"), "pack-won")
+        used = won.select(*own, ends).select(*own, F.col("e.source").alias("src"), F.col("e.target").alias("dst"))
+        lost = edges.join(used, [*own, "src", "dst"], "left_semi").select(*own, "rank").distinct()
+        rest = stored(live.join(lost, [*own, "rank"], "left_anti"), "pack-live")
+        drop_stored(live)
+        drop_stored(edges)
+        live, taken = rest, won if taken is None else taken.unionByName(won)
+    if taken is None:
+        taken = live
+    place = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("rank"))) - 1
+    placed = taken.withColumn("place", place)
+    kept = placed.where(F.col("place") < max_keep) if max_keep > 0 else placed
+    return kept.select(*own, F.col("rank.nodes").alias("nodes"), "place").join(cycles, [*own, "nodes"])
 
 
 def cycle_catalog(packed: DataFrame, sccs: DataFrame) -> DataFrame:

@@ -159,16 +159,37 @@ def adjacency(spark, sf_dir):
     return G.adjacency(trade_edges(spark, sf_dir)).where("targets is not null").select("graph_id", "node", F.array_join("targets", ",").alias("targets"))
 
 
-def _catalog(spark, sf_dir):
+def _catalog(spark, sf_dir, most=G.PACKED):
     edges = trade_edges(spark, sf_dir)
     members = G.strong_components(edges)
     cycles = G.cycle_ranks(G.enumerate_cycles(edges, members), G.pagerank(edges, G.graph_nodes(edges)))
-    return edges, G.cycle_catalog(G.pack_edge_disjoint(cycles), G.rank_components(members))
+    return edges, G.cycle_catalog(G.pack_edge_disjoint(cycles, most=most), G.rank_components(members))
 
 
-@register(Q, SQL)
+#: The greedy choice, one cycle of a component after another.
+_PACKED = _rank_sql(50, _CYCLES + _METRICS, """, own AS (SELECT row_number() OVER () AS no, c.graph_id, m.comp, nodes FROM cycles c JOIN members m ON m.graph_id = c.graph_id AND m.node = nodes[1]),
+ranked AS (SELECT o.no, o.graph_id, o.comp, o.nodes, len(o.nodes) AS length, avg(r) AS pagerank_avg FROM (SELECT no, graph_id, comp, nodes, unnest(nodes) AS node FROM own) o JOIN {last} USING (graph_id, node) GROUP BY ALL),
+placed AS (SELECT *, list_transform(range(1, length + 1), lambda i: nodes[i::INTEGER] || '>' || nodes[(i % length + 1)::INTEGER]) AS e, row_number() OVER (PARTITION BY graph_id, comp ORDER BY length DESC, pagerank_avg DESC, nodes DESC) AS k FROM ranked),
+chosen AS (SELECT graph_id, comp, 0::BIGINT AS k, []::VARCHAR[] AS used, FALSE AS kept, 0 AS n FROM (SELECT DISTINCT graph_id, comp FROM placed)
+  UNION ALL SELECT c.graph_id, c.comp, p.k, CASE WHEN list_has_any(used, e) OR n >= 200 THEN used ELSE used || e END, NOT (list_has_any(used, e) OR n >= 200), CASE WHEN list_has_any(used, e) OR n >= 200 THEN n ELSE n + 1 END
+  FROM chosen c JOIN placed p ON p.graph_id = c.graph_id AND p.comp = c.comp AND p.k = c.k + 1)
+SELECT p.graph_id, m.scc_id, m.scc_id || '_cycle_' || (c.n - 1) AS cycle_id, p.length::INTEGER AS length, array_to_string(p.nodes, ',') AS nodes, round(p.pagerank_avg, 9) AS pagerank_avg
+FROM chosen c JOIN placed p ON p.graph_id = c.graph_id AND p.comp = c.comp AND p.k = c.k JOIN metrics m ON m.graph_id = c.graph_id AND m.comp = c.comp WHERE c.kept""")
+
+
+def _packing(catalog):
+    return catalog.select("graph_id", "scc_id", "cycle_id", "length", F.array_join("nodes", ",").alias("nodes"), F.round("pagerank_avg", 9).alias("pagerank_avg"))
+
+
+@register(Q, SQL, _PACKED)
 def edge_disjoint_packing(spark, sf_dir):
-    return _catalog(spark, sf_dir)[1].select("graph_id", "scc_id", "cycle_id", "length", F.array_join("nodes", ",").alias("nodes"), F.round("pagerank_avg", 9).alias("pagerank_avg"))
+    return _packing(_catalog(spark, sf_dir)[1])
+
+
+@register(Q, SQL, _PACKED)
+def edge_disjoint_rounds(spark, sf_dir):
+    """The packing of ``edge_disjoint_packing``, in rounds of joins, as that of large components."""
+    return _packing(_catalog(spark, sf_dir, 0)[1])
 
 
 @register(Q, SQL)
@@ -179,10 +200,20 @@ def greedy_selection(spark, sf_dir):
     return select.greedy_selection(select.candidates(catalog, repos, bins), bins, 6, 2).select("pick_no", "repo", "cycle_id", "size", "bin")
 
 
-@register(Q, SQL)
+_DRAW = "('0x' || substr(md5('12345|' || {g} || '|' || {c} || '|' || {a} || '|' || {s}), 1, 15))::BIGINT"
+
+
+@register(Q, SQL, REACH_SQL + f""", i AS (SELECT e.graph_id, a.comp, e.src, e.dst FROM edges e JOIN members a ON a.graph_id = e.graph_id AND a.node = e.src JOIN members b ON b.graph_id = e.graph_id AND b.node = e.dst AND a.comp = b.comp),
+steps AS (SELECT graph_id, comp, src, list(dst ORDER BY dst) AS next FROM i GROUP BY ALL), starts AS (SELECT graph_id, comp, list(src ORDER BY src) AS nodes FROM steps GROUP BY ALL),
+walks AS (
+  SELECT graph_id, comp, attempt, 0 AS step, nodes[({_DRAW.format(g='graph_id', c='comp', a='attempt', s='0')} % len(nodes) + 1)::INTEGER] AS cur, []::VARCHAR[] AS before FROM starts, (SELECT unnest(range(50000)) AS attempt)
+  UNION ALL SELECT w.graph_id, w.comp, w.attempt, w.step + 1, next[({_DRAW.format(g='w.graph_id', c='w.comp', a='w.attempt', s='(w.step + 1)')} % len(next) + 1)::INTEGER], before || [cur]
+  FROM walks w JOIN steps s ON s.graph_id = w.graph_id AND s.comp = w.comp AND s.src = w.cur WHERE NOT list_contains(before, cur) AND w.step < 8
+), loops AS (SELECT DISTINCT graph_id, before[list_position(before, cur):] AS l FROM walks WHERE list_contains(before, cur))
+SELECT DISTINCT graph_id, array_to_string(l[list_position(l, list_min(l)):] || l[:list_position(l, list_min(l)) - 1], ',') AS nodes FROM loops""")
 def cycle_walks(spark, sf_dir):
     edges = trade_edges(spark, sf_dir)
-    return G.sample_cycles(edges, G.strong_components(edges), attempts=2000).select("graph_id", F.array_join("nodes", ",").alias("nodes"))
+    return G.sample_cycles(edges, G.strong_components(edges)).select("graph_id", F.array_join("nodes", ",").alias("nodes"))
 
 
 @register(Q, SQL)
