@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: What a sentence ends with, and what may follow that. A line without any such end fails.
-#: Latin, Greek and Cyrillic; then CJK, Arabic, Urdu, Devanagari, Ethiopic, Armenian, Burmese, Khmer.
-TERMINAL = (".", "!", "?", ":", ";", "…", "。", "．", "｡", "！", "？", "：", "；", "؟", "؛", "۔", "।", "॥", "።", "፧", "։", "။", "។")
+#: Latin, Greek and Cyrillic; then CJK, Arabic, Urdu, Devanagari, Ethiopic, Armenian, Burmese, Khmer; Tibetan.
+TERMINAL = (".", "!", "?", ":", ";", "…", "。", "．", "｡", "！", "？", "：", "；", "؟", "؛", "۔", "।", "॥", "።", "፧", "։", "။", "។", "།", "༎", "༏", "༑", "༔")
+#: Letters of scripts that end sentences with a space or with no mark at all: Thai, Lao, Khmer. A line that holds one
+#: doesn't fail for want of an end.
+UNMARKED = "[\u0e01-\u0e33\u0e40-\u0e46\u0e81-\u0eb3\u0ec0-\u0edf\u1780-\u17b3]"
 CLOSING = "\"'”’»)]›」』）】》〉"
 #: Ends of words in shouted or scrambled lines.
 NOISE = ("!!", "??", "##", "**", "$$", "%%", "&&", "||", "<<", ">>")
@@ -89,7 +92,7 @@ def _line(line: Column, words: Column) -> Column:
     fails = (
         F.when(n == 0, F.lit(None).cast("string"))
         .when(count(lambda w: w.isin(*SEPARATORS)) * 100 >= n * SEPARATOR_SHARE, "navigation")
-        .when(~ending.isin(*TERMINAL) & ~F.exists(words, lambda w: F.right(w, F.lit(1)).isin(*TERMINAL)), "punctuation")
+        .when(~ending.isin(*TERMINAL) & ~F.exists(words, lambda w: F.right(w, F.lit(1)).isin(*TERMINAL)) & ~line.rlike(UNMARKED), "punctuation")
         .when(count(lambda w: F.right(w, F.lit(2)).isin(*NOISE)) * 100 > n * NOISY_SHARE, "punctuation")
         .when(phrase, "boilerplate")
         .when((n >= REPEAT_WORDS) & (F.size(F.array_distinct(words)) * 100 <= n * DISTINCT_SHARE), "boilerplate")
@@ -199,7 +202,7 @@ WITH docs AS (
   SELECT *, len(words) AS n, length(array_to_string(words, '')) AS chars,
     CASE WHEN len(words) = 0 THEN FALSE
       WHEN len(list_filter(words, lambda w: w IN ({_sql_list(SEPARATORS)}))) * 100 >= len(words) * {SEPARATOR_SHARE} THEN TRUE
-      WHEN len(list_filter(words, lambda w: right(w, 1) IN ({_sql_list(TERMINAL)}))) = 0 AND NOT (right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || {_sql_list([CLOSING])}), 1) IN ({_sql_list(TERMINAL)})) THEN TRUE
+      WHEN len(list_filter(words, lambda w: right(w, 1) IN ({_sql_list(TERMINAL)}))) = 0 AND NOT (right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || {_sql_list([CLOSING])}), 1) IN ({_sql_list(TERMINAL)})) AND NOT regexp_matches(line, '{UNMARKED}') THEN TRUE
       WHEN len(list_filter(words, lambda w: right(w, 2) IN ({_sql_list(NOISE)}))) * 100 > len(words) * {NOISY_SHARE} THEN TRUE
       WHEN {' OR '.join(f"contains(lower(line), {_sql_list([p])})" for p in BOILERPLATE)} THEN TRUE
       WHEN len(words) >= {REPEAT_WORDS} AND len(list_distinct(words)) * 100 <= len(words) * {DISTINCT_SHARE} THEN TRUE
