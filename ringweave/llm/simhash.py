@@ -115,18 +115,27 @@ class _Sets:
         return True
 
 
+def _bits_apart(differences: list[np.ndarray]) -> np.ndarray:
+    """Set bits over all words of each pair."""
+    far = np.bitwise_count(differences[0])
+    for more in differences[1:]:
+        far = far + np.bitwise_count(more)  # 8 bits hold the counts of three words
+    return far
+
+
 def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS, done: bool = False) -> list[tuple[int, int]]:
-    """Links that span the near groups among those who meet in a cell: (place, place), a forest.
+    """Links that span the near groups among those who meet in a cell: (place, place), a forest. ``f``: values of one
+    64-bit word, or of several, a row each.
 
     Compared are residents with each other (unless that is ``done``) and with those who ask; two who only ask meet
     elsewhere if they are near. Comparisons go block by block, so memory stays bounded.
     """
     home, out = np.flatnonzero(~asks), []
-    sets = _Sets(len(f))
+    sets, parts = _Sets(len(f)), f.reshape(len(f), -1).T
     for at in range(0, len(home), 256):
         mine = home[at : at + 256]
-        for to in range(0, len(f), 1 << 14):
-            far = np.bitwise_count(f[mine][:, None] ^ f[None, to : to + (1 << 14)])
+        for to in range(0, len(f), 1 << 13):
+            far = _bits_apart([w[mine][:, None] ^ w[None, to : to + (1 << 13)] for w in parts])
             a, b = np.nonzero(far <= max_bits)
             a, b = mine[a], b + to
             keep = (a != b) & (asks[b] | ((a < b) & (not done)))
@@ -137,7 +146,6 @@ def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS, done:
 
 
 _KEYED = pa.schema([("doc_id", pa.int64()), ("f", pa.int64())])
-_CELLS = pa.schema([("cell", pa.int64()), ("v", pa.int64()), ("rep", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -166,27 +174,30 @@ SENT_CELLS = 100_000
 def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between the ``rep`` of rows that meet in a cell of the grid, spanning the near groups there.
 
-    ``reps`` has f, a fingerprint, which gives the cells, and rep. Near are those whose values ``v`` differ in
-    ``max_bits`` bits or less; without that column ``f`` itself is compared. With a column ``tag`` the
+    ``reps`` has f, a fingerprint, which gives the cells, and rep. Near are those whose values (the words v0, v1, ...)
+    differ in ``max_bits`` bits or less; without such columns ``f`` itself is compared. With a column ``tag`` the
     fingerprints of each tag have a grid of their own.
     """
+    words = [c for c in reps.columns if c[:1] == "v" and c[1:].isdigit()]
+    kinds = ", ".join(["cell long", *(f"v{k} long" for k in range(max(1, len(words)))), "rep long"])
+    cell_rows = pa.schema([(c.split()[0], pa.int64()) for c in kinds.split(", ")])
 
     def to_cells(batches):
         for batch in batches:
-            f, v, rep, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            f, tags, rep, *v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
             order = np.argsort(tags, kind="stable")
-            f, v, rep, tags = f[order], v[order], rep[order], tags[order]
+            f, rep, tags, v = f[order], rep[order], tags[order], [w[order] for w in v]
             ends = [0, *(np.flatnonzero(tags[1:] != tags[:-1]) + 1).tolist(), len(tags)]
             for a, b in ((k, min(k + 4096, to)) for at, to in zip(ends, ends[1:]) for k in range(at, to, 4096)):
                 row, cell, asks = cells(f[a:b].view(np.uint64), 64, int(tags[a]))
-                yield pa.RecordBatch.from_arrays([pa.array(2 * cell + asks), pa.array(v[a:b][row]), pa.array(rep[a:b][row])], schema=_CELLS)
+                yield pa.RecordBatch.from_arrays([pa.array(2 * cell + asks), *(pa.array(w[a:b][row]) for w in v), pa.array(rep[a:b][row])], schema=cell_rows)
 
     def met(batches):
         # rows come by cell, its residents before those who ask
         held: list[np.ndarray] = []  # the last cell's rows, which may go on in the next batch
         done = False  # whether the residents among them are compared with each other
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
             if not len(cols[0]):
                 continue
             if held:
@@ -211,10 +222,10 @@ def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield from links(held)
 
     def links(cols, done=False):
-        cell, v, rep = cols
+        cell, *v, rep = cols
         if len(cell) < 2:
             return
-        asks, u = (cell & 1).astype(bool), v.view(np.uint64)
+        asks, u = (cell & 1).astype(bool), [w.view(np.uint64) for w in v]
         own = cell >> 1
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         ends = np.append(starts[1:], len(own))
@@ -229,12 +240,12 @@ def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             if not len(i):
                 break
             j = i + shift
-            near = (np.bitwise_count(u[i] ^ u[j]) <= max_bits) & ~(asks[i] & asks[j])
+            near = (_bits_apart([w[i] ^ w[j] for w in u]) <= max_bits) & ~(asks[i] & asks[j])
             a.append(rep[i[near]])
             b.append(rep[j[near]])
         more = (size > 1) & ~few & (residents > 0)
         for s, e in zip(starts[more].tolist(), ends[more].tolist()):
-            got = np.array(cell_links(u[s:e], asks[s:e], max_bits, done), dtype=np.int64).reshape(-1, 2)
+            got = np.array(cell_links(np.stack([w[s:e] for w in u], axis=1), asks[s:e], max_bits, done), dtype=np.int64).reshape(-1, 2)
             a.append(rep[s:e][got[:, 0]])
             b.append(rep[s:e][got[:, 1]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -242,10 +253,9 @@ def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], schema=_LINKS)
 
-    given = reps.select(
-        "f", F.col("v" if "v" in reps.columns else "f").alias("v"), "rep", F.col("tag") if "tag" in reps.columns else F.lit(0).cast("long").alias("tag")
-    )
-    rows = _dealt(given.mapInArrow(to_cells, "cell long, v long, rep long"), _crowded(given))
+    tag = F.col("tag") if "tag" in reps.columns else F.lit(0).cast("long").alias("tag")
+    given = reps.select("f", tag, "rep", *(words or [F.col("f").alias("v0")]))
+    rows = _dealt(given.mapInArrow(to_cells, kinds), _crowded(given))
     met_rows = rows.repartition(F.shiftright("cell", 1)).sortWithinPartitions("cell")
     return met_rows.mapInArrow(met, "a long, b long").where("a <> b").distinct()
 
@@ -277,7 +287,7 @@ def _dealt(rows: DataFrame, crowded: DataFrame) -> DataFrame:
         lambda k: F.shiftleft(k, 40).bitwiseOR(F.col("cell")).bitwiseOR(F.when((asks == 1) | (k != home), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))),
     )
     every = F.when(F.col("parts").isNull(), F.array("cell")).otherwise(own)
-    return met.select(F.explode(every).alias("cell"), "v", "rep")
+    return met.select(F.explode(every).alias("cell"), *rows.columns[1:])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,8 +349,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: SimHashes of a text's distinct words, 64 bits each.
 SIGNATURES = 4
-#: A large candidate group is looked into in chunks of about so many texts and shingles, and what a chunk leaves
-#: open goes against the whole group in blocks of so many shingles.
+#: A large candidate group is looked into in chunks of about so many texts and shingles (or as many times ``WEIGHED``
+#: bytes, where that is more), and what a chunk leaves open goes against the whole group in blocks of so many.
 CHUNK_TEXTS, CHUNK_SHINGLES, BLOCK_SHINGLES = 4096, 1 << 22, 1 << 21
 
 
@@ -384,22 +394,32 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(at, at[1:])]
 
 
-def sketch(own: np.ndarray) -> int:
-    """64 bits, one of the least hash in each 64th of the range (of the next such part that has any): two sketches
-    differ in about (1 - similarity) / 2 of them. No shingles: zero."""
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 2
+_PLACES = np.arange(64 * SKETCH_WORDS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """``SKETCH_WORDS`` words of bits, one of the least hash in each equal part of the range (of the next such part that
+    has any): two sketches differ in about (1 - similarity) / 2 of them. No shingles: zeros.
+
+    A bit mixes in its place, so the bits of texts of few shingles are no copies of one another, and sketches of texts
+    that share no shingle are independent.
+    """
     if not len(own):
-        return 0
-    parts = (own >> np.uint64(58)).astype(np.int64)
-    first = np.searchsorted(parts, np.arange(64))
-    least = own[first % len(own)]
-    return int(np.packbits((_mix(least) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")[0])
+        return np.zeros(SKETCH_WORDS, np.uint64)
+    n = 64 * SKETCH_WORDS
+    parts = (own >> np.uint64(64 - (n - 1).bit_length())).astype(np.int64)
+    least = own[np.searchsorted(parts, np.arange(n)) % len(own)]
+    return np.packbits((_mix(least ^ _PLACES) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")
 
 
 def sketch_bits(threshold: float) -> int:
     """Bits in which the sketches of similar texts may differ: four standard deviations beyond those expected, which
-    one pair in 20 000 at the threshold exceeds. At 0.8 that is 16, and one pair of unlike texts in 25 000 has no more."""
-    p = (1 - threshold) / 2
-    return int(np.ceil(round(64 * p + 4 * (64 * p * (1 - p)) ** 0.5, 9)))
+    one pair in 20 000 at the threshold exceeds. At 0.8 that is 27 of 128. Two sketches of texts without a common shingle
+    have no more with a probability of 1e-11, so chance doesn't join texts into groups at any size of a corpus."""
+    n, p = 64 * SKETCH_WORDS, (1 - threshold) / 2
+    return int(np.ceil(round(n * p + 4 * (n * p * (1 - p)) ** 0.5, 9)))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -452,7 +472,9 @@ def group_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("m", pa.string()), ("s", pa.list_(pa.int64())), ("v", pa.int64()), ("size", pa.int64())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("m", pa.string()), ("s", pa.list_(pa.int64())), ("v", pa.list_(pa.int64())), ("size", pa.int64())])
+#: Bytes of text that weigh as much as one shingle: a long text that repeats itself has few shingles.
+WEIGHED = 16
 
 
 def _within_groups(texts: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -462,19 +484,19 @@ def _within_groups(texts: DataFrame, threshold: float, words: int) -> DataFrame:
         held, key = [], None
 
         def done():
-            sets = shingle_sets([t for _, t in held], words)
-            got = group_links(sets, threshold) if len(held) > 1 else []
+            got = group_links([x for _, x in held], threshold) if len(held) > 1 else []
             if got:
                 a, b = np.array([n for n, _ in held], dtype=np.int64)[np.array(got).T]
                 pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], schema=_LINKS)
 
         for batch in batches:
-            for group, chunk, node, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            own = (batch.column(k).to_pylist() for k in range(3))
+            for group, chunk, node, x in zip(*own, shingle_sets(batch.column(3).to_pylist(), words)):
                 if key != (group, chunk):
                     yield from done()
                     held, key = [], (group, chunk)
-                held.append((node, text))
+                held.append((node, x))  # a text's shingles, not the text
         yield from done()
 
     every = F.explode(F.when(F.col("leads"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("chunks")))))
@@ -537,8 +559,9 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5) -
 
     Candidates are texts of which a half of one of ``SIGNATURES`` SimHashes of the distinct words has bit counts at
     a Manhattan distance of 1 or less, found in the same grid, and whose sketches of shingles are near. They give
-    candidate groups, in which components are then found exactly, on the shingles (64-bit hashes) of whole texts,
-    however large a group is. So what can be missed is a text that no candidate leads to; no link inside a
+    candidate groups, of texts that are similar to about 0.6 or more one after another, as sketches of 128 bits leave no
+    room for chance. In each, components are then found exactly, on the shingles (64-bit hashes) of whole texts, however
+    large a group is. So what can be missed is a text that no candidate leads to; no link inside a
     candidate group is. Equal texts collapse first.
 
     component_id is the smallest doc_id reachable. Null doc_ids, empty texts, repeated rows, empty tables and other
@@ -554,17 +577,18 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5) -
                 m = [hashlib.md5((t or "").encode("utf-8", "replace")).hexdigest() for t in texts]
                 s = signatures(texts).view(np.int64).tolist()
                 sets = shingle_sets(texts, words)
-                v = np.array([sketch(x) for x in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, 256), pa.array(m), pa.array(s, pa.list_(pa.int64())), pa.array(v), pa.array([len(x) for x in sets], pa.int64())], schema=_SIGNED
-                )
+                v = [sketch(x).view(np.int64).tolist() for x in sets]
+                size = [max(len(x), len(t or "") // WEIGHED) for x, t in zip(sets, texts)]
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([keys.slice(at, 256), pa.array(m), pa.array(s, longs), pa.array(v, longs), pa.array(size, pa.int64())], schema=_SIGNED)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = stored(rows.mapInArrow(sign, "doc_id long, m string, s array<long>, v long, size long"), "signatures")
+    keyed = stored(rows.mapInArrow(sign, "doc_id long, m string, s array<long>, v array<long>, size long"), "signatures")
     count = keyed.groupBy("m").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s"), F.first("v").alias("v"), F.first("size").alias("size"), F.count("*").alias("n"))
     reps = stored(count.withColumn("node", F.monotonically_increasing_id()), "signature-reps")
     total = reps.agg(F.sum("n").alias("n")).first()["n"] or 0
-    signed = reps.select(F.posexplode("s").alias("tag", "f"), "v", F.col("node").alias("rep")).withColumn("tag", F.col("tag").cast("long"))
+    values = [F.get("v", F.lit(k)).alias(f"v{k}") for k in range(SKETCH_WORDS)]
+    signed = reps.select(F.posexplode("s").alias("tag", "f"), *values, F.col("node").alias("rep")).withColumn("tag", F.col("tag").cast("long"))
     maybe = stored(near_links(signed, sketch_bits(threshold)), "similar-candidates")
     # candidate groups; the text with most candidates, as the original of many copies has, leads its group
     groups = components(maybe)

@@ -344,9 +344,48 @@ def test_sketches_tell_similarity():
         for _ in range(200):
             a = rng.integers(0, 2**64, 250, dtype=np.uint64)
             b = np.concatenate([a[:same], rng.integers(0, 2**64, 250 - same, dtype=np.uint64)])
-            got.append((simhash.sketch(np.unique(a)) ^ simhash.sketch(np.unique(b))).bit_count())
+            got.append(int(np.bitwise_count(simhash.sketch(np.unique(a)) ^ simhash.sketch(np.unique(b))).sum()))
         off[same] = np.mean(got)
-    assert off[250] == 0 and 15 < off[160] < 19 and simhash.sketch_bits(0.8) == 16
+    assert off[250] == 0 and 30 < off[160] < 38 and simhash.sketch_bits(0.8) == 27
+
+
+def test_chance_does_not_bring_sketches_near():
+    """Sets without a common shingle, of one to eight shingles too: no pair of 9 million is near."""
+    rng = np.random.default_rng(4)
+    s = np.array([simhash.sketch(np.unique(rng.integers(0, 2**64, 1 + k % 8 if k < 2000 else 100, dtype=np.uint64))) for k in range(3000)])
+    assert len(np.unique(s[:, 0])) == 3000
+    least = min(int(simhash._bits_apart([s[k + 1 :, 0] ^ s[k, 0], s[k + 1 :, 1] ^ s[k, 1]]).min()) for k in range(2999))
+    assert least > simhash.sketch_bits(0.8)
+
+
+def test_candidate_groups_of_one_cell_are_the_near_texts(spark, monkeypatch):
+    """A thousand unlike texts that all meet in one cell form no group: only those that are near do."""
+    sizes = []
+    real = simhash._within_groups
+
+    def seen(texts, threshold, words):
+        sizes.extend(r["n"] for r in texts.groupBy("group").agg(F.count("*").alias("n")).collect())
+        return real(texts, threshold, words)
+
+    monkeypatch.setattr(simhash, "_within_groups", seen)
+    assert classes_of(spark, pairs_of_one_word_bag(500)) == [i - i % 2 for i in range(1000)]
+    assert sizes == [2] * 500
+
+
+def test_long_texts_that_repeat_themselves_weigh_as_texts(spark, monkeypatch):
+    """Few shingles, many bytes: chunks and blocks are bounded by both."""
+    weights = []
+    real = simhash._within_groups
+
+    def seen(texts, threshold, words):
+        weights.extend((r["size"], len(r["text"]), r["chunks"]) for r in texts.collect())
+        return real(texts, threshold, words)
+
+    monkeypatch.setattr(simhash, "_within_groups", seen)
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", 60_000)
+    texts = [" ".join(f"w{j}" for j in range(30)) * (2000 + k) for k in range(6)]
+    assert classes_of(spark, texts) == [0] * 6
+    assert len(weights) == 6 and all(size == n // simhash.WEIGHED and chunks == 2 for size, n, chunks in weights)
 
 
 def test_grid_streams_those_who_ask(spark, monkeypatch):
