@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, stored
+from ..session import drop_stored, ship_package, stored
 
 WORDS, THRESHOLD = 5, 0.8
-#: Benchmark items are searched for in blocks of about so many bytes of text; a block is what the driver and each
-#: task hold, and the documents are scanned once for each.
+#: Benchmark items are searched for in blocks of about so many bytes of text; the driver and each task hold one block at
+#: a time (an index of some two and a half times its text), and the documents are scanned once for each.
 BLOCK_BYTES = 64 << 20
+#: Bytes of items that are hashed at once while an index is made, and shingle sets of items that a task keeps.
+PART_BYTES, KEPT_SHINGLES = 4 << 20, 1 << 19
 #: Bytes of text that are hashed at once.
 RUN = 1 << 20
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII, lower-cased.
@@ -148,55 +150,80 @@ class Sizes:
     items: np.ndarray  # whose
 
 
-@dataclass
 class Index:
-    """A block of items. ``need``: how many of an item's shingles a document must hold; ``hits``: of its sketch."""
-
-    ids: list
-    sets: list[frozenset]
-    need: np.ndarray
-    hits: np.ndarray
-    parts: list[Sizes]
-    seen: np.ndarray  # by the top bits of a hash: whether a sketch has one such
-    shift: int
-    words: int
-
-    @classmethod
-    def of(cls, ids: list, texts: list, words: int, threshold: float) -> Index:
+    """A block of items: their words, sizes and sketches. ``need``: how many of an item's shingles a document must hold;
+    ``hits``: of its sketch. An item's shingles are cut from its words when a document is a candidate for it."""
+
+    def __init__(self, ids: list, texts: list, words: int, threshold: float):
+        self.ids, self.words = np.array([i is not None for i in ids], bool), words
+        self._ids = np.array([i or 0 for i in ids], np.int64)
         own = [plain(t) for t in texts]
-        sets = [frozenset(shingles(t, words)) for t in own]
-        n = np.array([len(s) for s in sets], dtype=np.int64)
+        self.at = np.cumsum([0, *map(len, own)])
+        self.text = b"".join(own)
         least = lambda k: math.ceil(round(threshold * k, 9))
-        need = np.array([least(k) for k in n.tolist()], dtype=np.int64)
-        which, h = shingle_hashes(own, words)
-        order = np.lexsort((h, which))
-        which, h = which[order], h[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1])
-        which, h = which[fresh], h[fresh]
-        place = np.arange(len(h)) - np.searchsorted(which, which)
+        items, sizes, sketches = [np.zeros(0, np.int64)], [], [np.zeros(0, np.uint64)]
+        for first, end in _some(own, PART_BYTES):
+            which, h = shingle_hashes(own[first:end], words)
+            order = np.lexsort((h, which))
+            which, h = which[order], h[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1])
+            which, h = which[fresh], h[fresh]
+            n = np.bincount(which, minlength=end - first)
+            # never more than the partition's k, which is that of its largest size
+            most = np.array([2 * (u - least(u)) + 1 for u in ((1 << int(k).bit_length()) - 1 for k in n)], dtype=np.int64)
+            kept = np.arange(len(h)) - np.searchsorted(which, which) < most[which]
+            sizes.append(n)
+            items.append(which[kept] + first)
+            sketches.append(h[kept])
+        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        items, h = np.concatenate(items), np.concatenate(sketches)
+        self.n, self.need = n, np.array([least(k) for k in n.tolist()], dtype=np.int64)
+        place = np.arange(len(h)) - np.searchsorted(items, items)
         part = np.array([k.bit_length() for k in n.tolist()], dtype=np.int64)
-        k, parts, every = np.zeros(len(n), np.int64), [], [np.zeros(0, np.uint64)]
+        k = np.zeros(len(n), np.int64)
+        self.parts: list[Sizes] = []
+        bits = min(30, max(16, (64 * max(1, len(h))).bit_length()))
+        self.shift, self.seen = 64 - bits, np.zeros(1 << bits - 3, np.uint8)  # a bit for each beginning of a hash
         for size in np.unique(part[n > 0]).tolist():
             inside = part == size
             u = int(n[inside].max())
             k[inside] = np.minimum(n[inside], 2 * (u - least(u)) + 1)
-            own_rows = inside[which] & (place < k[which])
-            x, y = h[own_rows], which[own_rows]
+            rows = inside[items] & (place < k[items])
+            x, y = h[rows], items[rows]
             order = np.argsort(x, kind="stable")
-            parts.append(Sizes(x[order], y[order]))
-            every.append(x)
-        hashes = np.concatenate(every)
-        bits = min(27, max(16, (64 * max(1, len(hashes))).bit_length()))
-        seen = np.zeros(1 << bits, bool)
-        seen[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return cls(ids, sets, need, k - (n - need), parts, seen, 64 - bits, words)
+            self.parts.append(Sizes(x[order], y[order].astype(np.int32)))
+            top = np.unique((x >> np.uint64(self.shift)).astype(np.int64))
+            np.bitwise_or.at(self.seen, top >> 3, (1 << (top & 7)).astype(np.uint8))
+        self.hits = k - (n - self.need)
+        self._held: dict[int, frozenset] = {}
+        self._room = KEPT_SHINGLES
+
+    def name(self, item: int) -> int | None:
+        return int(self._ids[item]) if self.ids[item] else None
+
+    def shingle_set(self, item: int) -> frozenset:
+        """An item's shingles, kept for the next documents while there is room."""
+        got = self._held.get(item)
+        if got is None:
+            got = frozenset(each_shingle(self.text[self.at[item] : self.at[item + 1]], self.words))
+            if self._room < len(got):
+                self._held, self._room = {}, KEPT_SHINGLES
+            self._held[item] = got
+            self._room -= len(got)
+        return got
+
+    def nbytes(self) -> int:
+        """Bytes of its arrays and texts."""
+        arrays = (self.ids, self._ids, self.at, self.n, self.need, self.hits, self.seen, *(x for p in self.parts for x in (p.hashes, p.items)))
+        return len(self.text) + sum(x.nbytes for x in arrays)
 
     def candidates(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """(text, item) pairs in which the text is large enough and holds enough of the sketch."""
         which, h = shingle_hashes(texts, self.words)
         size = np.bincount(which, minlength=len(texts))
-        hit = np.flatnonzero(self.seen[(h >> np.uint64(self.shift)).astype(np.int64)])
+        top = (h >> np.uint64(self.shift)).astype(np.int64)
+        hit = np.flatnonzero(self.seen[top >> 3] >> (top & 7).astype(np.uint8) & np.uint8(1))
         which, h = which[hit], h[hit]
         out: set[tuple[int, int]] = set()
         for part in self.parts:
@@ -205,9 +232,9 @@ class Index:
             text = np.repeat(which, times)
             at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
             once = np.unique(text * len(part.hashes) + at)  # a shingle that a text repeats counts once
-            text, item = once // len(part.hashes), part.items[once % len(part.hashes)]
-            pair, held = np.unique(text * len(self.sets) + item, return_counts=True)
-            text, item = pair // len(self.sets), pair % len(self.sets)
+            text, item = once // len(part.hashes), part.items[once % len(part.hashes)].astype(np.int64)
+            pair, held = np.unique(text * len(self.n) + item, return_counts=True)
+            text, item = pair // len(self.n), pair % len(self.n)
             enough = (held >= self.hits[item]) & (size[text] >= self.need[item])
             out.update(zip(text[enough].tolist(), item[enough].tolist()))
         return sorted(out)
@@ -215,14 +242,14 @@ class Index:
     def matches(self, texts: list[bytes]):
         """(text, item, shared, first word, end) of each item that a text contains."""
         for text, pairs in itertools.groupby(self.candidates(texts), lambda x: x[0]):
-            items = [item for _, item in pairs]
-            wanted = frozenset().union(*(self.sets[i] for i in items))
+            sets = {item: self.shingle_set(item) for _, item in pairs}
+            wanted = frozenset().union(*sets.values())
             own: dict[bytes, list[int]] = {}
             for i, s in enumerate(each_shingle(texts[text], self.words)):
                 if s in wanted:
                     own.setdefault(s, []).append(i)
-            for item in items:
-                shared = [s for s in self.sets[item] if s in own]
+            for item, whole in sets.items():
+                shared = [s for s in whole if s in own]
                 if len(shared) >= self.need[item]:
                     words = min(self.words, len(shared[0].split()))
                     yield text, item, len(shared), min(own[s][0] for s in shared), max(own[s][-1] for s in shared) + words
@@ -241,7 +268,9 @@ def _blocks(benchmark: DataFrame, words: int, threshold: float):
     for k in range(n):
         rows = items.where(block == k).select("item_id", "text").collect()
         if rows:
-            yield spark.sparkContext.broadcast(Index.of([r[0] for r in rows], [r[1] for r in rows], words, threshold))
+            held = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], words, threshold))
+            del rows
+            yield held
 
 
 def _some(texts: list, size: int = 1 << 20):
@@ -283,7 +312,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS
                 for a, b in _some(texts := batch.column(1).to_pylist()):
                     keys = batch.column(0).slice(a, b - a).to_pylist()
                     found = [
-                        (keys[t], index.ids[i], n, len(index.sets[i]), first, end)
+                        (keys[t], index.name(i), n, int(index.n[i]), first, end)
                         for t, i, n, first, end in index.matches([plain(t) for t in texts[a:b]])
                     ]
                     if found:
@@ -297,10 +326,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, words: int = WORDS
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item of the benchmark (see ``find_contamination``)."""
+    """The rows of ``docs``, all columns, that contain no item of the benchmark (see ``find_contamination``).
+
+    What a block leaves is stored before the next block's turn, so that a task holds one block at a time.
+    """
     ship_package(docs.sparkSession)
     at = docs.columns.index("text")
-    for held in _blocks(benchmark, words, threshold):
+    before = None
+    for k, held in enumerate(_blocks(benchmark, words, threshold)):
+        if k:
+            docs, gone = stored(docs, "decontaminated"), before
+            before = docs
+            if gone is not None:
+                drop_stored(gone)
 
         def run(batches, held=held):
             index = held.value

@@ -178,11 +178,32 @@ def test_contamination_against_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_index_is_small_and_held_one_block_at_a_time(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"word{rng.randrange(10**6)}" for _ in range(rng.randrange(15, 300))) for _ in range(700)]
+    size = sum(map(len, texts))
+    index = decontaminate.Index([*range(699), None], texts, 5, 0.8)
+    assert index.nbytes() < 3 * size and index.name(699) is None and index.name(3) == 3
+    whole = [(p.hashes.tolist(), p.items.tolist()) for p in index.parts]
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 10_000)  # hashed part by part, to the same index
+    again = decontaminate.Index([*range(699), None], texts, 5, 0.8)
+    assert [(p.hashes.tolist(), p.items.tolist()) for p in again.parts] == whole and (again.hits == index.hits).all() and (again.seen == index.seen).all()
+    monkeypatch.setattr(decontaminate, "KEPT_SHINGLES", 400)
+    for i in (0, 1, 2, 0, 699):
+        assert index.shingle_set(i) == frozenset(decontaminate.shingles(decontaminate.plain(texts[i])))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size // 3)
+    docs = spark.createDataFrame([(i, t + " more") for i, t in enumerate(texts[:50])] + [(99, "clean text of a few words")], "doc_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [99]
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_items_are_partitioned_by_size():
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(n)) for n in (1, 4, 5, 6, 9, 20, 21, 44, 70, 150, 300, 301)] + ["", " "]
-    index = decontaminate.Index.of(list(range(len(texts))), texts, 5, 0.8)
-    sizes = [len(s) for s in index.sets]
+    index = decontaminate.Index(list(range(len(texts))), texts, 5, 0.8)
+    sizes = index.n.tolist()
+    assert sizes == [len(index.shingle_set(i)) for i in range(len(texts))]
     assert len(index.parts) == len({n.bit_length() for n in sizes if n})
     for part in index.parts:
         own = {int(i) for i in part.items}
