@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, stored
 from . import tables
 
 #: Comparisons of configurations: label, left mode, right mode. Fixed values.
@@ -102,7 +104,7 @@ class Glmm:
     intercept of its own. ``weight`` says how many alike groups each group stands for.
     """
 
-    def __init__(self, group, won, trials, x, outer=None, points: int = 1, weight=None):
+    def __init__(self, group, won, trials, x, outer=None, points: int = 1, weight=None, base: bool = True):
         self.names, self.g = np.unique(np.asarray(group), return_inverse=True)
         self.outer = None
         if outer is not None:
@@ -114,11 +116,24 @@ class Glmm:
         self.times = np.ones(len(self.names))
         if weight is not None:
             self.times[self.g] = np.asarray(weight, float)
-        lg = np.vectorize(math.lgamma)
-        self.base = float(((lg(self.trials + 1) - lg(self.won + 1) - lg(self.trials - self.won + 1)) * self.times[self.g]).sum())
+        self.base = self._constant() if base else 0.0
         self.points = points
         self.at, self.weight = _nodes(max(points, 2))
 
+    def _constant(self) -> float:
+        """What the likelihood has of the numbers of ways alone."""
+        pairs, at = np.unique(np.stack([self.won, self.trials], axis=1), axis=0, return_inverse=True)
+        ways = np.array([math.lgamma(t + 1) - math.lgamma(w + 1) - math.lgamma(t - w + 1) for w, t in pairs.tolist()])
+        return float((ways[at.ravel()] * self.times[self.g]).sum())
+
+    def _totals(self) -> tuple[int, float, float, bool]:
+        """Coefficients, successes, trials, and whether there is an outer intercept."""
+        times = self.times[self.g]
+        return self.x.shape[1], float(self.won @ times), float(self.trials @ times), self.outer is not None
+
+    def logliks(self, points: list[np.ndarray]) -> list[float]:
+        return [self.loglik(p) for p in points]
+
     def loglik(self, p: np.ndarray) -> float:
         if self.points == 1:
             return self._laplace(p)
@@ -153,10 +168,10 @@ class Glmm:
             q = 1 / (1 + np.exp(-eta))
             r = np.bincount(self.g, self.won - self.trials * q, minlength=n)
             w = np.bincount(self.g, self.trials * q * (1 - q), minlength=n)
-            du, dv = s * r - u, t * np.bincount(of, r, minlength=m) - v
+            du, dv = s * r - u, t * np.bincount(of, self.times * r, minlength=m) - v
             a = 1 + s * s * w
-            arrow = 1 + t * t * np.bincount(of, w / a, minlength=m)
-            step_v = (dv - np.bincount(of, s * t * w * du / a, minlength=m)) / arrow if nested else np.zeros(m)
+            arrow = 1 + t * t * np.bincount(of, self.times * w / a, minlength=m)
+            step_v = (dv - np.bincount(of, s * t * self.times * w * du / a, minlength=m)) / arrow if nested else np.zeros(m)
             step_u = (du - s * t * w * step_v[of]) / a
             size = 1.0
             while True:
@@ -171,7 +186,7 @@ class Glmm:
         q = 1 / (1 + np.exp(-eta))
         w = np.bincount(self.g, self.trials * q * (1 - q), minlength=n)
         a = 1 + s * s * w
-        det = self.times @ np.log(a) + (np.log(1 + t * t * np.bincount(of, w / a, minlength=m)).sum() if nested else 0.0)
+        det = self.times @ np.log(a) + (np.log(1 + t * t * np.bincount(of, self.times * w / a, minlength=m)).sum() if nested else 0.0)
         return now - float(det) / 2 + self.base
 
     def _nested(self, p: np.ndarray) -> float:
@@ -188,20 +203,21 @@ class Glmm:
         return float((top + np.log(np.exp(whole - top[:, None]) @ self.weight)).sum()) + self.base
 
     def _slopes(self, p: np.ndarray, h: float = 1e-4):
-        n, f0 = len(p), self.loglik(p)
-        e = np.eye(n) * h
-        up, down = [self.loglik(p + a) for a in e], [self.loglik(p - a) for a in e]
-        grad = (np.array(up) - np.array(down)) / (2 * h)
-        hess = np.zeros((n, n))
+        n, e = len(p), np.eye(len(p)) * h
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        f0, *f = self.logliks([p, *(p + a for a in e), *(p - a for a in e), *(p + e[i] + e[j] for i, j in pairs), *(p - e[i] - e[j] for i, j in pairs)])
+        up, down, far, near = f[:n], f[n : 2 * n], f[2 * n : 2 * n + len(pairs)], f[2 * n + len(pairs) :]
+        grad, hess = (np.array(up) - np.array(down)) / (2 * h), np.zeros((n, n))
         for i in range(n):
             hess[i, i] = (up[i] - 2 * f0 + down[i]) / h**2
-            for j in range(i):
-                hess[i, j] = hess[j, i] = (self.loglik(p + e[i] + e[j]) - up[i] - up[j] + 2 * f0 - down[i] - down[j] + self.loglik(p - e[i] - e[j])) / (2 * h**2)
+        for (i, j), a, b in zip(pairs, far, near):
+            hess[i, j] = hess[j, i] = (a - up[i] - up[j] + 2 * f0 - down[i] - down[j] + b) / (2 * h**2)
         return f0, grad, hess
 
-    def fit(self, steps: int = 100) -> Glmm:
-        p = np.zeros(self.x.shape[1] + 1 + (self.outer is not None))
-        rate = (self.won.sum() + 0.5) / (self.trials.sum() + 1)
+    def fit(self, steps: int = 100):
+        k, won, trials, nested = self._totals()
+        p = np.zeros(k + 1 + nested)
+        rate = (won + 0.5) / (trials + 1)
         p[0] = math.log(rate / (1 - rate))
         for _ in range(steps):
             f0, grad, hess = self._slopes(p)
@@ -209,20 +225,82 @@ class Glmm:
             step = vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-3))
             step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
             size = 1.0
-            while size > 1e-6 and not self.loglik(p + size * step) >= f0:
-                size /= 2
+            while size > 1e-6:  # the first of four halvings that is no worse
+                better = [f >= f0 for f in self.logliks([p + size * step / 2**i for i in range(4)])]
+                if any(better):
+                    size /= 2 ** better.index(True)
+                    break
+                size /= 16
             p = np.clip(p + size * step, -30, 30)
             if np.abs(size * step).max() < 1e-7:
                 break
         self.p, (self.ll, _, hess) = p, self._slopes(p)
         cov = np.linalg.pinv(-hess)
         self.se = np.sqrt(np.maximum(np.diag(cov), 0))
-        k = self.x.shape[1]
         self.variance = math.exp(2 * p[k])
-        self.outer_variance = math.exp(2 * p[k + 1]) if self.outer is not None else None
+        self.outer_variance = math.exp(2 * p[k + 1]) if nested else None
         return self
 
 
+_ROWS = "array<struct<x:array<double>,won:double,trials:double>>"
+
+
+def _model_of(units: pa.ListArray, predictors: int, nested: bool, base: bool = False) -> Glmm | None:
+    """The model of some units: each a list of (rows, n), the groups of one outer group or a single group."""
+
+    def spread(column):
+        """Values of a list column, and which list each is of."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        return column.flatten(), np.repeat(np.arange(len(n)), n)
+
+    groups, outer = spread(units)
+    rows, group = spread(groups.field("rows"))
+    if not len(rows):
+        return None
+    number = lambda x: x.to_numpy(zero_copy_only=False)
+    x = number(rows.field("x").flatten()).reshape(len(rows), predictors)
+    return Glmm(group, number(rows.field("won")), number(rows.field("trials")), x, outer[group] if nested else None, weight=number(groups.field("n"))[group], base=base)
+
+
+class PooledGlmm(Glmm):
+    """The model of ``Glmm`` on groups that stay in Spark.
+
+    ``units``: groups, ``array<struct<rows, n>>`` with rows ``array<struct<x, won, trials>>``: the groups of one outer
+    group, or one group; n says how many alike groups one stands for. A likelihood is a sum over units, so a Newton step
+    is one job in which each task adds up its units' likelihoods at all points that the step's derivatives need, and the
+    driver adds up a row of them for each task. It holds nothing else of the data, and a task one batch of units.
+    """
+
+    def __init__(self, units: DataFrame, predictors: int, nested: bool = False):
+        self.units, self.predictors, self.nested, self.base = units.select("groups"), predictors, nested, 0.0
+        ship_package(units.sparkSession)
+        self.base, self.sum_won, self.sum_trials = self._sums(3, lambda m: [m._constant(), *m._totals()[1:3]])
+
+    def _totals(self):
+        return self.predictors + 1, self.sum_won, self.sum_trials, self.nested
+
+    def _sums(self, n: int, of) -> list[float]:
+        predictors, nested = self.predictors, self.nested
+
+        def run(batches):
+            total = np.zeros(n)
+            for batch in batches:
+                model = _model_of(batch.column(0), predictors, nested)
+                if model is not None:
+                    total += of(model)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+        sums = self.units.mapInArrow(run, "s array<double>").agg(*[F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(n)]).first()
+        return [x or 0.0 for x in sums]
+
+    def logliks(self, points: list[np.ndarray]) -> list[float]:
+        return [x + self.base for x in self._sums(len(points), lambda m: [m.loglik(p) for p in points])]
+
+    def loglik(self, p: np.ndarray) -> float:
+        return self.logliks([p])[0]
+
+
 def lrt_p(full: float, null: float) -> float:
     """p of a likelihood ratio with one degree of freedom."""
     return math.erfc(math.sqrt(max(0.0, full - null)))
@@ -237,31 +315,36 @@ def odds_ratio(beta: float, se: float) -> tuple[float, float, float]:
     return math.exp(beta), math.exp(beta - 1.96 * se), math.exp(beta + 1.96 * se)
 
 
+def _alike(rates: DataFrame, x: list[Column], keys: list[str], within: list[str]) -> DataFrame:
+    """Groups (by ``keys``) of rows (successes, trials, predictors ``x``), those of equal rows once, with their number:
+    within, rows, n."""
+    rows = F.array_sort(F.collect_list(F.struct(F.array(*[c.cast("double") for c in x]).alias("x"), F.col("successes").cast("double").alias("won"), F.col("trials").cast("double").alias("trials"))))
+    return rates.groupBy(*keys).agg(rows.alias("rows")).groupBy(*within, "rows").agg(F.count("*").cast("double").alias("n"))
+
+
 def configuration_model(facts: DataFrame, baseline: str, selected: str, label: str = "Configuration") -> pd.DataFrame:
     """Effect of the selected configuration on success, with random intercepts for cycles.
 
-    Aggregated in Spark to a row for each cycle and mode, and cycles with the same outcomes in both modes to one group
-    that stands for all of them. The model with repositories needs a row for each cycle and mode of the experiment.
+    Cycles with the same outcomes in both modes are one group that stands for all of them; with an intercept for
+    repositories too, those of one repository, so that a repository is a row of its distinct outcomes. Both stay in Spark.
     Rows are empty placeholders where there is nothing to fit (a mode is missing, no success or no failure).
     """
-    rates = tables.cycle_rates(facts.where(F.col("mode_id").isin(baseline, selected)))
-    alike = rates.groupBy("repo", "cycle_id").agg(F.array_sort(F.collect_list(F.struct((F.col("mode_id") == selected).cast("int").alias("x"), "successes", "trials"))).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
-    held = [(i, *t, r["n"]) for i, r in enumerate(alike.orderBy("a").toLocalIterator()) for t in r["a"]]
-    few = pd.DataFrame(held, columns=["group", "x", "successes", "trials", "n"])
-    rows = rates.toPandas()
+    rates = stored(tables.cycle_rates(facts.where(F.col("mode_id").isin(baseline, selected))), "cycle-rates")
+    told = rates.agg(F.countDistinct("mode_id").alias("modes"), F.sum("successes").alias("won"), F.sum("trials").alias("trials"), F.countDistinct("repo").alias("repos")).first()
     effect, var, repo = label, "Cycle random-effect variance", "Repository random-effect variance"
     columns = ["effect", "coefficient", "odds_ratio", "ci", "p"]
-    if rows["mode_id"].nunique() < 2 or not 0 < rows["successes"].sum() < rows["trials"].sum():
+    if told["modes"] < 2 or not 0 < told["won"] < told["trials"]:
         return pd.DataFrame([[x, None, None, None, None] for x in (effect, var, repo)], columns=columns)
-    group = rows["repo"] + "\0" + rows["cycle_id"]
-    x = (rows["mode_id"] == selected).astype(float).to_numpy()
-    own = (few["group"], few["successes"], few["trials"])
-    full = Glmm(*own, few["x"], weight=few["n"]).fit()
-    null = Glmm(*own, np.zeros((len(few), 0)), weight=few["n"]).fit()
+    x, cycle = F.col("mode_id") == selected, ["repo", "cycle_id"]
+    single = lambda x: stored(_alike(rates, x, cycle, []).select(F.array(F.struct("rows", "n")).alias("groups")), "model-units")
+    full, null = PooledGlmm(single([x]), 1).fit(), PooledGlmm(single([]), 0).fit()
     ratio, lo, hi = odds_ratio(full.p[1], full.se[1])
     own = [effect, round(full.p[1], 3), round(ratio, 3), f"{lo:.3f}--{hi:.3f}", format_p(lrt_p(full.ll, null.ll))]
     # robustness: the same model with a random intercept for each repository too
-    wide = round(Glmm(group, rows["successes"], rows["trials"], x, rows["repo"]).fit().outer_variance, 3) if rows["repo"].nunique() > 1 else None
+    wide = None
+    if told["repos"] > 1:
+        within = _alike(rates, [x], cycle, ["repo"]).groupBy("repo").agg(F.collect_list(F.struct("rows", "n")).alias("groups"))
+        wide = round(PooledGlmm(stored(within, "model-units"), 1, True).fit().outer_variance, 3)
     return pd.DataFrame([own, [var, round(full.variance, 3), None, None, None], [repo, wide, None, None, None]], columns=columns)
 
 
@@ -270,12 +353,14 @@ def single_factor_models(facts: DataFrame, selected: str, factors: dict[str, tup
     out = []
     for label, (column, log) in factors.items():
         own = zscore_log1p(facts.where(F.col(column).isNotNull()), column, log)
-        rows = own.groupBy("repo", "cycle_id", "mode_id").agg(F.sum("success").alias("w"), F.count("*").alias("t"), F.avg("z").alias("z")).toPandas()
+        sums = own.groupBy("repo", "cycle_id", "mode_id").agg(F.sum("success").alias("successes"), F.count("*").alias("trials"), F.avg("z").alias("z"))
+        sums = stored(sums, "factor-sums")
+        told = sums.agg(F.count(F.when(F.col("z").isNull(), 1)).alias("odd"), F.sum("successes").alias("won"), F.sum("trials").alias("trials")).first()
         try:
-            if rows["z"].isna().any() or not 0 < rows["w"].sum() < rows["t"].sum():
+            if told["odd"] or not told["won"] or not 0 < told["won"] < told["trials"]:
                 raise ValueError("nothing to fit")
-            x = np.column_stack([rows["z"], (rows["mode_id"] == selected).astype(float)])
-            m = Glmm(rows["repo"] + "\0" + rows["cycle_id"], rows["w"], rows["t"], x).fit()
+            groups = _alike(sums, [F.col("z"), F.col("mode_id") == selected], ["repo", "cycle_id"], [])
+            m = PooledGlmm(stored(groups.select(F.array(F.struct("rows", "n")).alias("groups")), "model-units"), 2).fit()
             ratio, lo, hi = odds_ratio(m.p[1], m.se[1])
             out.append([label, round(m.p[1], 3), round(ratio, 3), f"{lo:.3f}--{hi:.3f}"])
         except (ValueError, np.linalg.LinAlgError):

@@ -137,7 +137,12 @@ def paired_delta(spark, sf_dir):
 
 @register(Q, SQL)
 def bootstrap_ci(spark, sf_dir):
-    return stats.compare_modes(facts(spark, sf_dir), [("A vs R", "A", "R"), ("N vs R", "N", "R")])
+    """The comparisons that the modes at hand allow, under the names that modes have in plans."""
+    named = {BASELINE: "no_explain", SELECTED: "explain_E1_S1_noaux", "N": "explain_E0_S0_noaux"}
+    mode = F.coalesce(*[F.when(F.col("mode_id") == k, v) for k, v in named.items()], F.col("mode_id"))
+    own = facts(spark, sf_dir).withColumn("mode_id", mode)
+    modes = {r["mode_id"] for r in own.select("mode_id").distinct().collect()}  # three
+    return stats.compare_modes(own, stats.comparisons_of(modes))
 
 
 @register(Q, SQL)

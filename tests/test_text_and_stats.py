@@ -308,3 +308,39 @@ def test_archive(tmp_path):
 def test_jitter_is_bounded_and_steady():
     a = stats.bounded_jitter(3.0, 50, 0.2, 5)
     assert (a == stats.bounded_jitter(3.0, 50, 0.2, 5)).all() and a.min() >= 2.8 and a.max() <= 3.2 and len(set(a)) == 50
+
+
+def pooled(spark, cycle, won, trials, x, repo=None):
+    import pandas as pd
+
+    rows = pd.DataFrame({"cycle_id": cycle, "repo": cycle * 0 if repo is None else repo, "successes": won, "trials": trials, "x": x})
+    df = spark.createDataFrame(rows).repartition(5)
+    if repo is None:
+        groups = stats._alike(df, [F.col("x")], ["cycle_id"], []).select(F.array(F.struct("rows", "n")).alias("groups"))
+    else:
+        groups = stats._alike(df, [F.col("x")], ["repo", "cycle_id"], ["repo"]).groupBy("repo").agg(F.collect_list(F.struct("rows", "n")).alias("groups"))
+    return stats.PooledGlmm(stats.stored(groups, "units"), 1, repo is not None)
+
+
+def test_models_in_spark_equal_those_in_memory(spark):
+    rng = np.random.default_rng(6)
+    cycle, x = np.repeat(np.arange(4000), 2), np.tile([0.0, 1.0], 4000)
+    trials = rng.integers(1, 16, 8000)
+    won = rng.binomial(trials, 1 / (1 + np.exp(-(-0.7 + 0.5 * x + rng.normal(0, 1.1, 4000)[cycle]))))
+    a, b = pooled(spark, cycle, won, trials, x).fit(), stats.Glmm(cycle, won, trials, x).fit()
+    assert a.p == pytest.approx(b.p, abs=1e-6) and a.se == pytest.approx(b.se, abs=1e-4) and a.ll == pytest.approx(b.ll, rel=1e-9)
+    repo = np.repeat(np.arange(40), 200)
+    won = rng.binomial(trials, 1 / (1 + np.exp(-(0.4 * x + rng.normal(0, 0.8, 4000)[cycle] + rng.normal(0, 0.6, 40)[repo]))))
+    a, b = pooled(spark, cycle, won, trials, x, repo), stats.Glmm(cycle, won, trials, x, repo)
+    p = np.array([0.1, 0.3, -0.2, -0.6])
+    assert a.loglik(p) == pytest.approx(b.loglik(p), rel=1e-10)
+    assert a.fit().p == pytest.approx(b.fit().p, abs=1e-5)
+
+
+def test_models_of_nothing(spark):
+    empty = spark.createDataFrame([], f"groups array<struct<rows:{stats._ROWS},n:double>>")
+    assert stats.PooledGlmm(empty, 1).logliks([np.zeros(3), np.ones(3)]) == [0.0, 0.0]
+    cols = "repo string, cycle_id string, mode_id string, success int, f double"
+    same = spark.createDataFrame([("r", "c", "m", 0, 1.0), ("r", "c", "n", 1, 1.0)], cols)
+    assert stats.single_factor_models(same, "m", {"F": ("f", False)})["coefficient"].isna().all()
+    assert stats.configuration_model(same.limit(0), "m", "n")["coefficient"].isna().all()
