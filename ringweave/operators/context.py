@@ -194,8 +194,10 @@ def minimal_prompt(nodes: Column | str, language: Column | str) -> Column:
 VARIANTS = [(f"{a}{i}", kind, style) for a, kind in (("E", "edge"), ("S", "synthesizer")) for i, style in enumerate(("descriptive", "advisory", "directive"))]
 
 
-def require_variant(spark, variant: str) -> DataFrame:
-    got = [v for v in VARIANTS if v[0] == variant]
-    if not got:
-        raise ValueError(f"no such prompt variant: {variant}")
-    return spark.createDataFrame(got, "variant string, agent string, style string")
+def require_variants(units: DataFrame, columns: list[str]) -> DataFrame:
+    """variant, agent and style of the prompt variants that each unit names in ``columns``; an unknown one is an error."""
+    known = F.create_map(*[F.lit(x) for v, agent, style in VARIANTS for x in (v, f"{agent} {style}")])
+    named = units.select("*", F.explode(F.array(*columns)).alias("variant")).where("variant is not null")
+    found = F.try_element_at(known, F.col("variant"))
+    checked = F.when(found.isNull(), F.raise_error(F.concat(F.lit("no such prompt variant: "), "variant"))).otherwise(F.split(found, " "))
+    return named.withColumn("_v", checked).withColumns({"agent": F.col("_v")[0], "style": F.col("_v")[1]}).drop("_v", *columns)

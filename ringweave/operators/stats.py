@@ -50,9 +50,21 @@ def bootstrap_ci(values: np.ndarray, seed: int, n: int = 10_000, alpha: float =
     return float(np.quantile(means, alpha / 2)), float(np.quantile(means, 1 - alpha / 2))
 
 
-def bounded_jitter(center: float, n: int, width: float, seed: int) -> np.ndarray:
-    """``n`` places around ``center``, at most ``width`` away, the same for a seed in each run."""
-    return center + np.random.default_rng(seed).uniform(-width, width, n)
+def bounded_jitter(key: Column, center: Column, width: float, seed: int) -> Column:
+    """A place around ``center``, at most ``width`` away, that the seed and the row's key decide: the same in each run."""
+    share = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 15), 16, 10).cast("long").cast("double") / float(1 << 60)
+    return center.cast("double") + width * (2.0 * share - 1.0)
+
+
+def placeholders(facts: DataFrame, keys: list[str], baseline: str, selected: str, effects: list[str]) -> DataFrame:
+    """Typed rows in place of a model, for each group of runs (mode_id, success) that none can be fitted to: keys, effect,
+    coefficient and odds_ratio (null), p (n/a). Such a group lacks one of the modes, or a success, or a failure."""
+    won = F.col("success") == 1
+    of = lambda m: F.coalesce(F.bool_or(F.col("mode_id") == m), F.lit(False))
+    fits = of(baseline) & of(selected) & F.coalesce(F.bool_or(won), F.lit(False)) & F.coalesce(F.bool_or(~won), F.lit(False))
+    none = F.lit(None).cast("double")
+    odd = facts.where(F.col("mode_id").isin(baseline, selected)).groupBy(*keys).agg(fits.alias("_fits")).where("not _fits")
+    return odd.select(*keys, F.explode(F.array(*map(F.lit, effects))).alias("effect"), none.alias("coefficient"), none.alias("odds_ratio"), F.lit("n/a").alias("p"))
 
 
 def compare_modes(facts: DataFrame, comparisons: list[tuple[str, str, str]], resamples: int = 10_000) -> DataFrame:
@@ -219,22 +231,21 @@ class Glmm:
         p = np.zeros(k + 1 + nested)
         rate = (won + 0.5) / (trials + 1)
         p[0] = math.log(rate / (1 - rate))
+        f0, grad, hess = self._slopes(p)
         for _ in range(steps):
-            f0, grad, hess = self._slopes(p)
             values, vectors = np.linalg.eigh(-hess)
             step = vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-3))
             step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-            size = 1.0
-            while size > 1e-6:  # the first of four halvings that is no worse
-                better = [f >= f0 for f in self.logliks([p + size * step / 2**i for i in range(4)])]
-                if any(better):
-                    size /= 2 ** better.index(True)
+            while True:  # the place that a step leads to is looked at whole, so that a good one costs nothing further
+                to = np.clip(p + step, -30, 30)
+                f, g, h = self._slopes(to)
+                if f >= f0 or np.abs(step).max() < 1e-7:
                     break
-                size /= 16
-            p = np.clip(p + size * step, -30, 30)
-            if np.abs(size * step).max() < 1e-7:
+                step /= 2
+            gained, p, f0, grad, hess = f - f0, to, f, g, h
+            if gained < 1e-9 or np.abs(step).max() < 1e-7:  # a deviation that goes to zero gains less and less
                 break
-        self.p, (self.ll, _, hess) = p, self._slopes(p)
+        self.p, self.ll = p, f0
         cov = np.linalg.pinv(-hess)
         self.se = np.sqrt(np.maximum(np.diag(cov), 0))
         self.variance = math.exp(2 * p[k])
@@ -242,6 +253,8 @@ class Glmm:
         return self
 
 
+#: Distinct groups that one task adds up, at least.
+TASK_GROUPS = 20_000
 _ROWS = "array<struct<x:array<double>,won:double,trials:double>>"
 
 
@@ -275,7 +288,9 @@ class PooledGlmm(Glmm):
     def __init__(self, units: DataFrame, predictors: int, nested: bool = False):
         self.units, self.predictors, self.nested, self.base = units.select("groups"), predictors, nested, 0.0
         ship_package(units.sparkSession)
-        self.base, self.sum_won, self.sum_trials = self._sums(3, lambda m: [m._constant(), *m._totals()[1:3]])
+        self.base, self.sum_won, self.sum_trials, groups = self._sums(4, lambda m: [m._constant(), *m._totals()[1:3], len(m.names)])
+        # a job's tasks are as many as there is work for
+        self.units = self.units.coalesce(max(1, math.ceil(groups / TASK_GROUPS)))
 
     def _totals(self):
         return self.predictors + 1, self.sum_won, self.sum_trials, self.nested

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
+
 OUTCOMES = ("started", "ok", "failed", "skipped", "blocked")
 BLOCKED_EXIT = 42
 
@@ -85,6 +87,41 @@ def skipped_rows(units: DataFrame, branches: DataFrame, keys: list[str], phase:
     return gone.select(*keys, F.lit(phase).alias("phase"), F.lit("skipped").alias("outcome"), F.lit("missing_branch").alias("reason"))
 
 
-def deletable(branch: str, base: str, experiment: str) -> bool:
-    """Whether a refactoring branch may be deleted: it has the experiment's prefix and isn't the base."""
-    return branch != base and branch.startswith(f"atd-{experiment}-")
+def deletable(branch: Column | str, base: Column | str, experiment: Column | str) -> Column:
+    """Whether a refactoring branch may be deleted: it has the experiment's prefix and isn't the base; false if unknown."""
+    branch, base = E.col(branch), E.col(base)
+    return F.coalesce((branch != base) & F.startswith(branch, F.concat(F.lit("atd-"), E.col(experiment), F.lit("-"))), F.lit(False))
+
+
+def replay(outcomes: DataFrame, stop_on_blocked: bool = True) -> DataFrame:
+    """The log that phases leave whose units (unit, phase, ord, outcome, reason) are run in order: a started row and one of
+    the outcome for each, with seq counting on; nothing after a phase's first blocked unit, if it stops there.
+
+    The last unit that runs is a partial minimum by phase, so no phase is gathered or sorted. An unknown outcome is an error.
+    """
+    known = F.when(F.col("outcome").isin(*OUTCOMES), F.col("outcome")).otherwise(F.raise_error(F.concat(F.lit("no such outcome: "), F.coalesce("outcome", F.lit("null")))))
+    rows = outcomes.select("unit", "phase", "ord", known.alias("outcome"), "reason")
+    if stop_on_blocked:
+        first = rows.where("outcome = 'blocked'").groupBy("phase").agg(F.min("ord").alias("_first"))
+        rows = rows.join(first, "phase", "left").where("_first is null or ord <= _first")
+    pair = F.array(F.struct((F.col("ord") * 2).alias("seq"), F.lit("started").alias("outcome"), F.lit("").alias("reason")), F.struct((F.col("ord") * 2 + 1).alias("seq"), "outcome", "reason"))
+    return rows.select("unit", "phase", "ord", F.explode(pair).alias("s")).select("unit", "phase", "ord", "s.*")
+
+
+def digests(files: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and digest of what each unit has: SHA-256 over the paths and content digests of its files (path, text), in order.
+
+    Contents are digested where they lie; what comes together is a unit's paths and digests.
+    """
+    one = F.concat_ws(":", "path", F.coalesce(F.sha2("text", 256), F.lit("missing")))
+    return files.select(*keys, one.alias("_f")).groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_f")), ","), 256).alias("digest"))
+
+
+def unchanged(recorded: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
+    """Units (keys) whose recorded digests are all as they are now: what ``to_run`` takes as ``valid``.
+
+    recorded, now: keys, role (input or output) and digest. A role that has come or gone is a change.
+    """
+    both = recorded.select(*keys, "role", F.col("digest").alias("_was")).join(now.select(*keys, "role", F.col("digest").alias("_is")), [*keys, "role"], "full")
+    same = F.bool_and(F.col("_was").eqNullSafe(F.col("_is")) & F.col("_was").isNotNull())
+    return both.groupBy(*keys).agg(same.alias("_same")).where("_same").select(*keys)

@@ -183,10 +183,9 @@ def marker_offsets(spark, sf_dir):
     return own.select("c_custkey", F.array_join(F.transform("o", lambda x: F.coalesce(x.cast("string"), F.lit(""))), ";").alias("offsets"))
 
 
-@register(Q, SQL)
+@register(Q, SQL, "SELECT doc_id, round(doc_id % 5 + 0.25::DOUBLE * (2 * (('0x' || substr(md5('7|' || doc_id), 1, 15))::BIGINT::DOUBLE / 1152921504606846976::DOUBLE) - 1), 9) AS x FROM documents")
 def jitter(spark, sf_dir):
-    """Places of the 25 nations around their region's number."""
+    """Places of the documents around one of five centers."""
     from ..operators.stats import bounded_jitter
 
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")).orderBy("n_regionkey").collect()
-    return spark.createDataFrame([(r["n_regionkey"], i, float(x)) for r in rows for i, x in enumerate(bounded_jitter(r["n_regionkey"], r["n"], 0.25, 7))], "region long, place long, x double")
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(bounded_jitter(F.col("doc_id"), F.col("doc_id") % 5, 0.25, 7), 9).alias("x"))

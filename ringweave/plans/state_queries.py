@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..operators import context, csharp, planning, pyast, status, tables
+from ..operators import context, csharp, planning, pyast, stats, status, tables
 from ..session import fresh_path
 from ..sources import config, graphs, sinks
 from ..sources import text as S
@@ -62,25 +62,51 @@ def skipped_rows(spark, sf_dir):
     return status.skipped_rows(table(spark, sf_dir, "customer").select("c_custkey"), branches, ["c_custkey"], "metrics")
 
 
-@register(Q, SQL, """WITH n AS (SELECT n_name AS unit, row_number() OVER (ORDER BY n_name) - 1 AS ord FROM nation), b AS (SELECT min(ord) AS b FROM n WHERE ord % 9 = 8)
-SELECT unit, ord::BIGINT AS ord, CASE WHEN ord % 9 = 8 THEN 'blocked' WHEN ord % 2 = 0 THEN 'ok' ELSE 'failed' END AS outcome FROM n, b WHERE ord <= b""")
+def _outcomes(spark, sf_dir):
+    """What three phases would give for each conversation, in order; from half of a phase's units on some are blocked."""
+    talk = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
+    c = F.col("conv_id")
+    outcome = F.when((F.col("chars") % 97 == 0) & (c % 2 == 0), "blocked").when(F.col("turns") > 6, "failed").when(F.col("turns") == 1, "skipped").otherwise("ok")
+    return talk.select(c.alias("unit"), F.concat(F.lit("phase "), (c % 3).cast("string")).alias("phase"), c.alias("ord"), outcome.alias("outcome"), F.when(outcome == "blocked", "llm_unavailable").otherwise("").alias("reason"))
+
+
+@register(Q, SQL, """WITH t AS (SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars FROM conversations GROUP BY ALL),
+o AS (SELECT conv_id AS unit, 'phase ' || (conv_id % 3) AS phase, conv_id AS ord, CASE WHEN chars % 97 = 0 AND conv_id % 2 = 0 THEN 'blocked' WHEN turns > 6 THEN 'failed' WHEN turns = 1 THEN 'skipped' ELSE 'ok' END AS outcome FROM t),
+f AS (SELECT phase, min(ord) AS first FROM o WHERE outcome = 'blocked' GROUP BY ALL)
+SELECT unit, phase, ord, outcome, CASE WHEN outcome = 'blocked' THEN 'llm_unavailable' ELSE '' END AS reason FROM o LEFT JOIN f USING (phase) WHERE first IS NULL OR ord <= first""")
 def phase_run(spark, sf_dir):
-    """A phase over the 25 nations that writes its statuses as JSON lines and stops when blocked; the last of each unit, read back."""
-    units = [r["n_name"] for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]
-    place = {u: i for i, u in enumerate(units)}
-    log: list[dict] = []
-    status.run_phase(units, "explain", lambda u: ("blocked" if place[u] % 9 == 8 else "ok" if place[u] % 2 == 0 else "failed", "r"), log.append)
-    rows = [(r["unit"], r["phase"], r["ord"], i, r["outcome"]) for i, r in enumerate(log)]
-    path, schema = fresh_path(spark, "statuses"), "unit string, phase string, ord long, ts long, outcome string"
-    sinks.append_jsonl(spark.createDataFrame(rows[::2], schema), path)
-    sinks.append_jsonl(spark.createDataFrame(rows[1::2], schema), path)
-    return status.latest(S.read_jsonl(spark, path, schema), ["unit", "ord"], ["ts"], ["outcome"])
-
-
-@register(Q, SQL, "SELECT n_name, n_name <> 'main' AND starts_with('atd-e1-' || n_name, 'atd-e' || (1 + n_nationkey % 2) || '-') AS deletable FROM nation")
+    """Phases over the conversations that write their statuses as JSON lines and stop when blocked; the last of each unit, read back."""
+    log = status.replay(_outcomes(spark, sf_dir))
+    path = fresh_path(spark, "statuses")
+    sinks.append_jsonl(log.where("outcome = 'started'"), path)
+    sinks.append_jsonl(log.where("outcome <> 'started'"), path)
+    read = S.read_jsonl(spark, path, "unit long, phase string, ord long, seq long, outcome string, reason string")
+    return status.latest(read, ["unit", "phase", "ord"], ["seq"], ["outcome", "reason"])
+
+
+@register(Q, SQL, """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'main' ELSE 'atd-e' || (doc_id % 3) || '-' || lang || '-' || doc_id END AS branch,
+doc_id % 7 <> 0 AND starts_with('atd-e' || (doc_id % 3) || '-', 'atd-e' || (length(source) % 3) || '-') AS deletable FROM documents""")
 def deletable_branches(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()  # 25 of them
-    return spark.createDataFrame([(r["n_name"], status.deletable(f"atd-e1-{r['n_name']}", "main", f"e{1 + r['n_nationkey'] % 2}")) for r in rows], "n_name string, deletable boolean")
+    k = F.col("doc_id")
+    branch = F.when(k % 7 == 0, "main").otherwise(F.concat(F.lit("atd-e"), (k % 3).cast("string"), F.lit("-"), "lang", F.lit("-"), k.cast("string")))
+    experiment = F.concat(F.lit("e"), (F.length("source") % 3).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", branch.alias("branch"), status.deletable(branch, F.lit("main"), experiment).alias("deletable"))
+
+
+@register(Q, SQL, """WITH f AS (SELECT conv_id, turn, role, coalesce(text, '') AS was, CASE WHEN conv_id % 7 = 0 AND turn = 0 THEN text || '!' ELSE text END AS now, conv_id % 11 = 0 AND turn = max(turn) OVER (PARTITION BY conv_id) AS gone FROM conversations),
+u AS (SELECT conv_id, conv_id % 5 <> 0 AS ok, bool_or(gone) OR bool_or(was IS DISTINCT FROM now) AS touched FROM f GROUP BY ALL) SELECT conv_id FROM u WHERE NOT ok OR touched""")
+def resume_by_content(spark, sf_dir):
+    """Conversations as units, users' turns as their inputs and the others as outputs. Some have been edited since, some
+    have lost their last turn, and some had failed: those alone run again."""
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "input").otherwise("output").alias("role"), F.col("turn").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    edited = talk.withColumn("text", F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    last = talk.groupBy("conv_id").agg(F.max("turn").alias("turn")).where("conv_id % 11 = 0")
+    now = edited.join(last, ["conv_id", "turn"], "left_anti")
+    keys = ["conv_id", "role"]
+    valid = status.unchanged(status.digests(talk, keys), status.digests(now, keys), ["conv_id"])
+    units = talk.select("conv_id").distinct()
+    log = units.select("conv_id", F.lit("explain").alias("phase"), F.lit(1).alias("ts"), F.when(F.col("conv_id") % 5 == 0, "failed").otherwise("ok").alias("outcome"))
+    return status.to_run(units, log, ["conv_id"], "explain", valid)
 
 
 @register(Q, SQL, """WITH m AS (SELECT mode_id, row_number() OVER (ORDER BY mode_id) - 1 AS mode_ord FROM (SELECT DISTINCT c_mktsegment AS mode_id FROM customer)), c AS (SELECT n_name, n_nationkey FROM nation)
@@ -184,9 +210,13 @@ def usage_summary(spark, sf_dir):
     return S.read_jsonl(spark, path, "segment string, prompt_tokens long")
 
 
-@register(Q, SQL, "SELECT 'configuration' AS effect, NULL::DOUBLE AS coefficient, 'n/a' AS p")
+@register(Q, SQL, """WITH g AS (SELECT source, doc_id // 40 AS block, bool_or(lang = 'en') AND bool_or(lang = 'fr') AND bool_or(quality = 1) AND bool_or(quality <> 1) AS fits FROM documents JOIN labels USING (doc_id) WHERE lang IN ('en', 'fr') GROUP BY ALL)
+SELECT source, block, unnest(['Configuration', 'Cycle random-effect variance']) AS effect, NULL::DOUBLE AS coefficient, NULL::DOUBLE AS odds_ratio, 'n/a' AS p FROM g WHERE NOT fits""")
 def placeholder_rows(spark, sf_dir):
-    return sinks.placeholder(spark, "effect string, coefficient double, p string", [("configuration", None, "n/a")])
+    """Labelled documents of two languages as runs of two modes, in groups by source and block."""
+    runs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    facts = runs.select("source", F.expr("doc_id div 40").alias("block"), F.col("lang").alias("mode_id"), F.col("quality").alias("success"))
+    return stats.placeholders(facts, ["source", "block"], "en", "fr", ["Configuration", "Cycle random-effect variance"])
 
 
 @register(Q, SQL, """WITH p AS (SELECT p_brand AS repo, CASE WHEN p_partkey % 3 = 0 THEN 'a/' || p_type || '.csproj' WHEN p_partkey % 7 = 0 THEN p_name || '.SLN' ELSE p_name || '.cs' END AS path FROM part),
@@ -284,9 +314,14 @@ def minimal_prompts(spark, sf_dir):
     return n.select("n_name", context.minimal_prompt(F.array("n_name", F.lit("x")), F.when(F.col("n_nationkey") % 2 == 0, "python").otherwise("csharp")).alias("prompt"))
 
 
-@register(Q, SQL, "SELECT * FROM (VALUES ('E1', 'edge', 'advisory'), ('S2', 'synthesizer', 'directive')) AS v(variant, agent, style)")
+@register(Q, SQL, """WITH u AS (SELECT DISTINCT conv_id, unnest(['E' || (conv_id % 3), CASE WHEN conv_id % 4 > 0 THEN 'S' || (conv_id // 3 % 3) END]) AS variant FROM conversations)
+SELECT conv_id, variant, CASE left(variant, 1) WHEN 'E' THEN 'edge' ELSE 'synthesizer' END AS agent, CASE right(variant, 1) WHEN '0' THEN 'descriptive' WHEN '1' THEN 'advisory' ELSE 'directive' END AS style FROM u WHERE variant IS NOT NULL""")
 def prompt_variants(spark, sf_dir):
-    return context.require_variant(spark, "E1").unionByName(context.require_variant(spark, "S2"))
+    """The variants that conversations' names ask of the edge and, mostly, of the synthesizer agent."""
+    c = F.col("conv_id")
+    own = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    named = own.select(c, F.concat(F.lit("E"), (c % 3).cast("string")).alias("edge"), F.when(c % 4 > 0, F.concat(F.lit("S"), (F.expr("conv_id div 3") % 3).cast("string"))).alias("synthesizer"))
+    return context.require_variants(named, ["edge", "synthesizer"])
 
 
 @register(Q, SQL, """WITH RECURSIVE c AS (SELECT conv_id, list(ceil(length(coalesce(text, '')) / 3.0::DOUBLE)::BIGINT ORDER BY turn) AS w FROM conversations GROUP BY ALL),

@@ -221,8 +221,3 @@ def archive_raw(folder: str) -> list[str]:
         own = os.path.join(folder, n)
         shutil.rmtree(own) if os.path.isdir(own) and not os.path.islink(own) else os.remove(own)
     return names
-
-
-def placeholder(spark, schema: str, rows: list[tuple]) -> DataFrame:
-    """Typed rows that stand in where a model could not run."""
-    return spark.createDataFrame(rows, schema)

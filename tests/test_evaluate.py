@@ -135,6 +135,19 @@ def test_resume_and_gates(spark):
     done = []
     rows = status.run_phase(["a", "b", "c"], "x", lambda u: ("blocked" if u == "b" else "ok", ""), done.append)
     assert [r["outcome"] for r in rows] == ["ok", "blocked"] and len(done) == 4
+    ran = spark.createDataFrame([("a", "p", 0, "ok", ""), ("b", "p", 1, "blocked", "llm"), ("c", "p", 2, "ok", ""), ("a", "q", 0, "failed", "x")], "unit string, phase string, ord int, outcome string, reason string")
+    assert sorted(tuple(r) for r in status.replay(ran).collect()) == [
+        ("a", "p", 0, 0, "started", ""), ("a", "p", 0, 1, "ok", ""), ("a", "q", 0, 0, "started", ""), ("a", "q", 0, 1, "failed", "x"), ("b", "p", 1, 2, "started", ""), ("b", "p", 1, 3, "blocked", "llm"),
+    ]
+    assert status.replay(ran, stop_on_blocked=False).count() == 8
+    with pytest.raises(Exception, match="no such outcome"):
+        status.replay(ran.withColumn("outcome", F.lit("odd"))).collect()
+    files = lambda *rows: status.digests(spark.createDataFrame(rows, "u string, role string, path string, text string"), ["u", "role"])
+    then = files(("a", "input", "x", "1"), ("a", "output", "y", "2"), ("b", "input", "x", "1"), ("c", "input", "x", None), ("d", "input", "x", "1"))
+    now = files(("a", "output", "y", "2"), ("a", "input", "x", "1"), ("b", "input", "x", "1"), ("b", "output", "z", "3"), ("c", "input", "x", None), ("d", "input", "x", "1 "))
+    assert {r["u"] for r in status.unchanged(then, now, ["u"]).collect()} == {"a", "c"}
+    names = spark.createDataFrame([("main", "e"), ("atd-e-x", "e"), ("atd-f-x", "e"), (None, "e")], "b string, x string")
+    assert [r["d"] for r in names.select(status.deletable("b", F.lit("main"), "x").alias("d")).collect()] == [False, True, False, False]
     snap = lambda rows: spark.createDataFrame(rows, "u string, outcome string, mtime int")
     got = status.resume_violations(snap([("a", "ok", 1), ("b", "failed", 1), ("c", "ok", 1)]), snap([("a", "ok", 1), ("b", "ok", 1), ("c", "ok", 2)]), ["u"])
     assert {(r["u"], r["violation"]) for r in got.collect()} == {("b", "not run"), ("c", "touched")}

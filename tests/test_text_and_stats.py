@@ -253,9 +253,10 @@ def test_prompts(spark):
     e = spark.createDataFrame([("a.py", "b.py", "x", "y", 100)], "src string, dst string, src_text string, dst_text string, budget int")
     assert "Edge: a.py -> b.py" in context.edge_prompt(e, F.lit("s"), "budget").first()["prompt"]
     assert one(spark, context.minimal_prompt(F.array(F.lit("a"), F.lit("b")), F.lit("python")))[0].endswith(E.EXPLANATION_ANCHOR)
-    assert context.require_variant(spark, "E1").first()["style"] == "advisory"
-    with pytest.raises(ValueError):
-        context.require_variant(spark, "E7")
+    units = spark.createDataFrame([("u", "E1", None), ("v", "E0", "S2")], "u string, e string, s string")
+    assert sorted(tuple(r) for r in context.require_variants(units, ["e", "s"]).collect()) == [("u", "E1", "edge", "advisory"), ("v", "E0", "edge", "descriptive"), ("v", "S2", "synthesizer", "directive")]
+    with pytest.raises(Exception, match="no such prompt variant"):
+        context.require_variants(units.withColumn("e", F.lit("E7")), ["e"]).collect()
 
 
 def test_csharp_scan():
@@ -305,9 +306,12 @@ def test_archive(tmp_path):
         assert t.extractfile("d/x.xml").read() == b"<x/>"
 
 
-def test_jitter_is_bounded_and_steady():
-    a = stats.bounded_jitter(3.0, 50, 0.2, 5)
-    assert (a == stats.bounded_jitter(3.0, 50, 0.2, 5)).all() and a.min() >= 2.8 and a.max() <= 3.2 and len(set(a)) == 50
+def test_jitter_is_bounded_and_steady(spark):
+    rows = spark.range(50).withColumn("c", F.lit(3.0))
+    draw = lambda seed, n: {r["id"]: r["x"] for r in rows.repartition(n).select("id", stats.bounded_jitter(F.col("id"), F.col("c"), 0.2, seed).alias("x")).collect()}
+    a = draw(5, 1)
+    assert a == draw(5, 4) != draw(6, 1)
+    assert min(a.values()) >= 2.8 and max(a.values()) <= 3.2 and len(set(a.values())) == 50
 
 
 def pooled(spark, cycle, won, trials, x, repo=None):
