@@ -145,6 +145,28 @@ def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS, done:
     return out
 
 
+def _forest(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (a, b) in each cell those that span its groups, by least names first: so cells in which the same ones
+    meet give the same links."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    keep = np.zeros(len(cell), bool)
+    now, up = None, {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    for k in np.lexsort((high, low, cell)).tolist():
+        if cell[k] != now:
+            now, up = cell[k], {}
+        x, y = root(int(low[k])), root(int(high[k]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep[k] = True
+    return low[keep], high[keep]
+
+
 _KEYED = pa.schema([("doc_id", pa.int64()), ("f", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -235,19 +257,31 @@ def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         size = ends - starts
         few = (size > 1) & (size <= 32) & (residents > 0) & (not done)
         end_of, in_few = np.repeat(ends, size), np.repeat(few, size)
+        met_i, met_j = [], []
         for shift in range(1, 32):
             i = np.flatnonzero(in_few & (np.arange(len(own)) + shift < end_of))
             if not len(i):
                 break
             j = i + shift
             near = (_bits_apart([w[i] ^ w[j] for w in u]) <= max_bits) & ~(asks[i] & asks[j])
-            a.append(rep[i[near]])
-            b.append(rep[j[near]])
+            met_i.append(i[near])
+            met_j.append(j[near])
+        if met_i:
+            i, j = np.concatenate(met_i), np.concatenate(met_j)
+            at = np.repeat(np.arange(len(size)), size)[i]
+            rich = np.bincount(at, minlength=len(size)) >= size  # more links than a forest has
+            thin = ~rich[at]
+            a.append(rep[i[thin]])
+            b.append(rep[j[thin]])
+            got = _forest(at[~thin], rep[i[~thin]], rep[j[~thin]])
+            a.append(got[0])
+            b.append(got[1])
         more = (size > 1) & ~few & (residents > 0)
         for s, e in zip(starts[more].tolist(), ends[more].tolist()):
-            got = np.array(cell_links(np.stack([w[s:e] for w in u], axis=1), asks[s:e], max_bits, done), dtype=np.int64).reshape(-1, 2)
-            a.append(rep[s:e][got[:, 0]])
-            b.append(rep[s:e][got[:, 1]])
+            order = s + np.argsort(rep[s:e], kind="stable")
+            got = np.array(cell_links(np.stack([w[order] for w in u], axis=1), asks[order], max_bits, done), dtype=np.int64).reshape(-1, 2)
+            a.append(rep[order][got[:, 0]])
+            b.append(rep[order][got[:, 1]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if len(a):
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
