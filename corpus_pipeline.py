@@ -16,7 +16,7 @@ from ringweave.llm.decontaminate import drop_contaminated
 from ringweave.llm.packing import pack_documents
 from ringweave.llm.quality_rules import judge_documents
 from ringweave.llm.simhash import similar_documents
-from ringweave.session import stored
+from ringweave.session import drop_stored, stored
 
 CAPACITY = 2048
 
@@ -96,8 +96,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again; what a stage has read is deleted once it is through."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        drop_stored(before)
     return docs
