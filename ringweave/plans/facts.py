@@ -120,7 +120,7 @@ def trade_edges(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
 
 
 def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph of users: from the user of an event to that of the next purchase event in time."""
+    """A graph of users: from the user of a purchase to that of the next purchase of the same day."""
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
