@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .quantiles import LARGE, exact_quantiles
 
 #: Fixed values.
 HEADERS = {
@@ -154,15 +155,27 @@ def _iqr(c: str) -> Column:
     return F.round(q[1] - q[0], 6)
 
 
-def edit_footprint(facts: DataFrame) -> DataFrame:
-    """Median and interquartile range of edits, exact and linear between values; modes without edits keep nulls."""
-    return facts.groupBy("mode_id").agg(
-        F.median("files_modified").alias("median_files"),
-        _iqr("files_modified").alias("iqr_files"),
-        F.median("chars_changed").alias("median_chars"),
-        _iqr("chars_changed").alias("iqr_chars"),
-        F.median(F.when(flag("success"), F.col("chars_changed"))).alias("median_chars_success"),
-    )
+def edit_footprint(facts: DataFrame, most: int = LARGE) -> DataFrame:
+    """Median and interquartile range of edits, exact and linear between values; modes without edits keep nulls.
+
+    Modes of over ``most`` runs are selected from in rounds (``quantiles``), so that no task holds their distinct values.
+    """
+    won = F.when(flag("success"), F.col("chars_changed"))
+    if facts.groupBy("mode_id").agg(F.count("*").alias("n")).where(F.col("n") > most).isEmpty():
+        return facts.groupBy("mode_id").agg(
+            F.median("files_modified").alias("median_files"), _iqr("files_modified").alias("iqr_files"), F.median("chars_changed").alias("median_chars"),
+            _iqr("chars_changed").alias("iqr_chars"), F.median(won).alias("median_chars_success"),
+        )
+    measures = {"files": F.col("files_modified"), "chars": F.col("chars_changed"), "won": won}
+    each = F.array(*[F.struct(F.lit(k).alias("measure"), c.cast("double").alias("v")) for k, c in measures.items()])
+    long = facts.select("mode_id", F.explode(each).alias("x")).select("mode_id", "x.*")
+    q = exact_quantiles(long, ["mode_id", "measure"], [0.25, 0.5, 0.75], most)
+    of = lambda k, i: F.max(F.when(F.col("measure") == k, F.col("q")[i]))
+    got = q.groupBy("mode_id").agg(
+        of("files", 1).alias("median_files"), F.round(of("files", 2) - of("files", 0), 6).alias("iqr_files"), of("chars", 1).alias("median_chars"),
+        F.round(of("chars", 2) - of("chars", 0), 6).alias("iqr_chars"), of("won", 1).alias("median_chars_success"),
+    )
+    return facts.select("mode_id").distinct().join(got, "mode_id", "left")
 
 
 def explanation_length(facts: DataFrame) -> DataFrame:
@@ -270,11 +283,11 @@ def difficulty_bins(rates: DataFrame, baseline: str, selected: str) -> DataFrame
     )
 
 
-def characterise(rows: DataFrame, split: str, columns: list[str], digits: int = 2) -> DataFrame:
-    """Count, quartiles and range of each column in each split, and as formatted texts."""
+def characterise(rows: DataFrame, split: str, columns: list[str], digits: int = 2, most: int = LARGE) -> DataFrame:
+    """Count, quartiles and range of each column in each split, and as formatted texts; exact at any size (``quantiles``)."""
     long = rows.select(split, F.explode(F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(split, "x.property", "x.v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = long.where("v is not null").groupBy("property", split).agg(F.count("*").alias("n"), q.alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = exact_quantiles(long, ["property", split], [0.0, 0.25, 0.5, 0.75, 1.0], most)
+    got = ends.select("property", split, "n", F.slice("q", 2, 3).alias("q"), F.col("q")[0].alias("lo"), F.col("q")[4].alias("hi"))
     r = lambda c: F.round(c, digits)
     return got.select(
         "property", split, "n", r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("med"), r(F.col("q")[2]).alias("q3"), r(F.col("lo")).alias("lo"), r(F.col("hi")).alias("hi")
