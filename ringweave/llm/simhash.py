@@ -145,11 +145,12 @@ def cell_links(f: np.ndarray, asks: np.ndarray, max_bits: int = MAX_BITS, done:
     return out
 
 
-def _forest(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links (a, b) in each cell those that span its groups, by least names first: so cells in which the same ones
-    meet give the same links."""
+def _stars(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the links (a, b) in each cell those of each group's least name with its others: cells in which much the same
+    ones meet give the same links."""
     low, high = np.minimum(a, b), np.maximum(a, b)
-    keep = np.zeros(len(cell), bool)
+    least: list[int] = []
+    other: list[int] = []
     now, up = None, {}
 
     def root(x: int) -> int:
@@ -157,14 +158,21 @@ def _forest(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
             up[x] = x = up.get(up[x], up[x])
         return x
 
-    for k in np.lexsort((high, low, cell)).tolist():
-        if cell[k] != now:
-            now, up = cell[k], {}
-        x, y = root(int(low[k])), root(int(high[k]))
+    def done() -> None:
+        for x in up:
+            if (r := root(x)) != x:
+                least.append(r)
+                other.append(x)
+
+    for c, x, y in sorted(zip(cell.tolist(), low.tolist(), high.tolist())):
+        if c != now:
+            done()
+            now, up = c, {}
+        x, y = root(x), root(y)
         if x != y:
             up[max(x, y)] = min(x, y)
-            keep[k] = True
-    return low[keep], high[keep]
+    done()
+    return np.array(least, np.int64), np.array(other, np.int64)
 
 
 _KEYED = pa.schema([("doc_id", pa.int64()), ("f", pa.int64())])
@@ -273,15 +281,16 @@ def near_links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             thin = ~rich[at]
             a.append(rep[i[thin]])
             b.append(rep[j[thin]])
-            got = _forest(at[~thin], rep[i[~thin]], rep[j[~thin]])
+            got = _stars(at[~thin], rep[i[~thin]], rep[j[~thin]])
             a.append(got[0])
             b.append(got[1])
         more = (size > 1) & ~few & (residents > 0)
         for s, e in zip(starts[more].tolist(), ends[more].tolist()):
             order = s + np.argsort(rep[s:e], kind="stable")
             got = np.array(cell_links(np.stack([w[order] for w in u], axis=1), asks[order], max_bits, done), dtype=np.int64).reshape(-1, 2)
-            a.append(rep[order][got[:, 0]])
-            b.append(rep[order][got[:, 1]])
+            got = _stars(np.zeros(len(got), np.int64), rep[order][got[:, 0]], rep[order][got[:, 1]])
+            a.append(got[0])
+            b.append(got[1])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if len(a):
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
