@@ -45,10 +45,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good.
 
-    It learns from the labelled rows of ``documents`` and not of ``docs``: the rules before have taken most bad ones
-    away. With no labels of one of the classes nothing is told apart and nothing rejected.
+    It learns from the labelled rows of ``docs``, cleaned as those it judges: the table that they come from may be gone
+    by now. Labels of rows that are gone don't count in the odds of a class either. With no labels of one of the classes
+    nothing is told apart and nothing rejected.
     """
-    model = quality_model.learn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    labels = _table(spark, sf_dir, "labels").join(docs.select("doc_id"), "doc_id", "left_semi")
+    model = quality_model.learn(docs, labels)
     scored = quality_model.score_documents(docs, model).where("predicted = 1")
     return scored.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 

@@ -32,6 +32,15 @@ def test_stages(spark, sf):
     assert set(packed.doc_id) == set(clean.doc_id) and packed.groupby("sequence_id").length.sum().max() <= cp.CAPACITY
 
 
+def test_stages_read_documents_only_as_docs(spark, sf, tmp_path):
+    for name in ("labels", "benchmark"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in cp.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)), name)
+    assert docs.count() > 0
+
+
 def test_run_is_all_stages(spark, sf):
     got = cp.run(spark, sf)
     assert got.count() > 0 and "sequence_id" in got.columns
