@@ -389,14 +389,18 @@ def pack_edge_disjoint(cycles: DataFrame, max_keep: int = 200, most: int = PACKE
     """Of each component the cycles taken greedily, longest, then highest mean rank, then last node list first, so
     that no edge is in two: ``cycles`` with place (from 0).
 
+    Means are compared by their first 12 digits. Nodes of equal rank make means that differ only in how their sums were
+    rounded, which follows from the order of rows; these count as equal, and the node list decides.
+
     A component of at most ``most`` cycles is one task's; larger ones are packed in rounds. Both give the same rows.
     """
     import pyspark.sql.types as T
 
     schema = T.StructType([*cycles.schema.fields, T.StructField("place", T.IntegerType())])
+    cycles = cycles.withColumn("_mean", F.format_string("%.11e", "pagerank_avg").cast("double"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["length"], pdf["pagerank_avg"], map(tuple, pdf["nodes"])))
+        rows = list(zip(pdf["length"], pdf["_mean"], map(tuple, pdf["nodes"])))
         used, kept = set(), []
         for i in sorted(range(len(rows)), key=rows.__getitem__, reverse=True):
             nodes = rows[i][2]
@@ -407,7 +411,7 @@ def pack_edge_disjoint(cycles: DataFrame, max_keep: int = 200, most: int = PACKE
             kept.append(i)
             if max_keep > 0 and len(kept) >= max_keep:
                 break
-        return pdf.iloc[kept].assign(place=np.arange(len(kept), dtype="int32"))
+        return pdf.iloc[kept].drop(columns="_mean").assign(place=np.arange(len(kept), dtype="int32"))
 
     own = ["graph_id", "comp"]
     sizes = cycles.groupBy(*own).agg(F.count("*").alias("n"))
@@ -422,7 +426,7 @@ def _pack_rounds(cycles: DataFrame, max_keep: int) -> DataFrame:
     """Greedy packing without an order of steps: in each round every cycle is taken that comes first on all of its edges,
     and those that share an edge with one taken leave. What is taken is what the greedy choice takes: a cycle that comes
     first on its edges has no earlier rival left. Each round is written to the shared folder."""
-    own, order = ["graph_id", "comp"], F.struct("length", "pagerank_avg", "nodes").alias("rank")
+    own, order = ["graph_id", "comp"], F.struct("length", "_mean", "nodes").alias("rank")
     ends = F.explode(E.cycle_edges("rank.nodes")).alias("e")
     live = stored(cycles.select(*own, order), "pack-live")
     taken = None
