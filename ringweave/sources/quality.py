@@ -12,11 +12,15 @@ COUNTS = ("tests", "failures", "errors", "skipped")
 _XML = "^\\s*(<\\?xml[^>]*>)?\\s*<"
 
 
+def _bare(xml: Column) -> Column:
+    """XML without its declaration and namespaces."""
+    return F.regexp_replace(F.regexp_replace(xml, "^\\s*<\\?xml[^>]*>", ""), "\\sxmlns(:\\w+)?=\"[^\"]*\"", "")
+
+
 def _attr(xml: Column, path: str) -> Column:
     """A sum or number in an XML text, 0 where there is none; nothing is parsed that isn't XML."""
     ok = xml.isNotNull() & xml.rlike(_XML)
-    bare = F.regexp_replace(F.regexp_replace(xml, "^\\s*<\\?xml[^>]*>", ""), "\\sxmlns(:\\w+)?=\"[^\"]*\"", "")
-    return F.when(ok, F.coalesce(F.xpath_number(bare, F.lit(path)), F.lit(0.0)))
+    return F.when(ok, F.coalesce(F.xpath_number(_bare(xml), F.lit(path)), F.lit(0.0)))
 
 
 def _long(x: Column) -> Column:
@@ -26,7 +30,13 @@ def _long(x: Column) -> Column:
 def junit_counts(xml: Column | str) -> Column:
     """Counts of all test suites, nested ones too; zeros for a missing or odd file."""
     x = E.col(xml)
-    return F.struct(*[_long(_attr(x, f"sum(//testsuite/@{c})")).alias(c) for c in COUNTS])
+    ok = x.isNotNull() & x.rlike(_XML)
+    # one path for all sums, as each call parses the text
+    sums = F.xpath_string(_bare(x), F.lit("concat(" + ", ' ', ".join(f"sum(//testsuite/@{c})" for c in COUNTS) + ")"))
+    none = F.array(*[F.lit("0")] * len(COUNTS))
+    # what a lambda is given is worked out once
+    one = F.transform(F.array(F.coalesce(F.when(ok, F.split(sums, " ")), none)), lambda n: F.struct(*[_long(n[i].cast("double")).alias(c) for i, c in enumerate(COUNTS)]))
+    return one[0]
 
 
 def trial_counts(log: Column | str) -> Column:
