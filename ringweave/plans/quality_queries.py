@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import evaluate
+from ..session import spread
 from ..sources import quality, runs, sinks
 from .facts import register, table
 
@@ -26,7 +27,7 @@ def _nation():
 
 
 def _customers(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
 
 
 @register(Q, SQL, """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 4 THEN round_even((c_custkey % 10000 / 10000.0::DOUBLE) * 100, 2) END AS pct FROM customer""")
