@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import tables
 from ..sources import text as S
+from ..session import spread
 from .facts import BASELINE, FACTS_SQL, SELECTED, facts, register, table
 
 Q: dict = {}
@@ -179,7 +180,7 @@ def marker_offsets(spark, sf_dir):
     k = F.col("c_custkey") % 3
     row = lambda *v: F.array(*[F.lit(x).cast("double") for x in v])
     values = F.when(k == 0, row(10, 20, 10.04, None, None)).when(k == 1, row(7, 7.05, 6.96, 9, None)).otherwise(row(1, 1, 2, 2, 3))
-    own = table(spark, sf_dir, "customer").select("c_custkey", E.marker_offsets(values).alias("o"))
+    own = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", E.marker_offsets(values).alias("o"))
     return own.select("c_custkey", F.array_join(F.transform("o", lambda x: F.coalesce(x.cast("string"), F.lit(""))), ";").alias("offsets"))
 
 
