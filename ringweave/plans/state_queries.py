@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import context, csharp, planning, pyast, stats, status, tables
-from ..session import fresh_path
+from ..session import fresh_path, spread
 from ..sources import config, graphs, sinks
 from ..sources import text as S
 from .facts import register, sql_pct, table
@@ -385,5 +385,6 @@ def csharp_graph(spark, sf_dir):
         lit("\n  public sealed class C"), n(0), lit("\n  {\n    System.Collections.Generic.List<C"), n(1), lit("> x; /* new C"), n(5), lit(" */ string s = \"C"), n(5), lit("\";\n    N2.C"), n(2), lit(" y; [C"), n(3),
         lit("] int q; void F() { other.C"), n(5), lit(".G(); }\n"), F.when(k % 2 == 0, "    Q z;\n").otherwise(""), lit("  }\n}\n"),
     )
-    files = table(spark, sf_dir, "part").select(lit("g").alias("graph_id"), F.concat(lit("src/P"), n(0), lit(".cs")).alias("path"), text.alias("text"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    files = parts.select(lit("g").alias("graph_id"), F.concat(lit("src/P"), n(0), lit(".cs")).alias("path"), text.alias("text"))
     return csharp.type_graph(files)
