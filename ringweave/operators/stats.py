@@ -106,6 +106,10 @@ def _nodes(k: int = 15) -> tuple[np.ndarray, np.ndarray]:
     return x, w / w.sum()
 
 
+#: Part of a sum of likelihoods that its rounding may take; less isn't told from nothing, however many groups it adds up.
+NOISE = 1e-12
+
+
 class Glmm:
     """Binomial model with a normal random intercept for each group, fitted by maximum likelihood.
 
@@ -189,7 +193,7 @@ class Glmm:
             while True:
                 new_u, new_v = u + size * step_u, v + size * step_v
                 new_eta, new = value(new_u, new_v)
-                if new >= now - 1e-12 or size < 1e-6:
+                if new >= now - NOISE * max(1.0, abs(now)) or size < 1e-6:
                     break
                 size /= 2
             u, v, eta, now = new_u, new_v, new_eta, new
@@ -239,11 +243,11 @@ class Glmm:
             while True:  # the place that a step leads to is looked at whole, so that a good one costs nothing further
                 to = np.clip(p + step, -30, 30)
                 f, g, h = self._slopes(to)
-                if f >= f0 or np.abs(step).max() < 1e-7:
+                if f >= f0 - NOISE * abs(f0) or np.abs(step).max() < 1e-7:
                     break
                 step /= 2
             gained, p, f0, grad, hess = f - f0, to, f, g, h
-            if gained < 1e-9 or np.abs(step).max() < 1e-7:  # a deviation that goes to zero gains less and less
+            if gained < max(1e-9, NOISE * abs(f0)) or np.abs(step).max() < 1e-7:  # a deviation that goes to zero gains less and less
                 break
         self.p, self.ll = p, f0
         cov = np.linalg.pinv(-hess)
@@ -254,7 +258,7 @@ class Glmm:
 
 
 #: Distinct groups that one task adds up, at least.
-TASK_GROUPS = 20_000
+TASK_GROUPS = 2_000
 _ROWS = "array<struct<x:array<double>,won:double,trials:double>>"
 
 
