@@ -197,6 +197,13 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("row", pa.int64())])
 
 
+def _longs(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """Rows of longs as a table. Arrow goes to the JVM as it is; of rows in a list Python workers make tuples first, which
+    then stay beside those that hold the encoders."""
+    columns = np.array(rows, dtype=np.int64).reshape(-1, len(names)).T
+    return spark.createDataFrame(pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=names))
+
+
 def pack_documents(
     docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0, carry: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -213,10 +220,8 @@ def pack_documents(
     # at most a row for each size
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = make_plan(counts, capacity)
-    places = spark.createDataFrame(
-        plan.rows, "length long, first long, n long, bin0 long, per_bin long, at long"
-    )
-    sizes = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, _buckets long")
+    places = _longs(spark, plan.rows, ["length", "first", "n", "bin0", "per_bin", "at"])
+    sizes = _longs(spark, [(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], ["length", "_buckets"])
     carry = {"ids": F.col("ids")} if carry is None else carry
     own = pieces.select(
         "doc_id", "piece", "start", "length", *[c.alias(name) for name, c in carry.items()], F.col("row").alias("_tie")

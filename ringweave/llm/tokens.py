@@ -197,8 +197,9 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def bounded(texts: list[str], chars: int = 2_000_000):
-    """Slices of ``texts`` of about so many characters, so that what is held at once has a bound."""
+def bounded(texts: list[str], chars: int = 500_000):
+    """Slices of ``texts`` of about so many characters, so that what is held at once has a bound: a piece of five
+    characters is a string of some 60 bytes."""
     at, n = 0, 0
     for i, t in enumerate(texts):
         n += len(t)

@@ -241,6 +241,51 @@ def test_packed_documents(spark, sf):
     assert got.sequence_id.nunique() <= 1.01 * -(-got.length.sum() // 2048) + 1
 
 
+def test_encoder_splits_little_at_once(monkeypatch):
+    """What is split into pieces at once is bounded, however large a batch is."""
+    enc, seen = tokens.encoder(tokens.default_path()), []
+    own = enc.pieces
+    monkeypatch.setattr(enc, "pieces", lambda texts: seen.append(sum(map(len, texts))) or own(texts))
+    texts = ["some words of a text " * 1000] * 100
+    got = enc.encode(texts)
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= 600_000
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == [ids(texts[0])] * 100
+
+
+def test_plan_needs_no_python_workers(spark, monkeypatch):
+    """Rows of the plan reach Spark as Arrow: no further Python workers stand beside those with the encoders."""
+
+    def refuse(*a, **b):
+        raise AssertionError("rows go through Python workers")
+
+    docs = spark.createDataFrame([(k, "a few words " * (k % 9)) for k in range(200)], "doc_id long, text string").cache()
+    docs.count()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    rows = packing.pack_documents(docs, 16).collect()
+    monkeypatch.undo()
+    assert {r["doc_id"] for r in rows} == set(range(200))
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    for (s, at, n), (t, to, _) in zip(places, places[1:]):
+        assert to == (at + n if s == t else 0)
+    assert all(at + n <= 16 for _, at, n in places)
+    assert packing.pack_documents(docs.limit(0), 16).collect() == []
+
+
+def test_arrow_batches_are_small(spark):
+    from ringweave.session import BATCH, ship_package
+
+    before = spark.conf.get(BATCH[0])
+    try:
+        spark.conf.set(BATCH[0], "64m")
+        ship_package(spark)
+        assert int(spark.conf.get(BATCH[0])) <= 4 << 20
+        spark.conf.set(BATCH[0], "1m")
+        ship_package(spark)
+        assert spark.conf.get(BATCH[0]) == "1m"
+    finally:
+        spark.conf.set(BATCH[0], before)
+
+
 def test_packing_odd_rows_and_by_join(odd, monkeypatch):
     for rows in (packing.PLAN_ROWS, 0):
         monkeypatch.setattr(packing, "PLAN_ROWS", rows)
