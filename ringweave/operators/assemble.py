@@ -176,7 +176,8 @@ def catalog_records(files: DataFrame, planned: DataFrame) -> DataFrame:
                     n = int(n) if isinstance(n, int) or isinstance(n, float) and n.is_integer() else None
                     edges = record_edges(record)
                     rows.append((folder, name, n, None if edges is None else [{"source": a, "target": b} for a, b in edges]))
-            yield pd.DataFrame({"graph_id": [r[0] for r in rows], "cycle_id": [r[1] for r in rows], "length": pd.array([r[2] for r in rows], "Int64"), "edges": [r[3] for r in rows]})
+            if rows:  # columns without rows have no type that fits
+                yield pd.DataFrame({"graph_id": [r[0] for r in rows], "cycle_id": [r[1] for r in rows], "length": pd.array([r[2] for r in rows], "Int64"), "edges": [r[3] for r in rows]})
 
     return own.mapInPandas(run, f"graph_id string, cycle_id string, length long, edges {_EDGES}")
 
