@@ -96,6 +96,34 @@ def test_footprint_and_patches(spark):
     assert [(r["file_ord"], r["kind"], r["text"]) for r in lines][:4] == [(1, "other", "a"), (1, "del", "b"), (1, "add", "B!"), (1, "other", "c")]
 
 
+def test_signs_alone_tell_lines_of_a_hunk(spark):
+    git = "diff --git a/f b/f\nindex 1..2\n--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n--- x\n+++ y\n---z\n+++\n c\ndiff --git a/g b/g\n--- a/g\n+++ b/g\n@@ -1 +1 @@\n-d\n"
+    plain = "--- f\n+++ f\n@@ -1 +1 @@\n-a\n--- g\n+++ g\n@@ -1 +1 @@\n+b\n"
+    p = spark.createDataFrame([("git", git), ("plain", plain)], "run_id string, patch string")
+    got = [(r["run_id"], r["file_ord"], r["hunk_ord"], r["kind"], r["text"]) for r in diff.patch_lines(p).orderBy("run_id", "line_no").collect()]
+    own = [("del", "-- x"), ("add", "++ y"), ("del", "--z"), ("add", "++"), ("other", "c")]
+    assert got == [("git", 1, 1, *x) for x in own] + [("git", 2, 2, "del", "d"), ("plain", 0, 1, "del", "a"), ("plain", 0, 2, "add", "b")]
+    assert [x[1:] for h in diff.parse_patch(git)[0].hunks for x in h.lines] == [t for _, t in own]
+
+
+def test_one_line_end_ends_a_text(spark):
+    texts = ["a", "a\n", "a\n\n", "a\r\n\r\n", "\n\n", "a\n\u2028", "", "a\r\nb\rc\n"]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", E.lines_of("t").alias("l")).orderBy("n").collect()
+    assert [r["l"] for r in got] == [["a"], ["a"], ["a", ""], ["a", ""], ["", ""], ["a", "\u2028"], [], ["a", "b", "c"]]
+
+
+def test_patches_of_odd_texts_match_sql(spark, tmp_path):
+    from sqlcheck import oracle, same
+
+    from ringweave.plans import registry
+
+    texts = ["", "\n", "a\n\n", "\n\n\n", "--x\n++y\n--- z\n+++ z\n---\n+++", "a\rb\n\r-c\r+d\r\ne", "a\n\u2028", " ", "@@ -1 +1 @@\ndiff --git a/x b/x\n@@", None]
+    rows = [(i, t, "web", "en") for i, t in enumerate(texts)] + [(50, "a\nb", None, "en"), (51, "a\nb", "web", None), (52, "a", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "d"))
+    spark.read.parquet(str(tmp_path / "d")).toPandas().to_parquet(tmp_path / "documents.parquet")
+    same(registry.QUERIES["patch_lines"](spark, str(tmp_path)).toPandas(), oracle(registry.SQL["patch_lines"], tmp_path))
+
+
 def test_python_facts():
     text = "from typing import TYPE_CHECKING\nimport os.path as p\nif TYPE_CHECKING:\n    import t\nelse:\n    import u\nfrom . import q\n"
     assert pyast.runtime_imports(text, "pkg.m") == ["os.path", "pkg", "typing"]
